@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import bpe, hmm, langid, licenses, packing
+from loglattice.llm import bpe, hmm, langid, licenses, lshforest, packing, rotated
 from loglattice.llm.common import read, remainder
 
 #: Files of public tokenizers; they stay where they are.
@@ -17,6 +17,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(read(spark, sf_dir, "documents")).drop("detections")
 
@@ -29,6 +33,10 @@ def op7_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder("doc_id", 4) == 2
@@ -41,7 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op5_hmm_score, op7_multi_length_packing, op9_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_rotated_codes, op3_license_scan, op5_hmm_score, op7_multi_length_packing, op8_lsh_forest, op9_language_id, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

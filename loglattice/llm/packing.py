@@ -10,11 +10,11 @@ padding. Each partition packs its own documents: no shuffle, and memory bounded
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.llm.bpe import byte_table
 from loglattice.llm.common import slices, strings
 
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -29,11 +30,7 @@ END = 2
 #: A step group holds so many tokens, whatever the size of its windows.
 STEP_TOKENS = 65_536
 #: Runs whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
-
-
-#: A comma or stop beside another mark, which the splitter keeps together.
-crowded = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]").search
+REMEMBERED = 1_000_000
 
 
 class WordIds:
@@ -41,43 +38,54 @@ class WordIds:
     run between white space once; the ids of a text are those of its runs, one after the other."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        # the same model for what needs neither normaliser nor splitter: words whose bytes are mapped already
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.table = byte_table()
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
+        self.marks = {m: self.whole(m) for m in ",."}
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
     def learn(self, runs: list[str]) -> None:
-        """Many runs in one call: joined by spaces, told apart by the offsets of their ids."""
-        for i in range(0, len(runs), 2000):
-            part = runs[i : i + 2000]
-            got = self.tok.encode(" ".join(part), add_special_tokens=False)
-            starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in part])])
-            at = np.searchsorted([o[0] for o in got.offsets], starts)
-            ids = np.array(got.ids, np.uint32).tobytes()
-            self.known.update((r, ids[4 * a : 4 * b]) for r, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True))
-
-    @staticmethod
-    def runs(text: str) -> list[str]:
-        """What stands between white space; lone commas and stops count as runs of their own, which they are to the
-        splitter too, and lower case is taken first (but for sigma, whose lower case Python takes from its place):
-        so fewer runs differ."""
-        if "Σ" not in text:
-            text = text.lower()
-        if not crowded(text):
-            text = text.replace(",", " , ").replace(".", " . ")
-        return text.split()
+        """A run of letters, or of letters and one comma or stop, is one match or two: its word is encoded with many
+        others in one call, and told from them by the id that ends it. All other runs go to the library one by one."""
+        words, parts, rest = {}, [], []
+        for r in runs:
+            w = r[:-1] if r[-1] in self.marks else r
+            if w.isalpha() and is_normalized("NFC", w) and w.lower() == w:
+                parts.append((r, w))
+                if w not in self.words:
+                    words[w] = w if w.isascii() else "".join(map(self.table.__getitem__, w.encode()))
+            else:
+                rest.append(r)
+        names = list(words)
+        for i in range(0, len(names), 5000):
+            part = names[i : i + 5000]
+            ids = np.array(self.plain.encode(" ".join(map(words.__getitem__, part)), add_special_tokens=False).ids, np.uint32)
+            at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            data = ids.tobytes()
+            self.words.update((w, data[a:b]) for w, a, b in zip(part, at[:-1], at[1:], strict=True))
+        self.known.update((r, self.words[w] if len(w) == len(r) else self.words[w] + self.marks[r[-1]]) for r, w in parts)
+        self.known.update((r, self.whole(r)) for r in rest)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # str.split() also splits at four separators that the library keeps
+        # str.split() also splits at four separators that the library keeps; Python lower-cases sigma by its place
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[] if o else self.runs(t) for t, o in zip(texts, odd, strict=True)]
+        split = [[] if o else (t if "Σ" in t else t.lower()).split() for t, o in zip(texts, odd, strict=True)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.words.clear()
         self.learn([w for w in set(itertools.chain.from_iterable(split)) if w not in self.known])
         known, end = self.known.__getitem__, np.array([END], np.uint32).tobytes()
-        whole = lambda t: np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
-        return [np.frombuffer((whole(t) if o else b"".join(map(known, s))) + end, np.uint32) for s, t, o in zip(split, texts, odd, strict=True)]
+        return [np.frombuffer((self.whole(t) if o else b"".join(map(known, s))) + end, np.uint32) for s, t, o in zip(split, texts, odd, strict=True)]
 
 
 @lru_cache(2)
