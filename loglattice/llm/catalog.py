@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import bpe, hmm, langid, licenses, lshforest, packing, rotated
+from loglattice.llm import bpe, hmm, hostpaths, keypoints, langid, licenses, lshforest, packing, rotated, surrogates
 from loglattice.llm.common import read, remainder
 
 #: Files of public tokenizers; they stay where they are.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: A deployment passes its own secret key; this one is for queries on synthetic tables.
+SURROGATE_KEY = b"synthetic tables only"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -21,14 +23,31 @@ def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op2_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostpaths.main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images: those drawn from all embeddings."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), keypoints.drawn(F.col("embedding")).alias("image"))
+    return keypoints.near_duplicates(vectors)
+
+
 def op5_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_corpus(read(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    key = surrogates.checked_key(docs, SURROGATE_KEY)
+    got = surrogates.replace(docs, key)
+    return got.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",").alias("kinds"))
+
+
 def op7_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -49,7 +68,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rotated_codes, op3_license_scan, op5_hmm_score, op7_multi_length_packing, op8_lsh_forest, op9_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_rotated_codes, op2_host_paths, op3_license_scan, op4_image_copies, op5_hmm_score, op6_surrogates, op7_multi_length_packing, op8_lsh_forest, op9_language_id, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
