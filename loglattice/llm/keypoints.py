@@ -29,7 +29,7 @@ BITS, PARTS = 128, 8
 #: Different bits of descriptors that make images meet, and that match in verification.
 MEET, MATCH = 10, 24
 #: Matches that must agree on a transform.
-CONSENSUS = 6
+CONSENSUS = 9
 BLOCK, MEET_BLOCK = 64, 512
 #: Width of the consensus cells: a turn in steps of a circle's part, a shift in pixels.
 TURNS, SHIFT = 12, 8.0
@@ -172,11 +172,11 @@ def agreeing(bits: list[np.ndarray], places: list[np.ndarray], left: np.ndarray,
             key = np.full(len(x), int(shift * 2), np.int64)
             for c, r in zip(cell, (TURNS, 2 * LEVELS + 1, 8192, 8192), strict=True):
                 key = key * r + np.clip(c, 0, r - 1)
-            votes.append(np.stack([ra[x] * len(right) + rb[y], key, x], 1))
-    v = np.concatenate(votes) if votes else np.zeros((0, 3), np.int64)
-    v = np.unique(v, axis=0)  # a feature votes once in a cell
-    pair, n = np.unique(v[:, :2], axis=0, return_counts=True)
-    hit = np.unique(pair[n >= CONSENSUS, 0])
+            # keys stay below 2^35, pairs of a block below 2^12 times that, features below 2^16
+            votes.append(((ra[x] * len(right) + rb[y]) << 35 | key) * len(ra) + x)
+    v = np.unique(np.concatenate(votes)) if votes else np.zeros(0, np.int64)  # a feature votes once in a cell
+    pair, n = np.unique(v // max(1, len(ra)), return_counts=True)
+    hit = np.unique(pair[n >= CONSENSUS] >> 35)
     return hit // len(right), hit % len(right)
 
 
