@@ -74,17 +74,19 @@ def forward(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: n
 
 def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch's expected counts: of first states, of moves, and of emissions (id, state)."""
+    # single precision: each step is scaled to one, and sums are kept in double precision
+    start, move, emit = (x.astype(np.float32) for x in (start, move, emit))
     k = len(start)
     firsts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))
     for _, ids, lengths in groups(docs, SIDE_BY_SIDE):
         longest, width = ids.shape
         counts = live(lengths, longest)
-        alphas, scales = np.zeros((longest, width, k)), np.ones((longest, width))
+        alphas, scales = np.zeros((longest, width, k), np.float32), np.ones((longest, width), np.float32)
         for t, n in enumerate(counts):
             a = (start if t == 0 else alphas[t - 1, :n] @ move) * emit[ids[t, :n]]
             s = a.sum(1)
             alphas[t, :n], scales[t, :n] = a / s[:, None], s
-        beta = np.ones((width, k))
+        beta = np.ones((width, k), np.float32)
         for t in range(longest - 1, 0, -1):
             n = counts[t]
             weight = emit[ids[t, :n]] * beta[:n] / scales[t, :n, None]

@@ -168,15 +168,15 @@ def agreeing(bits: list[np.ndarray], places: list[np.ndarray], left: np.ndarray,
         dx = pb[y, 1] - (pa_[x, 1] * cos - pa_[x, 0] * sin)
         # each match votes in two neighbouring cells of every measure's shifted grid, so that none falls on an edge
         for shift in (0.0, 0.5):
-            cell = [np.floor(turn / (2 * np.pi) * TURNS + shift).astype(int) % TURNS, np.rint(np.log(scale) / np.log(FACTOR)).astype(int) + LEVELS, np.floor(dy / SHIFT + shift).astype(int) + 4096, np.floor(dx / SHIFT + shift).astype(int) + 4096]
+            cell = [np.floor(turn / (2 * np.pi) * TURNS + shift).astype(int) % TURNS, np.rint(np.log(scale) / np.log(FACTOR)).astype(int) + LEVELS, np.floor(dy / SHIFT + shift).astype(int) + 1024, np.floor(dx / SHIFT + shift).astype(int) + 1024]
             key = np.full(len(x), int(shift * 2), np.int64)
-            for c, r in zip(cell, (TURNS, 2 * LEVELS + 1, 8192, 8192), strict=True):
-                key = key * r + np.clip(c, 0, r - 1)
-            # keys stay below 2^35, pairs of a block below 2^12 times that, features below 2^16
-            votes.append(((ra[x] * len(right) + rb[y]) << 35 | key) * len(ra) + x)
+            for c, r in zip(cell, (TURNS, 2 * LEVELS + 1, 2048, 2048), strict=True):
+                key = key * r + c % r
+            # keys stay below 2^30; pairs and features of a block fit into what is left
+            votes.append(((ra[x] * len(right) + rb[y]) << 30 | key) * len(ra) + x)
     v = np.unique(np.concatenate(votes)) if votes else np.zeros(0, np.int64)  # a feature votes once in a cell
     pair, n = np.unique(v // max(1, len(ra)), return_counts=True)
-    hit = np.unique(pair[n >= CONSENSUS] >> 35)
+    hit = np.unique(pair[n >= CONSENSUS] >> 30)
     return hit // len(right), hit % len(right)
 
 
