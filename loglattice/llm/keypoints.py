@@ -28,6 +28,9 @@ CORNERS, RADIUS = 24, 12
 BITS, PARTS = 128, 8
 #: Different bits of descriptors that make images meet, and that match in verification.
 MEET, MATCH = 10, 24
+#: Meetings in one table, hence of different features, that two images must have before they are compared: chance
+#: meetings rarely repeat.
+MEETINGS = 4
 #: Matches that must agree on a transform.
 CONSENSUS = 9
 BLOCK, MEET_BLOCK = 64, 512
@@ -59,10 +62,9 @@ def smooth(x: np.ndarray) -> np.ndarray:
     for axis in (-1, -2):
         pad = [(0, 0)] * x.ndim
         pad[axis] = (2, 2)
-        p = np.pad(x, pad, "edge")
+        p = np.moveaxis(np.pad(x, pad, "edge"), axis, 0)
         n = x.shape[axis]
-        part = lambda i, p=p, axis=axis, n=n: np.take(p, range(i, i + n), axis)
-        x = (part(0) + 4 * part(1) + 6 * part(2) + 4 * part(3) + part(4)) / 16
+        x = np.moveaxis((p[:n] + p[4 : n + 4] + 4 * (p[1 : n + 1] + p[3 : n + 3]) + 6 * p[2 : n + 2]) / 16, 0, axis)
     return x
 
 
@@ -191,7 +193,7 @@ def features(df: DataFrame, key: str, image: str) -> DataFrame:
             if x is not None:
                 by.setdefault(x.shape, []).append(i)
         for shape, at in by.items():
-            step = max(1, 2_000_000 // (shape[0] * shape[1]))
+            step = max(1, 200_000 // (shape[0] * shape[1]))  # small enough for a processor's cache
             for k in range(0, len(at), step):
                 part = at[k : k + step]
                 owner, place, code = describe(np.stack([decoded[i] for i in part]))
@@ -243,10 +245,12 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
         a, b = left[a], right[b]
         keep = nodes[a] != nodes[b]
         ids, at = np.unique(nodes, return_inverse=True)
-        return found(ids, np.ones(len(ids)), at[a[keep]], at[b[keep]])
+        got = found(ids, np.ones(len(ids)), at[a[keep]], at[b[keep]])
+        return None if got is None else got.append_column("part", pa.array(np.full(got.num_rows, g["part"][0], np.int32)))
 
-    near = sorted_groups(block_pairs(met, ["part", "value"], "code", MEET_BLOCK), ["part", "value", "bi", "bj"], close, FOUND)
-    clusters = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    near = sorted_groups(block_pairs(met, ["part", "value"], "code", MEET_BLOCK), ["part", "value", "bi", "bj"], close, FOUND + ", part int")
+    often = near.where("node <> root").groupBy("node", "root", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MEETINGS)
+    clusters = checkpoint(components(often.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     sets = described.join(clusters, "node").join(classes.select("node", "n"), "node")
 
     def verify(g: dict) -> pa.RecordBatch | None:
