@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import map_arrow, strings
+from loglattice.llm.common import held_by_worker, map_arrow, strings
 
 #: Matches whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
@@ -116,7 +115,7 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(2)
+@held_by_worker
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 

@@ -28,6 +28,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_held: dict[str, dict] = {}
+
+
+def held_by_worker(make: Callable) -> Callable:
+    """Keep what `make` returned for the same arguments, for the operator of its module only: Python workers outlive
+    stages, and what another operator left there would add up to more memory than an executor has."""
+
+    def get(*args):
+        if make.__module__ not in _held:
+            _held.clear()
+        own = _held.setdefault(make.__module__, {})
+        key = (make.__name__, args)
+        if key not in own:
+            for old in [k for k in own if k[0] == make.__name__]:
+                del own[old]
+            own[key] = make(*args)
+        return own[key]
+
+    return get
+
+
 def remainder(column: str, mod: int) -> Column:
     """crc32 of the value as text, modulo mod; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

@@ -11,14 +11,13 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import checkpoint, slices, strings
+from loglattice.llm.common import checkpoint, held_by_worker, slices, strings
 
 STATES = 8
 #: Words that states emit by themselves, and words whose counts every worker holds; fixed sizes, whatever the corpus.
@@ -132,12 +131,12 @@ class Vocabulary:
         return np.fromiter([get(w, -1) for w in got], np.int64, len(got))
 
 
-@lru_cache(1)
+@held_by_worker
 def vocabulary(data: bytes) -> Vocabulary:
     return Vocabulary(data)
 
 
-@lru_cache(1)
+@held_by_worker
 def parameters(data: bytes):
     return pickle.loads(data)
 

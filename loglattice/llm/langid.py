@@ -12,14 +12,13 @@ import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import map_arrow, slices, strings
+from loglattice.llm.common import held_by_worker, map_arrow, slices, strings
 
 UNDETERMINED = "und"
 #: Pieces are at most so long; runs of letters over LONGEST are taken in parts, so that products don't underflow.
@@ -40,7 +39,7 @@ def words(text: str) -> list[str]:
     return got
 
 
-@lru_cache(1)
+@held_by_worker
 def vocabulary(path: str):
     import sentencepiece
 
@@ -174,7 +173,7 @@ class Model:
         return out
 
 
-@lru_cache(1)
+@held_by_worker
 def model(data: bytes) -> Model:
     return Model(data)
 

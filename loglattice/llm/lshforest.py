@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import block_pairs, checkpoint, components, map_arrow, sorted_groups, strings
+from loglattice.llm.common import block_pairs, checkpoint, components, held_by_worker, map_arrow, sorted_groups, strings
 from loglattice.llm.licenses import _WORD
 from loglattice.llm.links import FOUND, found, summed
 
@@ -28,7 +28,7 @@ TREES, LABEL, RECALL = 24, 7, 0.999
 #: Pairs that meet pass if their signatures agree within so many standard errors of the threshold.
 SIGMAS = 5.0
 SIGNATURE_BLOCK, SET_BLOCK = 512, 256
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 16_384
 
@@ -71,7 +71,7 @@ class Shingles:
         return out
 
 
-@lru_cache(1)
+@held_by_worker
 def shingler() -> Shingles:
     return Shingles()
 

@@ -13,7 +13,6 @@ import itertools
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.bpe import byte_table
-from loglattice.llm.common import slices, strings
+from loglattice.llm.common import held_by_worker, slices, strings
 
 TIERS = (256, 512, 1024, 2048, 4096)
 END = 2
@@ -88,7 +87,7 @@ class WordIds:
         return [np.frombuffer((self.whole(t) if o else b"".join(map(known, s))) + end, np.uint32) for s, t, o in zip(split, texts, odd, strict=True)]
 
 
-@lru_cache(2)
+@held_by_worker
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
