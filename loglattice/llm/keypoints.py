@@ -1,9 +1,11 @@
 """Local image descriptors (operator 4).
 
 Corners are found at several scales, turned to the direction of their patch's centre of brightness and described by
-binary tests. Descriptors that agree in one part of their bits meet in a table; images of descriptors that are close
-enough form clusters, and within a cluster every pair of images is verified in blocks: their matching descriptors must
-agree on one turn, scale and shift.
+binary tests. Tables hold each descriptor together with one that stands beside it: a part of the bits of both and how
+the two lie to each other. Neighbours within a bucket of a table whose other bits are close as well are candidates, no
+more than two for each entry however large a bucket is, and each candidate is verified: matching descriptors of the two
+images must agree on one turn, scale and shift. Verified pairs join images to clusters, and within a cluster every pair
+is verified, in blocks.
 """
 
 from __future__ import annotations
@@ -23,17 +25,17 @@ from loglattice.llm.links import FOUND, found, summed
 LEVELS, FACTOR = 3, 1.5
 #: The strongest corners of a level that are described, and the patch around each.
 CORNERS, RADIUS = 24, 12
-#: Bits of a descriptor and parts that are tables of their own: descriptors that differ in fewer bits than there are
-#: parts always meet.
-BITS, PARTS = 128, 8
-#: Different bits of descriptors that make images meet, and that match in verification.
-MEET, MATCH = 10, 24
-#: Meetings in one table, hence of different features, that two images must have before they are compared: chance
-#: meetings rarely repeat.
-MEETINGS = 4
+#: Bits of a descriptor, bytes of a descriptor that are a table's key, and tables of each neighbour.
+BITS, KEY, TABLES = 128, 3, 5
+#: Descriptors beside each, out of its patch and out of each other's, and steps of a circle for how they lie.
+BESIDE, STEPS = 2, 12
+#: Bytes of both descriptors that are compared within a bucket, and how many of their bits may differ.
+COMPARED, MEET = 4, 8
+#: Different bits of descriptors that match in verification.
+MATCH = 24
 #: Matches that must agree on a transform.
 CONSENSUS = 9
-BLOCK, MEET_BLOCK = 64, 512
+BLOCK = 64
 #: Width of the consensus cells: a turn in steps of a circle's part, a shift in pixels.
 TURNS, SHIFT = 12, 8.0
 
@@ -207,6 +209,96 @@ def features(df: DataFrame, key: str, image: str) -> DataFrame:
     return map_arrow(df.select(F.col(key).cast("long").alias(key), image), run, "node long, bits binary, places binary, n_features long")
 
 
+def entries(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table entries of one image: keys, which hold the table, and the bits to compare."""
+    width, keys, rest = BITS // 8, [], []
+    free = np.hypot(place[:, None, 0] - place[None, :, 0], place[:, None, 1] - place[None, :, 1])
+    reach = RADIUS * place[:, 3]
+    usable = (place[:, None, 3] == place[None, :, 3]) & (free >= reach[:, None])
+    for r in range(BESIDE):
+        own = np.flatnonzero(usable.any(1))
+        if not len(own):
+            break
+        beside = np.where(usable, free, np.inf).argmin(1)
+        near = beside[own]
+        gap = place[near, :2] - place[own, :2]
+        way = np.arctan2(gap[:, 0], gap[:, 1]) - place[own, 2]
+        turn = place[near, 2] - place[own, 2]
+        lie = np.stack([np.floor(x / (2 * np.pi) * STEPS) % STEPS for x in (way, turn)] + [np.rint(np.log2(free[own, near] / place[own, 3]))], 1).astype(np.uint8)
+        for t in range(TABLES):
+            at = (t * KEY + np.arange(KEY + COMPARED)) % width
+            full = np.zeros((len(own), 16), np.uint8)
+            full[:, :KEY], full[:, KEY : 2 * KEY], full[:, 2 * KEY : 2 * KEY + 3] = code[own][:, at[:KEY]], code[near][:, at[:KEY]], lie
+            full[:, 12], full[:, 13] = r, t
+            low, high = full.view(np.uint64).T
+            h = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            keys.append((h ^ (h >> np.uint64(29))).view(np.int64))
+            rest.append(np.ascontiguousarray(np.concatenate([code[own][:, at[KEY:]], code[near][:, at[KEY:]]], 1)).view(np.int64).ravel())
+        usable &= free[beside] >= reach[:, None]
+    return (np.concatenate(keys), np.concatenate(rest)) if keys else (np.zeros(0, np.int64),) * 2
+
+
+def candidates(described: DataFrame) -> DataFrame:
+    """Pairs a < b of images that meet in a table: each entry of a bucket with the one before it and with the first. One
+    pass over sorted rows that keeps two of them, so the size of a bucket costs no memory and no squares."""
+    width = BITS // 8
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
+        for raw, place in zip(batch.column("bits").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            made.append(entries(np.frombuffer(raw, np.uint8).reshape(-1, width), np.frombuffer(place, np.float32).reshape(-1, 4)))
+        node = np.repeat(batch.column("node").to_numpy(), [len(k) for k, _ in made])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in made])) for i in (0, 1)] + [pa.array(node)], names=["bucket", "rest", "node"])
+
+    def meet(batches):
+        first = last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy() for c in ("bucket", "node", "rest")])
+            if last is not None:
+                rows = np.concatenate([last[:, None], rows], 1)
+            starts = np.r_[True, rows[0, 1:] != rows[0, :-1]]
+            head = rows[:, np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))]
+            if first is not None:
+                carried = rows[0] == first[0]
+                head[:, carried] = first[:, None]
+            before = np.concatenate([rows[:, :1], rows[:, :-1]], 1)
+            first, last = head[:, -1].copy(), rows[:, -1].copy()
+            pairs = [np.zeros((2, 0), np.int64)]
+            for other in (head, before):
+                ok = (other[0] == rows[0]) & (other[1] != rows[1])
+                x, y = rows[:, ok], other[:, ok]
+                ok = np.bitwise_count(x[2] ^ y[2]) <= MEET
+                pairs.append(np.stack([y[1, ok], x[1, ok]]))
+            a, b = np.unique(np.concatenate(pairs, 1), axis=1)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    keyed = map_arrow(described.select("node", "bits", "places"), spread, "bucket long, rest long, node long")
+    parts = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows are in the order of their nodes within a bucket, so a < b
+    return keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs a, b whose matching features agree on one transform."""
+    width = BITS // 8
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "places_a", "places_b")]
+        zero, one, keep = np.array([0]), np.array([1]), np.zeros(batch.num_rows, bool)
+        for i, (x, y, p, q) in enumerate(zip(*columns, strict=True)):
+            bits = [np.frombuffer(v, np.uint8).reshape(-1, width) for v in (x, y)]
+            places = [np.frombuffer(v, np.float32).reshape(-1, 4).astype(float) for v in (p, q)]
+            keep[i] = len(agreeing(bits, places, zero, one, False)[0]) > 0
+        return batch.select(["a", "b"]).filter(pa.array(keep))
+
+    side = lambda s: described.select(F.col("node").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("places").alias(f"places_{s}"))
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
     """One row per row of df: image_id, n_features, n_links (other images it is a cropped, turned or edited copy of),
     component_id (smallest id reachable), kept (image_id = component_id). Equal images are one class with a weight.
@@ -217,40 +309,8 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
     classes = some.groupBy("hash").agg(F.min("image_id").alias("node"), F.count(F.lit(1)).alias("n"))
     firsts = rows.join(classes.select(F.col("node").alias("image_id")), "image_id", "left_semi").dropDuplicates(["image_id"])
     described = checkpoint(features(firsts, "image_id", "image"))
-    width, part = BITS // 8, BITS // 8 // PARTS
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, which, value, code = [], [], [], []
-        for i, raw in zip(batch.column("node").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-            for k in range(0, len(raw), width):
-                for t in range(PARTS):
-                    node.append(i)
-                    which.append(t)
-                    # the two parts after the first of a table must agree too: fewer chance meetings
-                    value.append(b"".join(raw[k + ((t + d) % PARTS) * part : k + ((t + d) % PARTS) * part + part] for d in range(2)))
-                    code.append(raw[k : k + width])
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(which, pa.int32()), pa.array(value, pa.binary()), pa.array(code, pa.binary())], names=["node", "part", "value", "code"])
-
-    keyed = map_arrow(described.select("node", "bits"), spread, "node long, part int, value binary, code binary")
-    crowd = keyed.groupBy("part", "value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("part", "value")
-    met = keyed.join(crowd, ["part", "value"])
-
-    def close(g: dict) -> pa.RecordBatch | None:
-        side, nodes = np.asarray(g["side"]), np.asarray(g["node"])
-        signs = np.unpackbits(np.frombuffer(b"".join(g["code"]), np.uint8).reshape(-1, width), axis=1).astype(np.float32) * 2 - 1
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        if not len(left) or not len(right):
-            return None
-        a, b = np.nonzero(signs[left] @ signs[right].T >= BITS - 2 * MEET)
-        a, b = left[a], right[b]
-        keep = nodes[a] != nodes[b]
-        ids, at = np.unique(nodes, return_inverse=True)
-        got = found(ids, np.ones(len(ids)), at[a[keep]], at[b[keep]])
-        return None if got is None else got.append_column("part", pa.array(np.full(got.num_rows, g["part"][0], np.int32)))
-
-    near = sorted_groups(block_pairs(met, ["part", "value"], "code", MEET_BLOCK), ["part", "value", "bi", "bj"], close, FOUND + ", part int")
-    often = near.where("node <> root").groupBy("node", "root", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MEETINGS)
-    clusters = checkpoint(components(often.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    width = BITS // 8
+    clusters = checkpoint(components(verified(checkpoint(candidates(described)), described)))
     sets = described.join(clusters, "node").join(classes.select("node", "n"), "node")
 
     def verify(g: dict) -> pa.RecordBatch | None:
