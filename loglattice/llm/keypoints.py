@@ -31,6 +31,8 @@ BITS, KEY, TABLES = 128, 3, 5
 BESIDE, STEPS = 2, 12
 #: Bytes of both descriptors that are compared within a bucket, and how many of their bits may differ.
 COMPARED, MEET = 4, 8
+#: Entries that two images must share before they are verified: chance meetings rarely repeat.
+MEETINGS = 3
 #: Different bits of descriptors that match in verification.
 MATCH = 24
 #: Matches that must agree on a transform.
@@ -266,20 +268,20 @@ def candidates(described: DataFrame) -> DataFrame:
                 head[:, carried] = first[:, None]
             before = np.concatenate([rows[:, :1], rows[:, :-1]], 1)
             first, last = head[:, -1].copy(), rows[:, -1].copy()
-            pairs = [np.zeros((2, 0), np.int64)]
-            for other in (head, before):
-                ok = (other[0] == rows[0]) & (other[1] != rows[1])
+            pairs = []
+            for other, once in ((head, True), (before, before[1] != head[1])):
+                ok = (other[0] == rows[0]) & (other[1] != rows[1]) & once
                 x, y = rows[:, ok], other[:, ok]
                 ok = np.bitwise_count(x[2] ^ y[2]) <= MEET
                 pairs.append(np.stack([y[1, ok], x[1, ok]]))
-            a, b = np.unique(np.concatenate(pairs, 1), axis=1)
+            (a, b), n = np.unique(np.concatenate(pairs, 1), axis=1, return_counts=True)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
 
     keyed = map_arrow(described.select("node", "bits", "places"), spread, "bucket long, rest long, node long")
     parts = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows are in the order of their nodes within a bucket, so a < b
-    return keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long").distinct()
+    return keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
 
 
 def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
