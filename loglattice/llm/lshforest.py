@@ -192,11 +192,16 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, key: str = "doc_id
 
 
 def deduplicate(df: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each component; rows with a null key and texts without words stay."""
-    verdict = checkpoint(near_duplicates(df, least, key, text).where(F.col("doc_id").isNotNull()))
-    kept = verdict.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = df.join(kept, df[key] == F.col("_kept"), "left_semi").unionByName(df.where(F.col(key).isNull()))
-    repeated = verdict.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return out.dropDuplicates([key]) if repeated else out
-
-
+    """df with one row of each component: that with the smallest key, among equal keys that with the smallest digest of
+    its text. Rows with a null key and texts without words stay; a key may repeat, with the same text or others."""
+    none, rows = df.where(F.col(key).isNull()), df.where(F.col(key).isNotNull())
+    if not rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        verdict = checkpoint(near_duplicates(rows, least, key, text))
+        kept = verdict.where("kept").select(F.col("doc_id").alias("_kept"))
+        return rows.join(kept, rows[key] == F.col("_kept"), "left_semi").unionByName(none)
+    # keys that repeat don't tell rows apart: rows get numbers of their own
+    rows = checkpoint(rows.withColumn("_row", F.monotonically_increasing_id()))
+    verdict = near_duplicates(rows, least, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
+    digests = rows.select("_row", F.struct(F.col(key).alias("key"), F.sha2(text, 256).alias("digest"), F.col("_row").alias("row")).alias("m"))
+    kept = verdict.join(digests, "_row").groupBy("component_id").agg(F.min("m").alias("m")).select(F.col("m.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row").select(*df.columns).unionByName(none)

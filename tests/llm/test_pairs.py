@@ -114,6 +114,15 @@ def test_empty_and_repeated(spark):
     assert lshforest.deduplicate(twice).count() == 2
 
 
+def test_deduplicate_keeps_null_keys_and_texts_of_repeated_keys(spark):
+    same, other = "a b c d e f", "u v w x y z"
+    rows = [(None, same), (None, same), (None, other), (1, same), (1, other), (1, same), (2, other), (3, "!"), (4, "k l m n o p")]
+    want = sorted([(0, same), (0, same), (0, other), (1, same), (1, other), (3, "!"), (4, "k l m n o p")])
+    for order in (rows, rows[::-1]):
+        got = lshforest.deduplicate(spark.createDataFrame(order, "doc_id long, text string"))
+        assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == want
+
+
 def test_prefix_reaches_the_recall():
     m = lshforest.prefix_bytes(0.8)
     assert 1 - (1 - 0.8**m) ** lshforest.TREES >= lshforest.RECALL
