@@ -2,14 +2,14 @@
 
 Corners are found at several scales, turned to the direction of their patch's centre of brightness and described by
 binary tests. Tables hold each descriptor together with one that stands beside it: a part of the bits of both and how
-the two lie to each other. Neighbours within a bucket of a table whose other bits are close as well are candidates, no
-more than two for each entry however large a bucket is, and each candidate is verified: matching descriptors of the two
-images must agree on one turn, scale and shift. Verified pairs join images to clusters, and within a cluster every pair
-is verified, in blocks.
+the two lie to each other. All entries of a bucket of a table whose other bits are close as well are candidates, and
+each candidate is verified: matching descriptors of the two images must agree on one turn, scale and shift. Verified
+pairs join images to clusters, and within a cluster every pair is verified, in blocks.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import lru_cache
 
@@ -31,6 +31,8 @@ BITS, KEY, TABLES = 128, 3, 5
 BESIDE, STEPS = 2, 12
 #: Bytes of both descriptors that are compared within a bucket, and how many of their bits may differ.
 COMPARED, MEET = 4, 8
+#: Entries of a bucket that are compared in one piece, and pairs that a task gathers before it passes them on.
+LARGE, HELD = 1024, 1_000_000
 #: Entries that two images must share before they are verified: chance meetings rarely repeat.
 MEETINGS = 3
 #: Different bits of descriptors that match in verification.
@@ -241,9 +243,22 @@ def entries(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(keys), np.concatenate(rest)) if keys else (np.zeros(0, np.int64),) * 2
 
 
+def met(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(a, b) of all entries of one bucket that are close and of different images, each as often as they meet; rows are
+    (bucket, node, rest) by bucket and node, sizes those of the buckets."""
+    end, at, step = np.repeat(np.cumsum(sizes), sizes), np.arange(rows.shape[1]), 1
+    pairs = [np.zeros((2, 0), np.int64)]
+    while len(at := at[at + step < end[at]]):
+        x, y = rows[:, at], rows[:, at + step]
+        ok = (np.bitwise_count(x[2] ^ y[2]) <= MEET) & (x[1] != y[1])
+        pairs.append(np.stack([x[1, ok], y[1, ok]]))
+        step += 1
+    return np.concatenate(pairs, 1)
+
+
 def candidates(described: DataFrame) -> DataFrame:
-    """Pairs a < b of images that meet in a table: each entry of a bucket with the one before it and with the first. One
-    pass over sorted rows that keeps two of them, so the size of a bucket costs no memory and no squares."""
+    """Pairs a < b of images that meet in a table: all entries of a bucket are compared with each other. Small buckets
+    in one pass over sorted rows, which hands on the rows of large ones; those are compared in blocks."""
     width = BITS // 8
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -253,35 +268,72 @@ def candidates(described: DataFrame) -> DataFrame:
         node = np.repeat(batch.column("node").to_numpy(), [len(k) for k, _ in made])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in made])) for i in (0, 1)] + [pa.array(node)], names=["bucket", "rest", "node"])
 
+    def out(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n), none, none, none], names=["a", "b", "n", "bucket", "node", "rest"])
+
+    def counted(pairs: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        p, k = np.concatenate(pairs, 1), np.concatenate(n)
+        order = np.lexsort(p[::-1])
+        p, k = p[:, order], k[order]
+        first = np.flatnonzero(np.r_[True, (p[:, 1:] != p[:, :-1]).any(0)][: len(k)])
+        return p[:, first], np.add.reduceat(k, first) if len(first) else k
+
     def meet(batches):
-        first = last = None
-        for batch in batches:
-            if not batch.num_rows:
+        held, large = np.zeros((3, 0), np.int64), None
+        pairs, n, count, least = [], [], 0, HELD
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("bucket", "node", "rest")])], 1)
+            if not held.shape[1]:
                 continue
-            rows = np.stack([batch.column(c).to_numpy() for c in ("bucket", "node", "rest")])
-            if last is not None:
-                rows = np.concatenate([last[:, None], rows], 1)
-            starts = np.r_[True, rows[0, 1:] != rows[0, :-1]]
-            head = rows[:, np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))]
-            if first is not None:
-                carried = rows[0] == first[0]
-                head[:, carried] = first[:, None]
-            before = np.concatenate([rows[:, :1], rows[:, :-1]], 1)
-            first, last = head[:, -1].copy(), rows[:, -1].copy()
-            pairs = []
-            for other, once in ((head, True), (before, before[1] != head[1])):
-                ok = (other[0] == rows[0]) & (other[1] != rows[1]) & once
-                x, y = rows[:, ok], other[:, ok]
-                ok = np.bitwise_count(x[2] ^ y[2]) <= MEET
-                pairs.append(np.stack([y[1, ok], x[1, ok]]))
-            (a, b), n = np.unique(np.concatenate(pairs, 1), axis=1, return_counts=True)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+            starts = np.flatnonzero(np.r_[True, held[0, 1:] != held[0, :-1]])
+            sizes = np.diff(np.r_[starts, held.shape[1]])
+            on = (sizes > LARGE) | (held[0, starts] == large if large is not None else False)
+            last = held[0, -1]
+            # the last bucket may go on in the next batch
+            wait = 0 if batch is None or on[-1] else int(sizes[-1])
+            large = last if on[-1] else None
+            done, held = held[:, : held.shape[1] - wait], held[:, held.shape[1] - wait :]
+            rows_on = np.repeat(on, sizes)[: done.shape[1]]
+            if rows_on.any():
+                some = done[:, rows_on]
+                none = pa.nulls(some.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, *(pa.array(x) for x in some)], names=["a", "b", "n", "bucket", "node", "rest"])
+            whole = sizes[: len(sizes) - (wait > 0)]
+            got = met(done[:, ~rows_on], whole[~on[: len(whole)]])
+            pairs.append(got)
+            n.append(np.ones(got.shape[1], np.int64))
+            count += got.shape[1]
+            if count > least:
+                p, k = counted(pairs, n)
+                pairs, n, count = [p], [k], len(k)
+                least = max(HELD, 2 * count)
+                if count > HELD:
+                    yield out(p, k)
+                    pairs, n, count, least = [], [], 0, HELD
+        if pairs:
+            yield out(*counted(pairs, n))
+
+    def blocks(g: dict) -> pa.RecordBatch | None:
+        side, node, rest = np.asarray(g["side"]), np.asarray(g["node"]), np.asarray(g["rest"])
+        left, right, pairs = np.flatnonzero(side != 1), np.flatnonzero(side != 0), []
+        for i in left:
+            j = right[right > i] if side[i] == 2 else right
+            j = j[(np.bitwise_count(rest[j] ^ rest[i]) <= MEET) & (node[j] != node[i])]
+            pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+        if not pairs:
+            return None
+        p, n = counted(pairs, [np.ones(x.shape[1], np.int64) for x in pairs])
+        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(n)], names=["a", "b", "n"])
 
     keyed = map_arrow(described.select("node", "bits", "places"), spread, "bucket long, rest long, node long")
     parts = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows are in the order of their nodes within a bucket, so a < b
-    return keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
+    got = checkpoint(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, n long, bucket long, node long, rest long"))
+    hot = block_pairs(got.where(F.col("bucket").isNotNull()).select("bucket", "node", "rest"), ["bucket"], "node", LARGE)
+    all_ = got.where(F.col("bucket").isNull()).select("a", "b", "n").union(sorted_groups(hot, ["bucket", "bi", "bj"], blocks, "a long, b long, n long"))
+    return all_.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
 
 
 def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:

@@ -168,3 +168,26 @@ def test_image_copies(spark):
     got = {r.image_id: r for r in keypoints.near_duplicates(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
     assert {i: r.component_id for i, r in got.items() if i is not None} == {**{i: i for i in range(12)}, 6: 1, 7: 0, 8: 2}
     assert got[0].n_links == got[1].n_links == got[2].n_links == 1 and got[11].n_links == 0
+
+
+def families(spark):
+    """Images of two features that share one bucket of the first table; families of three, their ids interleaved."""
+    rng = np.random.default_rng(6)
+    place = np.array([[30, 30, 0, 1], [30, 60, 0, 1]], np.float32).tobytes()
+    base = rng.integers(0, 256, (3, 2, 16), np.uint8)
+    base[:, :, :3] = 7
+    rows = []
+    for i in range(9):
+        bits = base[i % 3].copy()
+        bits[0, [3, 6, 9, 12]] ^= 1 << (i // 3)  # the keys of all other tables differ
+        rows.append((i, bits.tobytes(), place, 2))
+    return spark.createDataFrame(rows, "node long, bits binary, places binary, n_features long"), {(i, j) for i in range(9) for j in range(i + 3, 9, 3)}
+
+
+def test_image_candidates_are_all_close_entries_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(keypoints, "MEETINGS", 1, raising=False)
+    described, want = families(spark)
+    assert {tuple(r) for r in keypoints.candidates(described).collect()} == want
+    monkeypatch.setattr(keypoints, "LARGE", 4, raising=False)
+    monkeypatch.setattr(keypoints, "HELD", 2, raising=False)
+    assert {tuple(r) for r in keypoints.candidates(described).collect()} == want
