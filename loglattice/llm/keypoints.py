@@ -33,8 +33,8 @@ BESIDE, STEPS = 2, 12
 COMPARED, MEET = 4, 8
 #: Entries of a bucket that are compared in one piece, and pairs that a task gathers before it passes them on.
 LARGE, HELD = 1024, 1_000_000
-#: Entries that two images must share before they are verified: chance meetings rarely repeat.
-MEETINGS = 3
+#: Images whose features stand together when candidates are verified.
+TOGETHER = 16_384
 #: Different bits of descriptors that match in verification.
 MATCH = 24
 #: Matches that must agree on a transform.
@@ -244,8 +244,8 @@ def entries(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def met(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(a, b) of all entries of one bucket that are close and of different images, each as often as they meet; rows are
-    (bucket, node, rest) by bucket and node, sizes those of the buckets."""
+    """(a, b) of all entries of one bucket that are close and of different images; rows are (bucket, node, rest) by bucket
+    and node, sizes those of the buckets."""
     end, at, step = np.repeat(np.cumsum(sizes), sizes), np.arange(rows.shape[1]), 1
     pairs = [np.zeros((2, 0), np.int64)]
     while len(at := at[at + step < end[at]]):
@@ -268,20 +268,18 @@ def candidates(described: DataFrame) -> DataFrame:
         node = np.repeat(batch.column("node").to_numpy(), [len(k) for k, _ in made])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in made])) for i in (0, 1)] + [pa.array(node)], names=["bucket", "rest", "node"])
 
-    def out(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(n), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n), none, none, none], names=["a", "b", "n", "bucket", "node", "rest"])
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(pairs.shape[1], pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), none, none, none], names=["a", "b", "bucket", "node", "rest"])
 
-    def counted(pairs: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        p, k = np.concatenate(pairs, 1), np.concatenate(n)
-        order = np.lexsort(p[::-1])
-        p, k = p[:, order], k[order]
-        first = np.flatnonzero(np.r_[True, (p[:, 1:] != p[:, :-1]).any(0)][: len(k)])
-        return p[:, first], np.add.reduceat(k, first) if len(first) else k
+    def distinct(pairs: list[np.ndarray]) -> np.ndarray:
+        p = np.concatenate(pairs, 1)
+        p = p[:, np.lexsort(p[::-1])]
+        return p[:, np.r_[True, (p[:, 1:] != p[:, :-1]).any(0)][: p.shape[1]]]
 
     def meet(batches):
         held, large = np.zeros((3, 0), np.int64), None
-        pairs, n, count, least = [], [], 0, HELD
+        pairs, count = [], 0
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("bucket", "node", "rest")])], 1)
@@ -299,21 +297,18 @@ def candidates(described: DataFrame) -> DataFrame:
             if rows_on.any():
                 some = done[:, rows_on]
                 none = pa.nulls(some.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, *(pa.array(x) for x in some)], names=["a", "b", "n", "bucket", "node", "rest"])
+                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x) for x in some)], names=["a", "b", "bucket", "node", "rest"])
             whole = sizes[: len(sizes) - (wait > 0)]
-            got = met(done[:, ~rows_on], whole[~on[: len(whole)]])
-            pairs.append(got)
-            n.append(np.ones(got.shape[1], np.int64))
-            count += got.shape[1]
-            if count > least:
-                p, k = counted(pairs, n)
-                pairs, n, count = [p], [k], len(k)
-                least = max(HELD, 2 * count)
-                if count > HELD:
-                    yield out(p, k)
-                    pairs, n, count, least = [], [], 0, HELD
+            pairs.append(met(done[:, ~rows_on], whole[~on[: len(whole)]]))
+            count += pairs[-1].shape[1]
+            if count > HELD:
+                pairs = [distinct(pairs)]
+                count = pairs[0].shape[1]
+                if count > HELD // 2:
+                    yield out(pairs[0])
+                    pairs, count = [], 0
         if pairs:
-            yield out(*counted(pairs, n))
+            yield out(distinct(pairs))
 
     def blocks(g: dict) -> pa.RecordBatch | None:
         side, node, rest = np.asarray(g["side"]), np.asarray(g["node"]), np.asarray(g["rest"])
@@ -324,33 +319,45 @@ def candidates(described: DataFrame) -> DataFrame:
             pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
         if not pairs:
             return None
-        p, n = counted(pairs, [np.ones(x.shape[1], np.int64) for x in pairs])
-        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(n)], names=["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in distinct(pairs)], names=["a", "b"])
 
     keyed = map_arrow(described.select("node", "bits", "places"), spread, "bucket long, rest long, node long")
     parts = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows are in the order of their nodes within a bucket, so a < b
-    got = checkpoint(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, n long, bucket long, node long, rest long"))
+    got = checkpoint(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, bucket long, node long, rest long"))
     hot = block_pairs(got.where(F.col("bucket").isNotNull()).select("bucket", "node", "rest"), ["bucket"], "node", LARGE)
-    all_ = got.where(F.col("bucket").isNull()).select("a", "b", "n").union(sorted_groups(hot, ["bucket", "bi", "bj"], blocks, "a long, b long, n long"))
-    return all_.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
+    return got.where(F.col("bucket").isNull()).select("a", "b").union(sorted_groups(hot, ["bucket", "bi", "bj"], blocks, "a long, b long")).distinct()
 
 
 def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """The pairs a, b whose matching features agree on one transform."""
-    width = BITS // 8
+    """The pairs a < b whose matching features agree on one transform. Images are dealt to blocks; pairs of two blocks
+    meet the features of their images once, however many pairs an image has."""
+    width, n = BITS // 8, max(1, -(-described.count() // TOGETHER))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    dealt = pairs.select(F.least(of("a"), of("b")).alias("bi"), F.greatest(of("a"), of("b")).alias("bj"), "a", "b")
+    needed = dealt.select("bi", "bj", F.explode(F.array("a", "b")).alias("node")).distinct().join(described.select("node", "bits", "places"), "node")
+    # rows with features have a = b
+    rows = dealt.select("*", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("binary").alias("places")).unionByName(needed.select("bi", "bj", F.col("node").alias("a"), F.col("node").alias("b"), "bits", "places"))
+
+    def run(g: dict) -> pa.RecordBatch | None:
+        a, b = np.asarray(g["a"]), np.asarray(g["b"])
+        row = {a[i]: i for i in np.flatnonzero(a == b)}
+        order = np.flatnonzero(a != b)
+        order = order[np.argsort(a[order], kind="stable")]
+        kept = []
+        for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(order) else []:
+            for k in range(0, len(part), BLOCK):
+                some = part[k : k + BLOCK]
+                at = [row[a[some[0]]], *(row[x] for x in b[some])]
+                bits = [np.frombuffer(g["bits"][i], np.uint8).reshape(-1, width) for i in at]
+                places = [np.frombuffer(g["places"][i], np.float32).reshape(-1, 4).astype(float) for i in at]
+                kept.append(some[agreeing(bits, places, np.array([0]), np.arange(1, len(at)), False)[1]])
+        if not kept:
+            return None
+        keep = np.concatenate(kept)
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "places_a", "places_b")]
-        zero, one, keep = np.array([0]), np.array([1]), np.zeros(batch.num_rows, bool)
-        for i, (x, y, p, q) in enumerate(zip(*columns, strict=True)):
-            bits = [np.frombuffer(v, np.uint8).reshape(-1, width) for v in (x, y)]
-            places = [np.frombuffer(v, np.float32).reshape(-1, 4).astype(float) for v in (p, q)]
-            keep[i] = len(agreeing(bits, places, zero, one, False)[0]) > 0
-        return batch.select(["a", "b"]).filter(pa.array(keep))
-
-    side = lambda s: described.select(F.col("node").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("places").alias(f"places_{s}"))
-    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
+    return sorted_groups(rows, ["bi", "bj"], run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:

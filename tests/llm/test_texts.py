@@ -191,3 +191,18 @@ def test_image_candidates_are_all_close_entries_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(keypoints, "LARGE", 4, raising=False)
     monkeypatch.setattr(keypoints, "HELD", 2, raising=False)
     assert {tuple(r) for r in keypoints.candidates(described).collect()} == want
+
+
+def test_one_shared_entry_makes_a_candidate_and_blocks_verify_alike(spark, monkeypatch):
+    described, want = families(spark)
+    assert {tuple(r) for r in keypoints.candidates(described).collect()} == want
+    rng = np.random.default_rng(2)
+    big = lambda: np.kron(rng.integers(0, 255, (14, 14)), np.ones((9, 9)))
+    images = [big() for _ in range(4)]
+    images += [x[9:, 18:] for x in images]
+    rows = spark.createDataFrame([(i, keypoints.encode(x)) for i, x in enumerate(images)], "image_id long, image binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(8) for j in range(i + 1, 8)], "a long, b long")
+    for together in (8192, 2):
+        monkeypatch.setattr(keypoints, "TOGETHER", together, raising=False)
+        got = keypoints.verified(pairs, keypoints.features(rows, "image_id", "image"))
+        assert {tuple(r) for r in got.collect()} == {(i, i + 4) for i in range(4)}
