@@ -9,6 +9,7 @@ Tables that reach the workers have fixed sizes; counts of all other words are me
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import checkpoint, held_by_worker, slices, strings
+from loglattice.llm.common import checkpoint, held_by_worker, map_arrow, slices, strings
 
 STATES = 8
 #: Words that states emit by themselves, and words whose counts every worker holds; fixed sizes, whatever the corpus.
 EMITTED, HELD = 16_384, 100_000
-ROUNDS = 2
-#: The start of training: so many documents' words at most, and so many rounds on them, only to tell states apart.
-START_TOKENS, START_ROUNDS = 300_000, 12
+#: Rounds go on until one raises the log likelihood (natural logarithm) of a token by less than this.
+SETTLED = 1e-3
 #: Padded tokens of the documents that one recursion takes side by side; distinct words counted before they are passed on.
 SIDE_BY_SIDE, COUNTED = 400_000, 300_000
 #: Expected counts are summed as whole numbers of this unit, so that sums don't depend on their order.
@@ -71,12 +71,13 @@ def forward(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: n
     return out
 
 
-def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch's expected counts: of first states, of moves, and of emissions (id, state)."""
+def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch's expected counts: of first states, of moves, and of emissions (id, state); the log likelihood."""
     # single precision: each step is scaled to one, and sums are kept in double precision
     start, move, emit = (x.astype(np.float32) for x in (start, move, emit))
     k = len(start)
     firsts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))
+    logs = 0.0
     for _, ids, lengths in groups(docs, SIDE_BY_SIDE):
         longest, width = ids.shape
         counts = live(lengths, longest)
@@ -85,6 +86,7 @@ def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit:
             a = (start if t == 0 else alphas[t - 1, :n] @ move) * emit[ids[t, :n]]
             s = a.sum(1)
             alphas[t, :n], scales[t, :n] = a / s[:, None], s
+        logs += np.log(scales).sum(dtype=float)
         beta = np.ones((width, k), np.float32)
         for t in range(longest - 1, 0, -1):
             n = counts[t]
@@ -98,7 +100,7 @@ def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit:
         flat, gamma = ids[mask], alphas[mask]
         for j in range(k):
             emits[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=len(emit))
-    return firsts, moves * move, emits
+    return firsts, moves * move, emits, logs
 
 
 def estimate(firsts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,17 +194,10 @@ def build_vocabulary(counts: DataFrame) -> bytes:
     return pickle.dumps(([w.encode() for w, *_ in order], [c for _, c, _ in order], sum(x >= emitted for *_, x in order), rest, kinds, n, v, ends))
 
 
-def first_parameters(docs: list[np.ndarray], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where Baum-Welch starts: documents dealt to states at random, then some rounds with states that rarely change."""
-    rng = np.random.default_rng(0)
-    emits = np.zeros((len(prior), STATES))
-    for d in docs:
-        emits[:, rng.integers(STATES)] += np.bincount(d, minlength=len(prior))
+def first_parameters(emits: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where Baum-Welch starts: emissions of the documents dealt to each state, and states that rarely change."""
     stay = np.full((STATES, STATES), 0.05 / max(1, STATES - 1)) + np.eye(STATES) * (0.95 - 0.05 / max(1, STATES - 1))
-    now = (np.full(STATES, 1 / STATES), stay, (emits + prior[:, None]) / (emits.sum(0) + 1))
-    for _ in range(START_ROUNDS if docs else 0):
-        now = estimate(*expected(docs, *now), prior)
-    return now
+    return np.full(STATES, 1 / STATES), stay, (emits + prior[:, None]) / (emits.sum(0) + 1)
 
 
 def train(df: DataFrame, text: str = "text") -> tuple[DataFrame, bytes, bytes]:
@@ -211,43 +206,58 @@ def train(df: DataFrame, text: str = "text") -> tuple[DataFrame, bytes, bytes]:
     counts = checkpoint(count_words(df, text))
     held = build_vocabulary(counts)
     voc = Vocabulary(held)
-    docs, total = [], 0
-    for row in df.select(text).limit(2000).toLocalIterator():
-        docs.append(voc.model_ids(voc.look_up(tokens(row[0] or ""))))
-        total += len(docs[-1])
-        if total > START_TOKENS:
-            break
-    now = first_parameters(docs, voc.single)
-    shared = spark.sparkContext.broadcast(held)
-    for _ in range(ROUNDS):
-        now = estimate(*baum_welch(df, text, shared, now), voc.single)
-    return counts, held, pickle.dumps(now)
+    rows = checkpoint(numbered(df, text, spark.sparkContext.broadcast(held)))
+    now, last = first_parameters(baum_welch(rows, len(voc.single))[2], voc.single), None
+    while True:
+        *sums, logs = baum_welch(rows, len(voc.single), now)
+        now = estimate(*sums, voc.single)
+        if last is not None and logs - last < SETTLED * voc.n or not voc.n:
+            return counts, held, pickle.dumps(now)
+        last = logs
+
+
+def numbered(df: DataFrame, text: str, shared) -> DataFrame:
+    """ids (packed, what states emit) of each row, and the state to which a hash of its text deals it."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        voc, texts = vocabulary(shared.value), strings(batch, text)
+        ids = [voc.model_ids(voc.look_up(tokens(t))).tobytes() for t in texts]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([zlib.crc32(t.encode()) % STATES for t in texts], pa.int32())], names=["ids", "state"])
 
-def baum_welch(df: DataFrame, text: str, shared, now) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round's expected counts over all rows. Rows of the sums: first states at -1, moves from state i at -2-i,
-    else emissions of an id."""
-    params = df.sparkSession.sparkContext.broadcast(pickle.dumps(now))
+    return map_arrow(df.select(text), run, "ids binary, state int", text)
+
+
+def baum_welch(rows: DataFrame, size: int, now=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One round's expected counts and log likelihood over all rows; without parameters, counts of the states to which
+    rows are dealt. Rows of the sums: first states at -1, moves from state i at -2-i, the likelihood at -2-STATES, else
+    emissions of an id."""
+    params = rows.sparkSession.sparkContext.broadcast(pickle.dumps(now))
     cols = [f"s{j}" for j in range(STATES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, model, total = vocabulary(shared.value), parameters(params.value), None
-        for batch in slices(batches, text):
-            got = expected([voc.model_ids(voc.look_up(tokens(t))) for t in strings(batch, text)], *model)
+        model, total = parameters(params.value), None
+        for batch in slices(batches, "ids"):
+            docs = [np.frombuffer(x, np.int32) for x in batch.column("ids").to_pylist()]
+            if model is None:
+                state = np.repeat(batch.column("state").to_numpy(), [len(d) for d in docs])
+                emits = np.bincount(np.concatenate(docs).astype(np.int64) * STATES + state, minlength=size * STATES).reshape(size, STATES)
+                got = np.zeros(STATES), np.zeros((STATES, STATES)), emits.astype(float), 0.0
+            else:
+                got = expected(docs, *model)
             total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
         if total is not None:
-            ids = np.concatenate([[-1], -2 - np.arange(STATES), np.arange(len(total[2]))])
-            values = np.rint(np.concatenate([total[0][None], total[1], total[2]]) * UNIT).astype(np.int64)
+            ids = np.concatenate([[-1], -2 - np.arange(STATES + 1), np.arange(size)])
+            likelihood = np.eye(1, STATES) * total[3]
+            values = np.rint(np.concatenate([total[0][None], total[1], likelihood, total[2]]) * UNIT).astype(np.int64)
             some = values.any(1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[some].astype(np.int64)), *(pa.array(values[some, j]) for j in range(STATES))], names=["id", *cols])
 
-    sums = df.select(text).mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in cols)).groupBy("id").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
-    size = len(now[2])
-    full = np.zeros((1 + STATES + size, STATES))
+    sums = rows.mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in cols)).groupBy("id").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
+    full = np.zeros((2 + STATES + size, STATES))
     ids = sums["id"].to_numpy()
-    full[np.where(ids < 0, -1 - ids, 1 + STATES + ids)] = np.stack([sums[c].to_numpy() for c in cols], 1) / UNIT if len(ids) else np.zeros((0, STATES))
+    full[np.where(ids < 0, -1 - ids, 2 + STATES + ids)] = np.stack([sums[c].to_numpy() for c in cols], 1) / UNIT if len(ids) else np.zeros((0, STATES))
     params.unpersist()
-    return full[0], full[1 : 1 + STATES], full[1 + STATES :]
+    return full[0], full[1 : 1 + STATES], full[2 + STATES :], full[1 + STATES, 0]
 
 
 def score(df: DataFrame, counts: DataFrame, held: bytes, model: bytes, key: str = "doc_id", text: str = "text", flag: str = "held_out") -> DataFrame:

@@ -206,3 +206,18 @@ def test_one_shared_entry_makes_a_candidate_and_blocks_verify_alike(spark, monke
         monkeypatch.setattr(keypoints, "TOGETHER", together, raising=False)
         got = keypoints.verified(pairs, keypoints.features(rows, "image_id", "image"))
         assert {tuple(r) for r in got.collect()} == {(i, i + 4) for i in range(4)}
+
+
+def test_states_start_from_all_rows_and_rounds_go_on_until_they_settle(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"{'ab'[i // 100]}{k}" for k in range(40)], k=30)) for i in range(200)]
+    scores = []
+    for order in (texts, texts[::-1]):
+        df = spark.createDataFrame([(t,) for t in order], "text string")
+        _, held, model = hmm.train(df)
+        voc, now = hmm.Vocabulary(held), hmm.pickle.loads(model)
+        docs = [voc.model_ids(voc.look_up(hmm.tokens(t))) for t in texts]
+        scores.append(hmm.forward(docs, *now))
+        again = hmm.forward(docs, *hmm.estimate(*hmm.expected(docs, *now)[:3], voc.single))
+        assert (again - scores[-1]).sum() * math.log(10) < hmm.SETTLED * voc.n
+    assert np.allclose(*scores, atol=0.01)
