@@ -3,11 +3,14 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from hypothesis import given
+from hypothesis import strategies as st
 
 from loglattice.llm import bpe, hmm, hostpaths, keypoints, langid, licenses, packing, surrogates
 from loglattice.llm.catalog import BYTE_BPE, PIECES, WORD_BPE
@@ -156,7 +159,63 @@ def test_surrogates(spark):
     df = spark.createDataFrame([(0, text, 1), (1, None, 1), (2, "", 1), (None, "nothing here", 1)], "doc_id long, text string, entities int")
     got = {r.doc_id: r for r in surrogates.replace(df, key).collect()}
     assert got[0].text == new and got[1].text is None and got[None].text == "nothing here" and got[2].entities == []
-    assert surrogates.checked_key(df, key) == key and surrogates.collisions(df, key).count() == 0
+    assert surrogates.checked_key(df, key) == key and surrogates.collisions(surrogates.entities(df), key).count() == 0
+    assert surrogates.replace(df.limit(0), key).count() == 0 and surrogates.checked_key(df.limit(0), key) == key
+
+
+KEYS = st.binary(min_size=1, max_size=40)
+
+
+@given(st.text("0123456789", min_size=7, max_size=12), st.lists(st.sampled_from(["", " ", "-", "."]), min_size=12, max_size=12), KEYS)
+def test_numbers_in_any_format_have_one_surrogate(digits, marks, key):
+    plain, spaced = "+" + digits, "+" + "".join(d + m for d, m in zip(digits, marks, strict=False)).rstrip(" -.")
+    new = surrogates.surrogate(plain, "phone", key)
+    assert new != plain and len(new) == len(plain)
+    again = surrogates.surrogate(spaced, "phone", key)
+    assert [c for c in again if c.isdigit()] == list(new[1:]) and [c for c in again if not c.isdigit()] == [c for c in spaced if not c.isdigit()]
+
+
+@given(st.lists(st.text("abcxyzéßабв漢字", min_size=2, max_size=6).map(str.title), min_size=2, max_size=30, unique_by=str.lower), KEYS, st.sampled_from(["f", "m", ""]))
+def test_names_keep_apart_and_move(names, key, gender):
+    for new in ([surrogates.surname(n, key) for n in names], [surrogates.given(n, gender, key) for n in names]):
+        assert len({x.lower() for x in new}) == len({x.lower() for x in names}) and all(a.lower() != b.lower() for a, b in zip(names, new, strict=True))
+
+
+def test_no_listed_name_stays_and_genders_match():
+    for key in (b"synthetic tables only", b"k"):
+        for (gender, script), names in surrogates.GIVEN.items():
+            new = [surrogates.given(n, gender, key) for n in names]
+            assert sorted(new) == sorted(names) and all(a != b for a, b in zip(names, new, strict=True)), (gender, script)
+
+
+def test_one_entity_in_several_formats(spark):
+    texts = ["ring +49 170 1234567 and +491701234567", "DE89 3704 0044 0532 0130 00 and DE89370400440532013000", "(207) 555-7294, 207.555.7294, +1 207 555 7294", "2001:db8:0:0:0:0:0:1 and 2001:0DB8:0000:0000:0000:0000:0000:0001", "Anna.S@Mail.example.com and anna.s@mail.example.com"]
+    key = b"synthetic tables only"
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert surrogates.entities(df).count() == len(texts) and surrogates.checked_key(df, key) == key
+    for t in texts:
+        new, spans = surrogates.replaced(t, key)
+        assert len({surrogates.canonical(n, k) for _, _, k, _, n in spans}) == 1 and len(spans) == t.count(",") + t.count("and") + 1
+
+
+def test_names_are_replaced_wherever_they_stand():
+    key = b"synthetic tables only"
+    new, spans = surrogates.replaced("Mr John Smith met John Smith. Smith said hi to SMITH and smith. Dr J. Smith-Jones, Frau Anna van Beek; Beek.", key)
+    assert not any(w in new for w in ("John", "Smith", "SMITH", "Anna", "Beek")) and "smith" in new and "van" in new
+    first, last = new.split()[1:3]
+    assert new.startswith(f"Mr {first} {last} met {first} {last}. {last} said hi to {last.upper()} and smith.") and surrogates._gender[first] == "m"
+    assert surrogates.replaced("Mrs Kimiko Tanaka", key)[0].split()[1].endswith("ina") and surrogates.replaced("Mr Kimiko Tanaka", key)[0].split()[1].endswith("on")
+    man, woman = (surrogates.replaced(t, key)[0].split()[-1] for t in ("Г-н Иванов", "Г-жа Иванова"))
+    assert man.endswith("ов") and woman == man + "а"
+    assert "田" not in surrogates.replaced("Dr 田中 太郎", key)[0] and "Yılmaz" not in surrogates.replaced("Mr Ahmed Yılmaz", key)[0]
+
+
+def test_many_and_long_entities_take_linear_time():
+    key = b"k"
+    for text in ("write to a.b@c.org, " * 50_000, "Mr John Smith " * 50_000, "token=" + "a1" * 3000):
+        began = time.time()
+        assert surrogates.replaced(text, key)[0] != text
+        assert time.time() - began < 20
 
 
 def test_image_copies(spark):
