@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all
 its segmentations into pieces, computed by a forward pass over its letters; a text's is the product over its words.
-Training counts pieces over all labelled training rows; the model is bounded by vocabulary times languages.
+Training counts the pieces of each word's best segmentation by the public vocabulary, over a bounded sample of labelled
+rows (TRAINING_ROWS); prediction sums over all segmentations. The model is bounded by vocabulary times languages.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from loglattice.llm.common import held_by_worker, map_arrow, slices, strings
 
 UNDETERMINED = "und"
-#: Pieces are at most so long; runs of letters over LONGEST are taken in parts, so that products don't underflow.
+#: Pieces are at most so long; runs of letters over LONGEST are taken in parts.
 PIECE, LONGEST = 12, 40
+#: Each letter's factor in the forward pass: sums over words of LONGEST letters then neither vanish nor overflow, whether
+#: all letters are unknown (1e-9 * 1e4 each) or all pieces likely (at most 1e4 each).
+SCALE = 1e4
 #: Added to each piece's count in each language, and the probability of a letter that no piece has.
 SMOOTH, UNKNOWN = 0.05, 1e-9
 REMEMBERED = 400_000
@@ -130,8 +134,8 @@ class Model:
         alpha[0] = 1
         for k, (i, j) in enumerate(spans):
             hit = np.flatnonzero(rows[k])
-            alpha[j, hit] += alpha[i, hit] * self.probs[rows[k, hit]]
-        return np.log(alpha[n])
+            alpha[j, hit] += alpha[i, hit] * (self.probs[rows[k, hit]] * SCALE ** (j - i))
+        return np.log(alpha[n]) - n * np.log(SCALE)
 
     def learn(self, new: list[str]) -> None:
         if len(self.known) > REMEMBERED:
