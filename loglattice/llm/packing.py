@@ -40,7 +40,8 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # the library finds these before it lower-cases and splits: texts that hold one are left to it as a whole
+        self.added = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
         # the same model for what needs neither normaliser nor splitter: words whose bytes are mapped already
         self.plain = Tokenizer(self.tok.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -77,8 +78,9 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # str.split() also splits at four separators that the library keeps; Python lower-cases sigma by its place
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[] if o else (t if "Σ" in t else t.lower()).split() for t, o in zip(texts, odd, strict=True)]
+        lower = [t.lower() for t in texts]
+        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or any(a in t for a in self.added) for t in lower]
+        split = [[] if o else (t if "Σ" in t else w).split() for t, w, o in zip(texts, lower, odd, strict=True)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
             self.words.clear()

@@ -11,6 +11,7 @@ import public_tokenizers as P
 import tiktoken
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from loglattice.llm import bpe, hmm, hostpaths, keypoints, langid, licenses, packing, surrogates
 from loglattice.llm.catalog import BYTE_BPE, PIECES, WORD_BPE
@@ -37,9 +38,10 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
 
 
 def test_packing_keeps_every_id_once(spark):
-    texts = TEXTS + ["word " * n for n in (5000, 300, 800, 12000)] + ["Σίσυφος ΣΑΣ", "a\x1cb"]
+    texts = TEXTS + ["word " * n for n in (5000, 300, 800, 12000)] + ["Σίσυφος ΣΑΣ", "a\x1cb", "hello <|endoftext|> world", "hello<|startoftext|>world", "Hello <|ENDOFTEXT|> World", "<|endof text|>"]
     got = packing.pack(docs(spark, texts), WORD_BPE).collect()
-    tok = packing.word_ids(WORD_BPE).tok
+    tok = Tokenizer.from_file(WORD_BPE)  # as the file has it
+    assert tok.encode(texts[-4], add_special_tokens=False).ids == [3306, 49407, 1002]
     pieces, windows = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         pieces[r.doc_id].append(r)
@@ -89,6 +91,14 @@ def test_language_model_sums_all_segmentations(spark):
     got = {r.doc_id: r for r in langid.predict(spark.createDataFrame([(0, "the water house"), (1, "une maison"), (2, None), (3, "12 !?"), (4, "中文字"), (5, "x" * 500)], "doc_id long, text string"), data).collect()}
     assert [got[i].lang_pred for i in range(4)] == ["en", "fr", "und", "und"] and got[4].lang_score < 0.5
     assert langid.Model(langid.build([])).predict(["some text"]) == [("und", 0.0)]
+    for text in ("漢" * 40, "漢" * 4000, "x" * 41, "é漢" * 20, "the " * 50_000):
+        ((lang, score),) = m.predict([text])
+        assert lang in ("en", "fr") and 0 <= score <= 1, text[:9]
+    long = "".join(rng.choices("houseéàt", k=langid.LONGEST))
+    assert np.allclose(m.word_logs([long])[0], [brute_word(long, p) for p in probs])
+    unknown = langid.predict(spark.createDataFrame([(0, "漢" * 40, 1.0)], "doc_id long, text string, _score double"), data, lang="_lang", score="_score")
+    assert unknown.where(langid.accepted("_lang", "_score")).count() == 0
+    assert langid.predict(spark.createDataFrame([], "doc_id long, text string"), data).count() == 0
 
 
 def test_forward_and_expected_counts_equal_brute_force():
