@@ -1,8 +1,8 @@
 """License scan by ordered signature rules (operator 3).
 
-Rules are regular expressions over a text's words joined by single spaces. A rule is tried only if one of its keywords
-is among the words. Detections are intervals of words; one that lies within an interval of a rule of higher priority,
-or of equal priority and greater length, is suppressed.
+Signatures (signatures.py) are regular expressions over a text's words joined by single spaces. One is tried only if the
+text has its keywords. Detections are intervals of words; one that lies within an interval of a rule of higher priority,
+or of equal priority and greater length, is suppressed. Time grows with the text and with n log n of its detections.
 """
 
 from __future__ import annotations
@@ -11,195 +11,125 @@ import re
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.common import map_arrow, strings
+from loglattice.llm.signatures import BASE, rules
 
-#: Phrases that always count, and their labels.
-BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: All bytes but digits, letters and those beyond ASCII separate words; A-Z are lower-cased.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Label, full name, short name, keyword of the full name, keyword of the short one. Names are patterns over words.
-FAMILIES = [
-    ("mit", r"mit", r"mit", "mit", "mit"),
-    ("apache-2", r"apache( software)?( license)?( version)? 2( 0)?", r"apache 2( 0)?|asl 2( 0)?", "apache", "apache"),
-    ("apache-1.1", r"apache( software)?( license)?( version)? 1 1", r"asl 1 1", "apache", "asl"),
-    ("bsd-2-clause", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd", r"bsd 2", "bsd", "bsd"),
-    ("bsd-3-clause", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd", r"bsd 3", "bsd", "bsd"),
-    ("bsd-4-clause", r"bsd 4 clause|4 clause bsd|original bsd", r"bsd 4", "bsd", "bsd"),
-    ("gpl-2", r"gnu general public licen[sc]e( as published by the free software foundation)?( either)?( version)? 2( 0)?", r"(gnu )?gpl ?v?( version)? ?2( 0)?", "gnu", "gpl"),
-    ("gpl-3", r"gnu general public licen[sc]e( as published by the free software foundation)?( either)?( version)? 3( 0)?", r"(gnu )?gpl ?v?( version)? ?3( 0)?", "gnu", "gpl"),
-    ("gpl", r"gnu general public", r"gnu gpl|gpl", "gnu", "gpl"),
-    ("lgpl-2.1", r"gnu lesser general public licen[sc]e( version)? 2 1", r"(gnu )?lgpl ?v? ?2 1", "lesser", "lgpl"),
-    ("lgpl-3", r"gnu lesser general public licen[sc]e( version)? 3( 0)?", r"(gnu )?lgpl ?v? ?3( 0)?", "lesser", "lgpl"),
-    ("lgpl", r"gnu (lesser|library) general public", r"(gnu )?lgpl", "gnu", "lgpl"),
-    ("agpl-3", r"gnu affero general public licen[sc]e( version)? 3( 0)?", r"(gnu )?agpl ?v? ?3( 0)?", "affero", "agpl"),
-    ("agpl", r"gnu affero general public", r"(gnu )?agpl", "affero", "agpl"),
-    ("mpl-1.1", r"mozilla public licen[sc]e( version)? 1 1", r"mpl 1 1", "mozilla", "mpl"),
-    ("mpl-2", r"mozilla public licen[sc]e( version)? 2( 0)?", r"mpl 2( 0)?", "mozilla", "mpl"),
-    ("epl-1", r"eclipse public licen[sc]e( version)?( v)? 1( 0)?", r"epl 1( 0)?", "eclipse", "epl"),
-    ("epl-2", r"eclipse public licen[sc]e( version)?( v)? 2( 0)?", r"epl 2( 0)?", "eclipse", "epl"),
-    ("cddl-1", r"common development and distribution licen[sc]e", r"cddl( 1 0)?", "distribution", "cddl"),
-    ("cpl-1", r"common public licen[sc]e", r"cpl 1 0", "common", "cpl"),
-    ("isc", r"isc", r"isc", "isc", "isc"),
-    ("zlib", r"zlib( libpng)?", r"zlib", "zlib", "zlib"),
-    ("unlicense", r"unlicense", r"unlicense", "unlicense", "unlicense"),
-    ("wtfpl", r"do what the f[a-z]* you want to public", r"wtfpl", "want", "wtfpl"),
-    ("artistic-1", r"artistic licen[sc]e( version)? 1( 0)?", r"artistic 1( 0)?", "artistic", "artistic"),
-    ("artistic-2", r"artistic licen[sc]e( version)? 2( 0)?", r"artistic 2( 0)?", "artistic", "artistic"),
-    ("bsl-1", r"boost software licen[sc]e", r"bsl 1 0", "boost", "bsl"),
-    ("busl-1.1", r"business source licen[sc]e", r"busl 1 1", "business", "busl"),
-    ("python-2", r"python software foundation", r"psf", "python", "psf"),
-    ("eupl-1.2", r"european union public licen[sc]e", r"eupl( v?1 [012])?", "european", "eupl"),
-    ("ms-pl", r"microsoft public", r"ms pl", "microsoft", "pl"),
-    ("ms-rl", r"microsoft reciprocal", r"ms rl", "microsoft", "rl"),
-    ("ofl-1.1", r"sil open font", r"ofl( 1 1)?", "sil", "ofl"),
-    ("postgresql", r"postgresql", r"postgresql", "postgresql", "postgresql"),
-    ("ncsa", r"university of illinois ncsa( open source)?", r"ncsa", "ncsa", "ncsa"),
-    ("openssl", r"openssl", r"openssl", "openssl", "openssl"),
-    ("php-3", r"php licen[sc]e( version)? 3( 0[01]?)?", r"php 3 0[01]?", "php", "php"),
-    ("ruby", r"ruby", r"ruby s", "ruby", "ruby"),
-    ("zpl-2.1", r"zope public", r"zpl 2 1", "zope", "zpl"),
-    ("afl-3", r"academic free", r"afl 3( 0)?", "academic", "afl"),
-    ("osl-3", r"open software licen[sc]e( version)? 3( 0)?", r"osl 3( 0)?", "software", "osl"),
-    ("sspl-1", r"server side public", r"sspl( 1| v1)?", "side", "sspl"),
-    ("elastic-2", r"elastic licen[sc]e( version)? 2( 0)?", r"elastic 2( 0)?", "elastic", "elastic"),
-    ("vim", r"vim", r"vim", "vim", "vim"),
-    ("x11", r"x11", r"x11", "x11", "x11"),
-    ("cc0-1", r"creative commons (cc0|zero)( 1 0)?( universal)?", r"cc0( 1 0)?", "creative", "cc0"),
-    ("cc-by-nc-nd", r"creative commons attribution non ?commercial no ?deriv[a-z]*", r"cc by nc nd( [1-4] 0)?", "attribution", "nd"),
-    ("cc-by-nc-sa", r"creative commons attribution non ?commercial share ?alike", r"cc by nc sa( [1-4] 0)?", "attribution", "sa"),
-    ("cc-by-nc", r"creative commons attribution non ?commercial", r"cc by nc( [1-4] 0)?", "attribution", "nc"),
-    ("cc-by-nd", r"creative commons attribution no ?deriv[a-z]*", r"cc by nd( [1-4] 0)?", "attribution", "nd"),
-    ("cc-by-sa", r"creative commons attribution share ?alike", r"cc by sa( [1-4] 0)?", "attribution", "sa"),
-    ("cc-by", r"creative commons attribution", r"cc by( [1-4] 0)?", "attribution", "by"),
-    ("odbl-1", r"open (database|data commons open database)", r"odbl( 1 0)?", "database", "odbl"),
-    ("gfdl-1.3", r"gnu free documentation", r"(gnu )?gfdl( 1 [0-3])?", "documentation", "gfdl"),
-]
-LICENSE = r"licen[sc](e|ed|es|ing)"
-#: Form of a signature with {n} for a name, whether it takes the short name, priority, confidence, keywords besides.
-FORMS = [
-    (r"spdx licen[sc]e identifier ({n})", True, 50, 1.0, ("spdx",)),
-    (r"(licen[sc]ed|released|distributed|available|published|provided|redistribut[a-z]+) under (the )?(terms of )?(the )?({n})( licen[sc]e)?( version [0-9]+( [0-9]+)?)?", False, 40, 1.0, ("under",)),
-    (r"(licen[sc]ed|released|distributed|available|published|provided|redistribut[a-z]+) under (the )?(terms of )?(the )?({n})( licen[sc]e)?( version [0-9]+( [0-9]+)?)?", True, 39, 0.95, ("under",)),
-    (r"({n}) licen[sc]e( version [0-9]+( [0-9]+)?)?", False, 30, 0.9, ("license", "licence")),
-    (r"({n}) licen[sc]e( version [0-9]+( [0-9]+)?)?", True, 29, 0.85, ("license", "licence")),
-    (r"licen[sc]e( is)? (the )?({n})", True, 20, 0.7, ("license", "licence")),
-]
-#: Signatures of terms rather than names.
-TERMS = [
-    (r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 45, 1.0, "hereby"),
-    (r"permission to use copy modify and or distribute this software for any purpose", "isc", 45, 1.0, "permission"),
-    (r"redistribution and use in source and binary forms with or without modification", "bsd", 44, 0.9, "redistribution"),
-    (r"neither the name of .{1,80} nor the names of its contributors", "bsd-3-clause", 45, 1.0, "neither"),
-    (r"all advertising materials mentioning features or use of this software", "bsd-4-clause", 45, 1.0, "advertising"),
-    (r"this is free and unencumbered software released into the public domain", "unlicense", 45, 1.0, "unencumbered"),
-    (r"(released|placed) (in|into) the public domain", "public-domain", 25, 0.8, "domain"),
-    (r"all rights reserved", "proprietary", 10, 0.5, "reserved"),
-    (r"(proprietary and confidential|confidential and proprietary)", "proprietary", 20, 0.8, "proprietary"),
-    (r"(commercial use is prohibited|for non ?commercial use only|not for commercial use)", "non-commercial", 20, 0.8, "commercial"),
-    (r"may not be (copied|reproduced|redistributed)( or [a-z]+)? without( the)?( prior| express)?( written)? permission", "proprietary", 20, 0.8, "permission"),
-    (r"creative commons", "cc", 5, 0.5, "creative"),
-]
-
-
-class Rule(NamedTuple):
-    pattern: str
-    label: str
-    priority: int
-    confidence: float
-    keywords: frozenset[str]  # one of them must be among the words
-    also: frozenset[str]  # and one of these; empty: no such demand
-
-
-def rules() -> list[Rule]:
-    """Every family in every form, then terms and base phrases, by falling priority; a more exact name goes first."""
-    made = [
-        Rule(form.replace("{n}", short if brief else full), label, priority, confidence, frozenset([key_short if brief else key]), frozenset(also))
-        for form, brief, priority, confidence, also in FORMS
-        for label, full, short, key, key_short in FAMILIES
-    ]
-    # short names with digits glued on have no word of their own to look for: spdx and under are enough
-    made = [r._replace(keywords=frozenset()) if re.search(r" \?v\?| \?2| \?3|asl|\bv\?", r.pattern) else r for r in made]
-    made += [Rule(p, label, priority, c, frozenset([key]), frozenset()) for p, label, priority, c, key in TERMS]
-    made += [Rule(p, label, 35, 0.9, frozenset([p.split()[-1 if label == "cc-by-nc" else 0 if label == "apache-2" else 2]]), frozenset()) for p, label in BASE.items()]
-    return sorted(made, key=lambda r: -r.priority)
-
 
 @lru_cache(1)
 def compiled():
-    out = [(re.compile(b"(?<= )(?:%b)(?= )" % r.pattern.encode()).finditer, r, {k.encode() for k in r.keywords}, {k.encode() for k in r.also}) for r in rules()]
-    return out, frozenset(k for _, _, a, b in out for k in a | b)
+    out = [(re.compile(b"(?<= )(?:%b)(?= )" % r.pattern.encode()).finditer, [frozenset(w.encode() for w in k) for k in r.keywords]) for r in rules()]
+    return out, frozenset(w for _, keys in out for k in keys for w in k)
+
+
+@lru_cache(1)
+def base_phrases():
+    return [(label, re.compile(b"(?<= )%b(?= )" % phrase.encode()).finditer) for phrase, label in BASE.items()]
+
+
+class Detections(NamedTuple):
+    """Intervals of words, and the number of the rule that found each."""
+
+    start: np.ndarray
+    end: np.ndarray
+    rule: np.ndarray
 
 
-class Found(NamedTuple):
-    start: int
-    end: int
-    label: str
-    priority: int
-    confidence: float
+NONE = Detections(*(np.zeros(0, np.int64),) * 3)
 
 
-def resolve(found: list[Found]) -> list[Found]:
-    """Drop each interval that lies within one of higher priority, or of equal priority and greater length, or of
-    both equal and found by an earlier rule."""
-    kept: list[Found] = []
-    for f in sorted(found, key=lambda f: (-f.priority, f.start - f.end)):
-        if not any(k.start <= f.start and f.end <= k.end for k in kept):
-            kept.append(f)
-    return sorted(kept)
+def resolve(found: Detections, priority: np.ndarray) -> Detections:
+    """Without each interval that lies within one of higher priority, or of equal priority and greater length, or of
+    both equal and found by an earlier rule. What suppresses need not stand itself: what suppresses it lies around both."""
+    falling = -priority[found.rule]
+    kept, starts, reach = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for level in np.unique(falling):
+        at = np.flatnonzero(falling == level)
+        at = at[np.lexsort((found.rule[at], -found.end[at], found.start[at]))]
+        # within a level, what begins no later and reaches at least as far stands before
+        far = np.maximum.accumulate(found.end[at])
+        ok = np.r_[True, far[:-1] < found.end[at][1:]]
+        if len(starts):
+            k = np.searchsorted(starts, found.start[at], side="right") - 1
+            ok &= np.where(k >= 0, reach[np.maximum(k, 0)], -1) < found.end[at]
+        at = at[ok]
+        kept.append(at)
+        all_starts, all_ends = np.concatenate([starts, found.start[at]]), np.concatenate([reach, found.end[at]])
+        order = np.argsort(all_starts, kind="stable")
+        starts, reach = all_starts[order], np.maximum.accumulate(all_ends[order])
+    at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    at = at[np.lexsort((found.end[at], found.start[at]))]
+    return Detections(found.start[at], found.end[at], found.rule[at])
 
 
 def words(text: str) -> list[bytes]:
     return text.encode().translate(_WORD).split()
 
 
-def scan(text: str) -> tuple[int, list[int], list[str], list[Found]]:
+def scan(text: str) -> tuple[int, np.ndarray, list[str], Detections]:
     """Number of words, starts of base phrases, their labels, and the detections that stand."""
     got = words(text)
     table, keys = compiled()
     present = keys.intersection(got)
     if not present:
-        return len(got), [], [], []
+        return len(got), NONE.start, [], NONE
     joined = b" " + b" ".join(got) + b" "
-    found = []
-    for find, rule, some, also in table:
-        if (not some or some & present) and (not also or also & present):
-            for m in find(joined):
-                start = joined.count(b" ", 0, m.start()) - 1
-                found.append(Found(start, start + m.group().count(b" ") + 1, rule.label, rule.priority, rule.confidence))
+    begins = None
+
+    def spans(find) -> np.ndarray:
+        """Intervals of words of all matches, as (start, end) rows."""
+        nonlocal begins
+        at = np.array([m.span() for m in find(joined)], np.int64).reshape(-1, 2)
+        if len(at) and begins is None:
+            begins = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1
+        return np.searchsorted(begins, at) if len(at) else at
+
+    starts, ends, which = [], [], []
+    for n, (find, some) in enumerate(table):
+        if any(k <= present for k in some):
+            at = spans(find)
+            if len(at):
+                starts.append(at[:, 0])
+                ends.append(at[:, 1])
+                which.append(np.full(len(at), n))
     places, labels = [], []
-    for phrase, label in BASE.items():
-        needle = f" {phrase} ".encode()
-        at = joined.find(needle)
-        while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+    for label, find in base_phrases():
+        at = spans(find)
+        if len(at):
+            places.append(at[:, 0])
             labels.append(label)
-            at = joined.find(needle, at + 1)
-    return len(got), places, labels, resolve(found)
+    found = resolve(Detections(np.concatenate(starts), np.concatenate(ends), np.concatenate(which)), np.array([r.priority for r in rules()])) if starts else NONE
+    return len(got), np.concatenate(places) if places else NONE.start, labels, found
 
 
 def licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and
     detections as (start, end, label, confidence) in words. score is the largest confidence of a detection or 0.
-    A null or empty text has no words and no labels; a null key stays null."""
+    A null or empty text has no words and no labels; a null key stays null; repeated rows are scanned each; an empty table
+    gives no rows; other columns are left out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [scan(t) for t in strings(batch, text)]
+        known = rules()
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("confidence", pa.float64())]))
+        kinds = [np.unique(d.rule).tolist() for *_, d in got]
         columns = [
             batch.column(key),
             pa.array([n for n, *_ in got], pa.int64()),
             pa.array([len(p) for _, p, *_ in got], pa.int64()),
-            pa.array([min(p, default=None) for _, p, *_ in got], pa.int64()),
-            pa.array([max(p, default=None) for _, p, *_ in got], pa.int64()),
-            pa.array([",".join(sorted(set(b))) for _, _, b, _ in got], pa.string()),
-            pa.array([",".join(sorted({*b, *(f.label for f in d)})) for _, _, b, d in got], pa.string()),
-            pa.array([max([f.confidence for f in d] + [0.9] * bool(b), default=0.0) for _, _, b, d in got], pa.float64()),
-            pa.array([[{"start": f.start, "end": f.end, "label": f.label, "confidence": f.confidence} for f in d] for *_, d in got], spans),
+            pa.array([int(p.min()) if len(p) else None for _, p, *_ in got], pa.int64()),
+            pa.array([int(p.max()) if len(p) else None for _, p, *_ in got], pa.int64()),
+            pa.array([",".join(sorted(b)) for _, _, b, _ in got], pa.string()),
+            pa.array([",".join(sorted({*b, *(known[k].label for k in ks)})) for (_, _, b, _), ks in zip(got, kinds, strict=True)], pa.string()),
+            pa.array([max([known[k].confidence for k in ks] + [0.9] * bool(b), default=0.0) for (_, _, b, _), ks in zip(got, kinds, strict=True)], pa.float64()),
+            pa.array([[{"start": a, "end": e, "label": known[k].label, "confidence": known[k].confidence} for a, e, k in zip(*(x.tolist() for x in d), strict=True)] for *_, d in got], spans),
         ]
         return pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -3,17 +3,19 @@
 import collections
 import math
 import random
+import re
 import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from loglattice.llm import bpe, hmm, hostpaths, keypoints, langid, licenses, packing, surrogates
+from loglattice.llm import bpe, hmm, hostpaths, keypoints, langid, licenses, packing, signatures, surrogates
 from loglattice.llm.catalog import BYTE_BPE, PIECES, WORD_BPE
 
 TEXTS = ["", None, "Hello  world's 123 don't\n\n x", "für die ñandú é 中文 😀", " a", "a " * 50, "x" * 3000, "tab\tand space ... ,. !!,", "Under the MIT License. CC-BY-NC, Apache License, Version 2.0"]
@@ -66,9 +68,66 @@ def test_licenses(spark):
     rows = {r.doc_id: r for r in licenses.licenses(docs(spark)).collect()}
     r = rows[8]
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (12, 3, 0, 7, "apache-2,cc-by-nc,mit") and 0 < r.score <= 1
-    assert rows[1].n_words == 0 and rows[1].labels == "" and rows[1].first_word is None and len(licenses.rules()) > 200
-    spans = licenses.resolve([licenses.Found(0, 9, "a", 5, 1.0), licenses.Found(2, 5, "b", 4, 1.0), licenses.Found(8, 12, "c", 9, 1.0)])
-    assert [s.label for s in spans] == ["a", "c"]
+    assert rows[1].n_words == 0 and rows[1].labels == "" and rows[1].first_word is None
+    assert licenses.licenses(docs(spark).limit(0)).count() == 0 and licenses.licenses(docs(spark)).count() == len(TEXTS) + 1
+    found = licenses.Detections(*np.array([[0, 9, 0], [2, 5, 1], [8, 12, 2], [2, 5, 3], [0, 9, 4]]).T)
+    assert licenses.resolve(found, np.array([5, 4, 9, 4, 5])).rule.tolist() == [0, 2]
+
+
+def test_base_places_equal_brute_force(spark):
+    rng = random.Random(7)
+    pool = ["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "CC-BY-NC", "Under The MIT License", "x", "\n", "é", "mité", "2.0", "Ä"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", " ", "-", ", ", "", "\x00"]) for _ in range(rng.randrange(200))) for _ in range(300)]
+    rows = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        got = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        hits = [(k, label) for phrase, label in signatures.BASE.items() for k in range(len(got)) if got[k : k + len(phrase.split())] == phrase.split()]
+        some += bool(hits)
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(got), len(hits), min((k for k, _ in hits), default=None), max((k for k, _ in hits), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in hits})) and {x for _, x in hits} <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1
+    assert some > 100
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12), st.integers(0, 5)), max_size=40))
+def test_suppression_equals_brute_force(items):
+    priority = np.array([3, 3, 2, 2, 1, 0])
+    found = sorted({(a, a + n, k) for a, n, k in items})
+    inside = lambda f, g: g[0] <= f[0] and f[1] <= g[1]
+    stronger = lambda f, g: (priority[g[2]], g[1] - g[0], -g[2]) > (priority[f[2]], f[1] - f[0], -f[2])
+    want = sorted(f for f in found if not any(inside(f, g) and stronger(f, g) for g in found))
+    arrays = np.array(found, np.int64).reshape(-1, 3).T
+    got = licenses.resolve(licenses.Detections(*arrays), priority)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+@pytest.mark.parametrize("n", range(0, 320, 20))
+def test_every_signature_passes_its_own_gate(n):
+    """A text that a signature matches has one of its sets of keywords."""
+    rules = signatures.rules()
+    assert len(rules) >= 200 and len({r.pattern for r in rules}) == len(rules)
+    for rule in rules[n : n + 20]:
+
+        @settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(rule.pattern, fullmatch=True, alphabet=st.characters(codec="latin-1")))
+        def check(text):
+            assert any(k <= set(text.split(" ")) for k in rule.keywords), (rule, text)
+            found = licenses.scan(text)[3]
+            assert len(found.rule), (rule, text)
+
+        check()
+
+
+def test_long_texts_of_one_phrase_scan_in_time():
+    for phrase in ("under the mit license ", "all rights reserved ", "licensed under the apache license version 2 0 "):
+        text = phrase * (10_000_000 // len(phrase))
+        began = time.time()
+        n, places, _, found = licenses.scan(text)
+        assert time.time() - began < 15 and n == text.count(" ")
+        assert len(found.rule) == n // len(phrase.split()) or "apache" in phrase
 
 
 def brute_word(word, probs):
