@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,16 +15,38 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 4_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir, from the session or its context."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there. The folder is spark.checkpoint.dir;
-    only where that is unset (tests, a single machine) a folder under /tmp is used."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Write df to the cluster's checkpoint folder and go on from there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "/tmp/loglattice-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a compressed table of columns in the cluster's checkpoint folder, for rows that are read more than once and
+    not always whole. `release` deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote; results that haven't been read yet can't be read any more.
+    Checkpoints proper go when Spark's cleaner finds them unused (spark.cleaner.referenceTracking.cleanCheckpoints)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -215,6 +215,85 @@ def test_html_main_text(spark):
     assert got == sorted((i, t, len(t)) for i, t in [(0, want), (0, want), (1, want), (2, "Only this"), (3, ""), (4, ""), (5, "plain text")])
 
 
+def test_nested_items_end_each_other():
+    texts = hostpaths.parsed("<ul><li><p>a<li><b>b<p>c</ul><p>d<table><tr><td>e<td>f<tr><td>g</table><dl><dt>h<dd>i<dt>j").texts
+    assert texts == list("abcdefghij")
+    p = hostpaths.parsed("<ul><li>a<li>b</ul>")
+    assert [p.names[k] for k in p.at] == ["li", "li"] and len({p.parents[k] for k in p.at}) == 1
+
+
+def brute_scores(p):
+    """Scores by walking up from each block."""
+    total = {k: 0.0 for k in range(len(p.names))}
+    for text, linked, at in zip(p.texts, p.linked, p.at, strict=True):
+        weight = max(0, len(text) - 2 * linked)
+        k = at if p.names[at].split(".")[0] in ("", "body", "html", "div", "section", "article", "main", "td") else p.parents[at]
+        while k >= 0:
+            total[k] += weight
+            weight, k = weight / 2, p.parents[k]
+    for k, name in enumerate(p.names):
+        tag, _, label = name.partition(".")
+        total[k] *= 4 if tag in ("article", "main") else 2 if hostpaths.GOOD & set(re.split("[^a-z]+", label.lower())) else 1
+    return [total[k] for k in range(len(p.names))]
+
+
+@given(st.lists(st.sampled_from(["<div class=post-1>", "<div>", "</div>", "<p>", "</p>", "<ul><li>", "</ul>", "text here ", "<a href=x>link</a>", "<article>", "</article>", "<nav>", "</nav>", "<b>", "</i>", "<br>", "&amp;", "<td>", "<!-- x -->", "<script>a</script>"]), max_size=60))
+def test_scores_equal_brute_force(parts):
+    p = hostpaths.parsed("".join(parts))
+    assert np.allclose(hostpaths.scores(p), brute_scores(p)) and all(a < k for k, a in enumerate(p.parents))
+
+
+def test_votes_and_extraction_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    pages = []
+    for i in range(120):
+        site = i % 3
+        body = "".join(f"<p>{' '.join(rng.choices(['some', 'words', 'here'], k=rng.randrange(3, 30)))}</p>" for _ in range(rng.randrange(4)))
+        pages.append((i, f"http://h{site}.example/{i}", f"<div class='c{site}-{i}'><div class='box{site}'>{body}</div><div class=x{rng.randrange(3)}><div>{'other words ' * rng.randrange(20)}</div></div></div>"))
+    pages.append((500, None, "<p>no host"))
+    votes = collections.defaultdict(collections.Counter)
+    for _, url, page in pages:
+        p = hostpaths.parsed(page)
+        s = brute_scores(p)
+        for k in range(len(s)):
+            if s[k]:
+                path, up = [], k
+                while up > 0:
+                    path.append(p.names[up])
+                    up = p.parents[up]
+                votes[(url or "").split("/")[2:3][0] if url else ""][tuple(path[::-1])] += round(hostpaths.POINTS * s[k] / sum(s))
+    want = {}
+    for i, url, page in pages:
+        p = hostpaths.parsed(page)
+        own = votes[url.split("/")[2] if url else ""]
+        path = min(own, key=lambda x: (-own[x], len(x)))
+        names = []
+        for k in range(len(p.names)):
+            names.append(() if not k else names[p.parents[k]] + (p.names[k],))
+        got = [t for t, at in zip(p.texts, p.at, strict=True) if names[at][: len(path)] == path]
+        if not got and p.texts:
+            s = brute_scores(p)
+            top = names[s.index(max(s))]
+            first = s.index(max(s))
+            inside = lambda k: k == first or k > 0 and inside(p.parents[k])  # noqa: E731, B023
+            got = [t for t, at in zip(p.texts, p.at, strict=True) if inside(at) and top is not None]
+        want[i] = "\n\n".join(got)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for hosts in (hostpaths.HOSTS, 1):  # the second joins by salted hosts
+        monkeypatch.setattr(hostpaths, "HOSTS", hosts)
+        assert {r.page_id: r.text for r in hostpaths.main_text(df).collect()} == want
+    assert hostpaths.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 150_000, "<b>" * 100_000 + "<p>x" * 100_000, "<div>" * 50_000 + "</span>" * 50_000, "<a " * 300_000, "<li><p>x" * 100_000, "<script>" + "</script" * 100_000, "<!--" * 200_000, "<p class='a" + "<p " * 100_000, "text &amp; " * 100_000, "<ul><li>" * 60_000])
+def test_odd_long_pages_take_linear_time(page):
+    began = time.time()
+    p = hostpaths.parsed(page)
+    total = hostpaths.scores(p)
+    hostpaths.extract(np.array(p.parents), np.array(p.paths), hostpaths.best(total), p.texts, np.array(p.at, int), None)
+    assert time.time() - began < 10
+
+
 def test_surrogates(spark):
     text = "Mrs Anna Schmidt <anna.s@mail1.example.com>, +1 (207) 555-7294 or +12075557294, 10.1.2.3, 4111 1111 1111 1111, password=abc123def4. Frau Schmidt."
     key = b"k"
