@@ -161,11 +161,21 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], pa.Record
     return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def block_pairs(df: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
-    """Rows of large groups split into blocks of about `size` rows by a hash of `order`; each row once for each
-    pair of blocks (bi <= bj) that its block is part of. Columns added: bi, bj, side (0: of bi, 1: of bj; 2: bi = bj)."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.ceil(F.col("_n") / size).cast("int")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def block_pairs(df: DataFrame, group: list[str], order: str, size: int, weight: str | None = None, most: int = 1 << 26) -> DataFrame:
+    """Rows of large groups split into blocks of about `size` rows, or about `most` bytes where `weight` names a column of
+    bytes, by a hash of `order`; each row once for each pair of blocks (bi <= bj) that its block is part of. Columns added:
+    bi, bj, side (0: of bi, 1: of bj; 2: bi = bj). Reads df twice, so callers write it before. Groups of one row have no
+    pairs and are left out."""
+    total = F.sum(F.length(weight)) if weight else F.lit(0)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), total.cast("long").alias("_w")).where("_n > 1")
+    blocks = F.greatest(F.ceil(F.col("_n") / size), F.ceil(F.col("_w") / most)).cast("int")
     with_block = (
         df.join(sizes, group)
         .withColumn("_nb", blocks)
@@ -199,25 +209,38 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes, parent[nodes]
 
 
+#: Nodes of more edges than this, or than this share of all edges, are met by a broadcast of their own: there are no more
+#: of them than edges / HEAVY, and never more than 1 / HEAVY_SHARE.
+HEAVY, HEAVY_SHARE = 1000, 1e-5
+
+
+def starred(rows: DataFrame, centres: DataFrame, edges: int) -> DataFrame:
+    """rows (a, b) with m of their centre (a, m, n rows), without dealing a heavy centre's rows to one task."""
+    least = max(HEAVY, int(edges * HEAVY_SHARE))
+    heavy = F.broadcast(centres.where(F.col("n") > least).select("a", "m"))
+    return rows.join(heavy, "a").unionByName(rows.join(heavy.select("a"), "a", "left_anti").join(centres.where(F.col("n") <= least).select("a", "m"), "a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Columns node, component (the smallest node reachable) of every node of the undirected edges (a long, b long).
     Large-star and small-star rounds: the number of rounds follows the logarithm of the longest chain, each round
-    shuffles no more rows than there are edges, and nothing is gathered on the driver but a count."""
+    shuffles no more rows than there are edges, and nothing is gathered on the driver but counts."""
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpoint(both)
+    n = e.count()
     seen = None
-    while True:
+    while n:
         # large star: each node's larger neighbours point to its smallest neighbour or itself
         sym = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = sym.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = checkpoint(sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = checkpoint(starred(sym.where("b > a"), low, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         # small star: each node's smaller neighbours and itself point to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = checkpoint(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = starred(large, least, n).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         e = checkpoint(small)
         state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == state:
             break
-        seen = state
+        seen, n = state, state["n"]
     tops = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)

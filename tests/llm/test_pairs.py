@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from loglattice.llm import lshforest, rotated
+from loglattice.llm import common, lshforest, rotated
 from loglattice.llm.common import components
 from loglattice.llm.licenses import words
 
@@ -33,6 +33,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_heavy_centres(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 5)
+    monkeypatch.setattr(common, "HEAVY_SHARE", 0)
+    rng = random.Random(4)
+    pairs = [(rng.choice([0, 700, 701]), i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 430)] + [(700, 430), (701, 299)]
+    want = reachable(702, pairs)
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: want[x] for p in pairs for x in p}
+
+
 def test_rotated_codes_find_all_links(spark, monkeypatch):
     monkeypatch.setattr(rotated, "BLOCK", 40)
     rng = np.random.default_rng(1)
@@ -59,12 +69,22 @@ def test_rotated_codes_find_all_links(spark, monkeypatch):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(2)
-    a, b = rng.standard_normal((400, 64)), rng.standard_normal((300, 64))
-    codes, factors = rotated.encode(a)
-    guess, error = rotated.estimates(codes, factors, b)
-    true = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-    assert abs((guess - true).mean()) < 1e-3
-    assert (np.abs(guess - true) <= rotated.SIGMAS * error[:, None]).all()
+    for dim in (64, 100, 7):
+        a, b = rng.standard_normal((400, dim)), rng.standard_normal((300, dim))
+        (codes, factors, _, _), (_, _, planes, scale) = rotated.encode(a), rotated.encode(b)
+        guess = rotated.estimates(codes, factors, planes, scale, dim)
+        true = rotated.unit(a) @ rotated.unit(b).T
+        assert abs((guess - true).mean()) < (2e-3 if dim > 7 else 2e-2)
+        if dim > 7:
+            assert (np.abs(guess - true) <= rotated.SIGMAS * rotated.errors(factors, scale[:, 1], dim)).all()
+    same = rotated.encode(a)
+    assert all((x == y).all() for x, y in zip(same, rotated.encode(a), strict=True))
+
+
+def test_different_vectors_of_one_id(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0], 0), (6, [1.0, 0.01, 0.0], 0), (7, [0.0, 1.0, 0.01], 0), (8, [0.0, 0.0, 1.0], 0), (8, [0.0, 0.0, 1.0], 0), (8, [0.0, 0.0, 1.0], 1)]
+    got = rotated.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted(map(tuple, got.collect())) == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (8, 0, 8, True), (8, 1, 8, True), (8, 1, 8, True)]
 
 
 def jaccard_rows(texts):
