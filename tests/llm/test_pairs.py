@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from loglattice.llm import common, lshforest, rotated
 from loglattice.llm.common import components
@@ -144,6 +145,60 @@ def test_deduplicate_keeps_null_keys_and_texts_of_repeated_keys(spark):
 
 
 def test_prefix_reaches_the_recall():
-    m = lshforest.prefix_bytes(0.8)
+    m = lshforest.target_depth(0.8)
     assert 1 - (1 - 0.8**m) ** lshforest.TREES >= lshforest.RECALL
     assert 1 - (1 - 0.8 ** (m + 1)) ** lshforest.TREES < lshforest.RECALL
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_classes_meet_below_the_nodes_of_a_trie(spark, monkeypatch, parts):
+    """All pairs of classes that share a prefix of the target depth in some tree meet, whatever the partitions; no pair meets
+    that shares less than one byte fewer."""
+    rng = np.random.default_rng(11)
+    n, t, w = 400, lshforest.TREES, lshforest.LABEL
+    sigs = rng.integers(0, 2, (n, t, w), np.uint8)  # short alphabets, so that prefixes are shared
+    sigs[:, 3:] = rng.integers(0, 256, (n, t - 3, w), np.uint8)
+    sigs[:150, 0, :6] = 9  # a crowd below one prefix
+    m = lshforest.target_depth(0.8)
+    same = (np.cumprod(sigs[:, None] == sigs[None, :], 3).sum(3)).max(2)
+    must = {(i, j) for i, j in zip(*np.nonzero(np.triu(same >= m, 1)), strict=True)}
+    may = {(i, j) for i, j in zip(*np.nonzero(np.triu(same >= m - 1, 1)), strict=True)}
+    classes = spark.createDataFrame([(i, bytes(s.tobytes())) for i, s in enumerate(sigs)], "node long, sig binary")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        groups = {}
+        for r in lshforest.candidates(classes, 0.8).collect():
+            groups.setdefault(r.meeting, []).append(r.node)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {tuple(sorted((a, b))) for g in groups.values() for i, a in enumerate(g) for b in g[:i]}
+    assert must <= got <= may and len(got) > len(must)
+
+
+def test_recall_against_brute_force(spark):
+    """Of pairs of random sets at similarities just above the threshold, nearly all are linked; none below it."""
+    rng = random.Random(8)
+    texts, want = [], []
+    for k in range(300):
+        words_ = [f"x{rng.randrange(10**9)}" for _ in range(124)]
+        other = list(words_)
+        for at in rng.sample(range(10, 110, 9), 2):  # two words changed: ten of 120 runs differ
+            other[at] = f"y{rng.randrange(10**9)}"
+        if k % 3 == 0:
+            other[118] = "z"  # and some more near the end
+        texts += [" ".join(words_), " ".join(other)]
+        want.append(jaccard_rows(texts[-2:]) != [])
+    got = {r.doc_id: r.n_links for r in lshforest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hit = [got[2 * k] == 1 for k in range(300)]
+    assert sum(want) >= 190 and sum(h for h, w in zip(hit, want, strict=True) if w) >= 0.99 * sum(want) and not any(h for h, w in zip(hit, want, strict=True) if not w)
+
+
+def test_clashing_names_and_different_texts_of_one_id(spark):
+    same, other = "a b c d e f", "u v w x y z"
+    rows = [(1, same, 1, 1, 1, 1), (1, other, 1, 1, 1, 1), (2, same, 1, 1, 1, 1), (3, other, 1, 1, 1, 1), (4, "x " * 400_000, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, _kept long, component_id long, node long")
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in lshforest.near_duplicates(df).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+    assert sorted((r.doc_id, r.text[:20]) for r in lshforest.deduplicate(df).collect()) == [(1, same), (1, other), (4, ("x " * 10))] and lshforest.deduplicate(df).columns == df.columns
