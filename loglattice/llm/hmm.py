@@ -1,9 +1,11 @@
 """Hidden Markov language model (operator 5).
 
-Words are counted exactly over all training documents. The model emits the most frequent words, the end of a text and
-one class for all other words from hidden states; a word of the class has a smoothed share of it. Each Baum-Welch round
-computes expected counts in every partition and sums them in Spark; scores come from the scaled forward recursion.
-Tables that reach the workers have fixed sizes; counts of all other words are met by a join on the word.
+Words are counted exactly over all training documents. States emit the most frequent words and the end of a text by
+themselves, all other words through classes to which a hash deals them; a word of a class has a smoothed share of it by its
+own count, and the number of classes grows with the vocabulary. Each Baum-Welch round computes expected counts in every
+partition and sums them in Spark; scores come from the scaled forward recursion. Long documents are cut into blocks whose
+transfer matrices are computed side by side and then chained, which gives the same sums in fewer steps. Tables that reach
+the workers have bounded sizes; counts of all other words are met by a join on the word.
 """
 
 from __future__ import annotations
@@ -15,18 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import checkpoint, held_by_worker, map_arrow, slices, strings
+from loglattice.llm.common import held_by_worker, map_arrow, slices, strings, written
 
 STATES = 8
 #: Words that states emit by themselves, and words whose counts every worker holds; fixed sizes, whatever the corpus.
 EMITTED, HELD = 16_384, 100_000
+#: All other words are dealt to classes, about so many words to each; between so many classes.
+TO_CLASS, LEAST_CLASSES, MOST_CLASSES = 128, 256, 131_072
 #: Rounds go on until one raises the log likelihood (natural logarithm) of a token by less than this.
 SETTLED = 1e-3
 #: Padded tokens of the documents that one recursion takes side by side; distinct words counted before they are passed on.
 SIDE_BY_SIDE, COUNTED = 400_000, 300_000
+#: Documents of more tokens are cut into blocks of so many.
+LONG, BLOCK = 2048, 512
 #: Expected counts are summed as whole numbers of this unit, so that sums don't depend on their order.
 UNIT = 1 << 20
 
@@ -36,71 +42,141 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def groups(docs: list[np.ndarray], most: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Documents by falling length: their numbers, ids as a (time, document) array, lengths."""
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+def groups(docs: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences by falling length: their numbers, ids as a (time, sequence) array, and how many have a token at each
+    time."""
+    sizes = np.array([len(d) for d in docs])
+    order = np.argsort(-sizes, kind="stable")
     at = 0
     while at < len(order):
-        longest = max(1, len(docs[order[at]]))
+        longest = max(1, sizes[order[at]])
         part = order[at : at + max(1, most // longest)]
-        lengths = np.array([len(docs[i]) for i in part])
         ids = np.zeros((longest, len(part)), np.int32)
         for k, i in enumerate(part):
-            ids[: lengths[k], k] = docs[i]
-        yield part, ids, lengths
+            ids[: sizes[i], k] = docs[i]
+        yield part, ids, np.searchsorted(-sizes[part], -np.arange(longest), side="left")
         at += len(part)
 
 
-def live(lengths: np.ndarray, longest: int) -> np.ndarray:
-    """How many of the documents, which stand by falling length, have a token at each time."""
-    return np.searchsorted(-lengths, -np.arange(longest), side="left")
+def sweep(ids: np.ndarray, live: np.ndarray, begin: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False):
+    """The scaled forward recursion of sequences side by side, one row for each state. `begin` holds the distributions over
+    states before the first token. Returns the last distributions, the logs of all scales by sequence and, with `keep`,
+    distributions (time, state, sequence) and scales (time, sequence)."""
+    longest, width = ids.shape
+    ends, scales = begin.copy(), np.ones((longest, width), begin.dtype)
+    alphas = np.zeros((longest, *begin.shape), begin.dtype) if keep else None
+    turned = np.ascontiguousarray(move.T)
+    a = begin
+    for t, n in enumerate(live.tolist()):
+        a = (a if t == 0 else turned @ a[:, :n]) * emit[:, ids[t, :n]]
+        s = a.sum(0)
+        a /= s
+        scales[t, :n] = s
+        if keep:
+            alphas[t, :, :n] = a
+        after = live[t + 1] if t + 1 < longest else 0
+        if after < n:
+            ends[:, after:n] = a[:, after:n]
+    return ends, np.log(scales).sum(0, dtype=float), alphas, scales
+
+
+class Cut:
+    """Documents as blocks: each block's document, whether it's the document's first, and the ids."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        self.docs, self.blocks, self.of = docs, [], []
+        for i, d in enumerate(docs):
+            parts = [d] if len(d) <= LONG else [d[k : k + BLOCK] for k in range(0, len(d), BLOCK)]
+            self.blocks += parts
+            self.of += [i] * len(parts)
+        self.of = np.array(self.of, np.int64)
+        self.first = np.r_[True, self.of[1:] != self.of[:-1]] if len(docs) else np.zeros(0, bool)
+        self.last = np.r_[self.first[1:], True] if len(docs) else self.first
+        self.long = np.flatnonzero(~(self.first & self.last))
+
+    def matrices(self, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each block of a long document its transfer matrix, from states before its first token to states at its last,
+        and the log of its scale."""
+        k = len(move)
+        out, scale = np.zeros((len(self.blocks), k, k)), np.zeros(len(self.blocks))
+        some = [self.blocks[i] for i in self.long]
+        for part, ids, live in groups(some, SIDE_BY_SIDE // k):
+            # one column for each block and state to begin in
+            ends, logs, _, _ = sweep(np.repeat(ids, k, 1), live * k, np.tile(np.eye(k, dtype=move.dtype), len(part)), move, emit)
+            logs = logs.reshape(len(part), k)
+            top = logs.max(1)
+            at = self.long[part]
+            out[at] = ends.T.reshape(len(part), k, k) * np.exp(logs - top[:, None])[:, :, None]
+            scale[at] = top
+        return out, scale
+
+    def chained(self, start: np.ndarray, move: np.ndarray, matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each block the distribution before its first token and, up to scale, the backward vector at its last."""
+        k, n = len(start), len(self.blocks)
+        begin, back = np.tile(start[:, None], n), np.ones((k, n))
+        for i in self.long:
+            if not self.first[i]:
+                a = begin[:, i - 1] @ matrices[i - 1]
+                begin[:, i] = (a / a.sum()) @ move
+        for i in self.long[::-1]:
+            if not self.last[i]:
+                b = move @ (matrices[i + 1] @ back[:, i + 1])
+                back[:, i] = b / b.max()
+        return begin, back
 
 
 def forward(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """log10 likelihood of each id sequence."""
-    out = np.zeros(len(docs))
-    for part, ids, lengths in groups(docs, SIDE_BY_SIDE * 4):
-        total = np.zeros(len(part))
-        alpha = None
-        for t, n in enumerate(live(lengths, len(ids))):
-            alpha = (start if t == 0 else alpha[:n] @ move) * emit[ids[t, :n]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            total[:n] += np.log10(scale)
-        out[part] = total
-    return out
+    """log10 likelihood of each id sequence. emit has one row for each id."""
+    turned = np.ascontiguousarray(emit.T)
+    cut, out = Cut(docs), np.zeros(len(docs))
+    matrices, scale = cut.matrices(move, turned)
+    whole = np.flatnonzero(cut.first & cut.last)
+    for part, ids, live in groups([cut.blocks[i] for i in whole], SIDE_BY_SIDE * 2):
+        out[cut.of[whole[part]]] = sweep(ids, live, np.tile(start[:, None], len(part)), move, turned)[1]
+    now = None
+    for i in cut.long:
+        now = (start if cut.first[i] else now @ move) @ matrices[i]
+        total = now.sum()
+        out[cut.of[i]] += scale[i] + np.log(total)
+        now = now / total
+    return out / np.log(10)
 
 
 def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch's expected counts: of first states, of moves, and of emissions (id, state); the log likelihood."""
     # single precision: each step is scaled to one, and sums are kept in double precision
-    start, move, emit = (x.astype(np.float32) for x in (start, move, emit))
+    turned, move32 = np.ascontiguousarray(emit.T.astype(np.float32)), move.astype(np.float32)
     k = len(start)
-    firsts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))
-    logs = 0.0
-    for _, ids, lengths in groups(docs, SIDE_BY_SIDE):
-        longest, width = ids.shape
-        counts = live(lengths, longest)
-        alphas, scales = np.zeros((longest, width, k), np.float32), np.ones((longest, width), np.float32)
-        for t, n in enumerate(counts):
-            a = (start if t == 0 else alphas[t - 1, :n] @ move) * emit[ids[t, :n]]
-            s = a.sum(1)
-            alphas[t, :n], scales[t, :n] = a / s[:, None], s
-        logs += np.log(scales).sum(dtype=float)
-        beta = np.ones((width, k), np.float32)
-        for t in range(longest - 1, 0, -1):
-            n = counts[t]
-            weight = emit[ids[t, :n]] * beta[:n] / scales[t, :n, None]
-            moves += alphas[t - 1, :n].T @ weight
-            alphas[t, :n] *= beta[:n]
-            beta[:n] = weight @ move.T
-        alphas[0] *= beta
-        firsts += alphas[0].sum(0)
-        mask = np.arange(longest)[:, None] < lengths
-        flat, gamma = ids[mask], alphas[mask]
+    firsts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(emit)))
+    cut = Cut(docs)
+    begin, back = cut.chained(start, move, cut.matrices(move32, turned)[0])
+    ends, weights = np.zeros((k, len(cut.blocks))), np.zeros((k, len(cut.blocks)))
+    total = 0.0
+    for part, ids, live in groups(cut.blocks, SIDE_BY_SIDE):
+        last, logs, alphas, scales = sweep(ids, live, begin[:, part].astype(np.float32), move32, turned, True)
+        total += logs.sum()
+        ends[:, part] = last
+        final = back[:, part]
+        beta = (final / (last * final).sum(0)).astype(np.float32)
+        longest = len(ids)
+        for t in range(longest - 1, -1, -1):
+            n = live[t]
+            weight = turned[:, ids[t, :n]] * beta[:, :n] / scales[t, :n]
+            alphas[t, :, :n] *= beta[:, :n]
+            if t:
+                # alphas of the time before are whole: that time comes next
+                moves += alphas[t - 1, :, :n] @ weight.T
+                beta[:, :n] = move32 @ weight
+            else:
+                weights[:, part[:n]] = weight
+        firsts += alphas[0][:, cut.first[part]].sum(1, dtype=float)
+        mask = np.arange(len(part)) < live[:, None]
+        flat, gamma = ids[mask], alphas.transpose(1, 0, 2)[:, mask]
         for j in range(k):
-            emits[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=len(emit))
-    return firsts, moves * move, emits, logs
+            emits[j] += np.bincount(flat, weights=gamma[j], minlength=len(emit))
+    inner = np.flatnonzero(~cut.first)
+    moves += ends[:, inner - 1] @ weights[:, inner].T
+    return firsts, moves * move, emits.T, total
 
 
 def estimate(firsts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,21 +188,31 @@ def estimate(firsts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np
 
 
 class Vocabulary:
-    """Words by falling count. Ids below `emitted` are emitted by states; then the class of all others, then the end."""
+    """Words by falling count. Ids below `emitted` are emitted by states; then come the classes of all others, then the
+    end of a text."""
 
     def __init__(self, data: bytes):
-        words, counts, self.emitted, self.rest, self.rest_kinds, self.n, self.v, self.end_count = pickle.loads(data)
+        words, counts, self.emitted, rest, kinds, self.n, self.v, self.end_count = pickle.loads(data)
         self.ids = {w: i for i, w in enumerate(words)}
         counts = np.array(counts, float)
+        self.classes = len(rest)
         self.base = np.log10((counts + 0.1) / (self.n + 0.1 * (self.v + 1))) if self.n else np.zeros(0)
         self.end_base = np.log10((self.end_count + 0.1) / (self.n + 0.1 * (self.v + 1)))
-        self.share = np.log10((counts + 0.1) / (self.rest + 0.1 * (self.rest_kinds + 1)))
-        single = np.concatenate([counts[: self.emitted], [self.rest + 0.1, self.end_count + 0.1]]) + 1e-3
+        self.class_of = np.array([zlib.crc32(w) % self.classes for w in words], np.int64)
+        self.log_class = np.log10(rest + 0.1 * (kinds + 1))
+        self.share = np.log10(counts + 0.1) - self.log_class[self.class_of]
+        single = np.concatenate([counts[: self.emitted], rest + 0.1, [self.end_count + 0.1]]) + 1e-3
         self.single = single / single.sum()
+        self.kind = np.uint16 if len(single) <= 1 << 16 else np.int32
 
-    def model_ids(self, ids: np.ndarray) -> np.ndarray:
-        """What states emit for word ids (-1: not held), with the end."""
-        return np.append(np.where((ids < 0) | (ids >= self.emitted), self.emitted, ids), self.emitted + 1).astype(np.int32)
+    def model_ids(self, got: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """What states emit for words, whose ids are -1 where they aren't held, with the end."""
+        out = np.empty(len(ids) + 1, self.kind)
+        out[:-1] = np.where((ids >= 0) & (ids < self.emitted), ids, 0)
+        for i in np.flatnonzero((ids < 0) | (ids >= self.emitted)).tolist():
+            out[i] = self.emitted + zlib.crc32(got[i]) % self.classes
+        out[-1] = self.emitted + self.classes
+        return out
 
     def look_up(self, got: list[bytes]) -> np.ndarray:
         get = self.ids.get
@@ -190,10 +276,19 @@ def build_vocabulary(counts: DataFrame) -> bytes:
     got = words.where(F.col("level") >= held).select("token", "c", "level").toArrow()
     order = sorted(zip(got["token"].to_pylist(), got["c"].to_pylist(), got["level"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     n, v = sum(r["c"] for r in stats) + ends, sum(r["n"] for r in stats) + (ends > 0)
-    rest, kinds = sum(r["c"] for r in stats if r["level"] < emitted), sum(r["n"] for r in stats if r["level"] < emitted)
+    others = sum(r["n"] for r in stats if r["level"] < emitted)
+    classes = min(MOST_CLASSES, max(LEAST_CLASSES, (1 << (others // TO_CLASS).bit_length()) // 2))
+    dealt = words.where(F.col("level") < emitted).groupBy(class_of(F.col("token"), classes).alias("class")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
+    rest, kinds = np.zeros(classes), np.zeros(classes)
+    at = dealt["class"].to_numpy().astype(np.int64)
+    rest[at], kinds[at] = dealt["c"].to_numpy(), dealt["n"].to_numpy()
     return pickle.dumps(([w.encode() for w, *_ in order], [c for _, c, _ in order], sum(x >= emitted for *_, x in order), rest, kinds, n, v, ends))
 
 
+def class_of(word: Column, classes: int) -> Column:
+    return F.pmod(F.crc32(word.cast("binary")), F.lit(classes))
+
+
 def first_parameters(emits: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where Baum-Welch starts: emissions of the documents dealt to each state, and states that rarely change."""
     stay = np.full((STATES, STATES), 0.05 / max(1, STATES - 1)) + np.eye(STATES) * (0.95 - 0.05 / max(1, STATES - 1))
@@ -203,10 +298,10 @@ def first_parameters(emits: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray,
 def train(df: DataFrame, text: str = "text") -> tuple[DataFrame, bytes, bytes]:
     """Counts of all words, what workers hold, and the model, from all rows of df. Null texts count as empty."""
     spark = df.sparkSession
-    counts = checkpoint(count_words(df, text))
+    counts = written(count_words(df, text))
     held = build_vocabulary(counts)
     voc = Vocabulary(held)
-    rows = checkpoint(numbered(df, text, spark.sparkContext.broadcast(held)))
+    rows = written(numbered(df, text, spark.sparkContext.broadcast(held)))
     now, last = first_parameters(baum_welch(rows, len(voc.single))[2], voc.single), None
     while True:
         *sums, logs = baum_welch(rows, len(voc.single), now)
@@ -221,7 +316,8 @@ def numbered(df: DataFrame, text: str, shared) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         voc, texts = vocabulary(shared.value), strings(batch, text)
-        ids = [voc.model_ids(voc.look_up(tokens(t))).tobytes() for t in texts]
+        split = [tokens(t) for t in texts]
+        ids = [voc.model_ids(s, voc.look_up(s)).tobytes() for s in split]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([zlib.crc32(t.encode()) % STATES for t in texts], pa.int32())], names=["ids", "state"])
 
     return map_arrow(df.select(text), run, "ids binary, state int", text)
@@ -236,8 +332,9 @@ def baum_welch(rows: DataFrame, size: int, now=None) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = parameters(params.value), None
+        kind = np.uint16 if size <= 1 << 16 else np.int32
         for batch in slices(batches, "ids"):
-            docs = [np.frombuffer(x, np.int32) for x in batch.column("ids").to_pylist()]
+            docs = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
             if model is None:
                 state = np.repeat(batch.column("state").to_numpy(), [len(d) for d in docs])
                 emits = np.bincount(np.concatenate(docs).astype(np.int64) * STATES + state, minlength=size * STATES).reshape(size, STATES)
@@ -266,7 +363,7 @@ def score(df: DataFrame, counts: DataFrame, held: bytes, model: bytes, key: str
     sc = df.sparkSession.sparkContext
     shared, params = sc.broadcast(held), sc.broadcast(model)
     voc = Vocabulary(held)
-    n, v, rest, kinds = voc.n, voc.v, voc.rest, voc.rest_kinds
+    n, v = voc.n, voc.v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, model = vocabulary(shared.value), parameters(params.value)
@@ -275,7 +372,7 @@ def score(df: DataFrame, counts: DataFrame, held: bytes, model: bytes, key: str
             for t in strings(batch, text):
                 got = tokens(t)
                 ids = voc.look_up(got)
-                docs.append(voc.model_ids(ids))
+                docs.append(voc.model_ids(got, ids))
                 have = ids[ids >= 0]
                 rows.append((len(got) + 1, len(have) + (voc.end_count > 0), voc.base[have].sum() + voc.end_base, voc.share[have[have >= voc.emitted]].sum()))
                 rare.append([{"token": w.decode(), "tf": k} for w, k in Counter([w for w, i in zip(got, ids.tolist(), strict=True) if i < 0]).items()])
@@ -287,15 +384,18 @@ def score(df: DataFrame, counts: DataFrame, held: bytes, model: bytes, key: str
             )
 
     schema = f"{key} long, {flag} boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<token:string,tf:long>>"
-    scored = checkpoint(df.select(F.col(key).cast("long").alias(key), flag, text).mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
+    scored = written(df.select(F.col(key).cast("long").alias(key), flag, text).mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
     c = F.coalesce("c", F.lit(0))
+    # words that workers don't hold: their counts, and the totals of their classes, of which there is a bounded number
+    totals = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(voc.log_class.tolist())), "class long, log_class double"))
     words = scored.select("_row", F.explode("rare").alias("w")).select("_row", "w.token", "w.tf").join(counts.where(F.col("token").isNotNull()), "token", "left")
+    words = words.withColumn("class", class_of(F.col("token"), voc.classes)).join(totals, "class")
     # summed as whole numbers of 2^-30, so that the order of rows doesn't show in the result
     whole = lambda x: F.sum(F.round(x * (1 << 30)).cast("long"))
     per_row = words.groupBy("_row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("_known"),
         whole(F.col("tf") * F.log10((c + 0.1) / (n + 0.1 * (v + 1)))).alias("_base"),
-        whole(F.col("tf") * F.log10((c + 0.1) / (rest + 0.1 * (kinds + 1)))).alias("_share"),
+        whole(F.col("tf") * (F.log10(c + 0.1) - F.col("log_class"))).alias("_share"),
     )
     plus = lambda name, extra: (F.col(name) + F.coalesce(F.col(extra), F.lit(0)) / (1 << 30)).alias(name)
     return scored.join(per_row, "_row", "left").select(

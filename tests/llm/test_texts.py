@@ -181,6 +181,21 @@ def test_forward_and_expected_counts_equal_brute_force():
     assert np.allclose(got[0], firsts, atol=1e-4) and np.allclose(got[2], emits, atol=1e-4) and abs(got[1].sum() - 5) < 1e-3
 
 
+def test_blocks_of_long_documents_give_the_same_sums(monkeypatch):
+    rng = np.random.default_rng(1)
+    k, v = 4, 30
+    model = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(v), k).T.copy()
+    docs = [rng.integers(0, v, n).astype(np.uint16) for n in (1, 700, 30, 2, 333, 64, 65, 1)]
+    whole, want = hmm.forward(docs, *model), hmm.expected(docs, *model)
+    monkeypatch.setattr(hmm, "LONG", 60)
+    monkeypatch.setattr(hmm, "BLOCK", 16)
+    monkeypatch.setattr(hmm, "SIDE_BY_SIDE", 200)
+    assert np.allclose(hmm.forward(docs, *model), whole, rtol=1e-12)
+    for a, b in zip(hmm.expected(docs, *model), want, strict=True):
+        assert np.allclose(a, b, rtol=2e-4, atol=1e-3)
+    assert hmm.forward([], *model).shape == (0,)
+
+
 def test_base_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HELD", 6)
     monkeypatch.setattr(hmm, "EMITTED", 3)
@@ -200,6 +215,26 @@ def test_base_scores_equal_brute_force(spark, monkeypatch):
         want = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (len(c) + 1))) for x in w)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0, len(w), sum(c[x] > 0 for x in w), n)
         assert abs(r.base_score - want) < 1e-5 and r.score < 0
+    assert hmm.score_corpus(df.limit(0), remainder("doc_id", 10) == 0).count() == 0
+    odd = spark.createDataFrame([(None, "a b", 1), (3, "x " * 30_000, 1), (3, "x", 1)], "doc_id long, text string, held_out int")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in hmm.score_corpus(odd, remainder("doc_id", 10) == 0).collect()) == [(0, 3), (3, 2), (3, 30_001)]
+
+
+def test_probabilities_of_next_words_sum_to_one(spark, monkeypatch):
+    """A share of each class is left for words that training hasn't seen; all else sums to one."""
+    monkeypatch.setattr(hmm, "HELD", 30)
+    monkeypatch.setattr(hmm, "EMITTED", 10)
+    monkeypatch.setattr(hmm, "LEAST_CLASSES", 4)
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(" ".join(rng.choices(pool, weights=[1 / (i + 1) for i in range(60)], k=20)),) for _ in range(80)], "text string")
+    _, held, model = hmm.train(df)
+    voc = hmm.Vocabulary(held)
+    start, move, emit = hmm.pickle.loads(model)
+    assert voc.classes == 4 and np.allclose(emit.sum(0), 1) and np.allclose(move.sum(1), 1) and np.isclose(start.sum(), 1)
+    for c in range(4):
+        seen = [w for w in pool if w.encode() in voc.ids and voc.ids[w.encode()] >= voc.emitted and zlib.crc32(w.encode()) % 4 == c]
+        assert sum(10 ** voc.share[voc.ids[w.encode()]] for w in seen) < 1
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">Accept</div>
@@ -423,7 +458,7 @@ def test_states_start_from_all_rows_and_rounds_go_on_until_they_settle(spark):
         df = spark.createDataFrame([(t,) for t in order], "text string")
         _, held, model = hmm.train(df)
         voc, now = hmm.Vocabulary(held), hmm.pickle.loads(model)
-        docs = [voc.model_ids(voc.look_up(hmm.tokens(t))) for t in texts]
+        docs = [voc.model_ids(hmm.tokens(t), voc.look_up(hmm.tokens(t))) for t in texts]
         scores.append(hmm.forward(docs, *now))
         again = hmm.forward(docs, *hmm.estimate(*hmm.expected(docs, *now)[:3], voc.single))
         assert (again - scores[-1]).sum() * math.log(10) < 1e-3 * voc.n
