@@ -30,9 +30,9 @@ TO_CLASS, LEAST_CLASSES, MOST_CLASSES = 128, 256, 131_072
 #: Rounds go on until one raises the log likelihood (natural logarithm) of a token by less than this.
 SETTLED = 1e-3
 #: Padded tokens of the documents that one recursion takes side by side; distinct words counted before they are passed on.
-SIDE_BY_SIDE, COUNTED = 400_000, 300_000
+SIDE_BY_SIDE, COUNTED = 1_000_000, 300_000
 #: Documents of more tokens are cut into blocks of so many.
-LONG, BLOCK = 2048, 512
+LONG, BLOCK = 1024, 256
 #: Expected counts are summed as whole numbers of this unit, so that sums don't depend on their order.
 UNIT = 1 << 20
 
@@ -58,26 +58,60 @@ def groups(docs: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.n
         at += len(part)
 
 
-def sweep(ids: np.ndarray, live: np.ndarray, begin: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False):
-    """The scaled forward recursion of sequences side by side, one row for each state. `begin` holds the distributions over
-    states before the first token. Returns the last distributions, the logs of all scales by sequence and, with `keep`,
-    distributions (time, state, sequence) and scales (time, sequence)."""
+def columns(rows: np.ndarray, ids: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """rows[ids] turned; the product with the unit matrix is the fastest way to turn narrow rows."""
+    return one @ rows.take(ids, axis=0).T
+
+
+def sweep(ids: np.ndarray, live: np.ndarray, begin: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: np.ndarray | None = None):
+    """The scaled forward recursion of sequences side by side, one row for each state; emit has one row for each id. `begin`
+    holds the distributions over states before the first token. Returns the last distributions, the logs of all scales by
+    sequence, and scales (time, sequence); `keep` takes the distributions (time, state, sequence)."""
     longest, width = ids.shape
     ends, scales = begin.copy(), np.ones((longest, width), begin.dtype)
-    alphas = np.zeros((longest, *begin.shape), begin.dtype) if keep else None
-    turned = np.ascontiguousarray(move.T)
+    turned, one, ones = np.ascontiguousarray(move.T), np.eye(len(move), dtype=begin.dtype), np.ones(len(move), begin.dtype)
     a = begin
-    for t, n in enumerate(live.tolist()):
-        a = (a if t == 0 else turned @ a[:, :n]) * emit[:, ids[t, :n]]
-        s = a.sum(0)
+    counts = [*live.tolist(), 0]
+    for t, n in enumerate(counts[:-1]):
+        a = (a if t == 0 else turned @ a[:, :n]) * columns(emit, ids[t, :n], one)
+        s = ones @ a
         a /= s
         scales[t, :n] = s
-        if keep:
-            alphas[t, :, :n] = a
-        after = live[t + 1] if t + 1 < longest else 0
-        if after < n:
-            ends[:, after:n] = a[:, after:n]
-    return ends, np.log(scales).sum(0, dtype=float), alphas, scales
+        if keep is not None:
+            keep[t, :, :n] = a
+        if counts[t + 1] < n:
+            ends[:, counts[t + 1] : n] = a[:, counts[t + 1] :]
+    return ends, np.log(scales).sum(0, dtype=float), scales
+
+
+class Emissions:
+    """Sums of rows (one value for each state) by id, a cache's worth of rows at a time."""
+
+    ROWS = 32_768
+
+    def __init__(self, size: int, states: int):
+        self.total = np.zeros((size, states))
+        self.rows, self.ids, self.n = np.empty((self.ROWS, states), np.float32), np.empty(self.ROWS, np.uint16 if size <= 1 << 16 else np.int32), 0
+
+    def add(self, values: np.ndarray, ids: np.ndarray, one: np.ndarray) -> None:
+        """values: one column for each id."""
+        at = 0
+        while at < len(ids):
+            m = min(len(ids) - at, self.ROWS - self.n)
+            np.matmul(values[:, at : at + m].T, one, out=self.rows[self.n : self.n + m])
+            self.ids[self.n : self.n + m] = ids[at : at + m]
+            self.n += m
+            at += m
+            if self.n == self.ROWS:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.n:
+            order = np.argsort(self.ids[: self.n], kind="stable")
+            ids = self.ids[order]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            self.total[ids[starts]] += np.add.reduceat(self.rows.take(order, axis=0), starts, axis=0)
+            self.n = 0
 
 
 class Cut:
@@ -96,18 +130,28 @@ class Cut:
 
     def matrices(self, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each block of a long document its transfer matrix, from states before its first token to states at its last,
-        and the log of its scale."""
+        and the log of its scale. All matrices of a group are one array (state at the end, state at the begin, block)."""
         k = len(move)
         out, scale = np.zeros((len(self.blocks), k, k)), np.zeros(len(self.blocks))
-        some = [self.blocks[i] for i in self.long]
-        for part, ids, live in groups(some, SIDE_BY_SIDE // k):
-            # one column for each block and state to begin in
-            ends, logs, _, _ = sweep(np.repeat(ids, k, 1), live * k, np.tile(np.eye(k, dtype=move.dtype), len(part)), move, emit)
-            logs = logs.reshape(len(part), k)
-            top = logs.max(1)
-            at = self.long[part]
-            out[at] = ends.T.reshape(len(part), k, k) * np.exp(logs - top[:, None])[:, :, None]
-            scale[at] = top
+        turned, one = np.ascontiguousarray(move.T), np.eye(k, dtype=move.dtype)
+        for part, ids, live in groups([self.blocks[i] for i in self.long], SIDE_BY_SIDE // k):
+            now, logs = np.repeat(one[:, :, None], len(part), 2), np.zeros(len(part))
+            at, counts = self.long[part], [*live.tolist(), 0]
+            for t, n in enumerate(counts[:-1]):
+                if t:
+                    now = (turned @ now[:, :, :n].reshape(k, k * n)).reshape(k, k, n)
+                e = columns(emit, ids[t, :n], one)
+                top = e.max(0)
+                now *= (e / top)[:, None, :]
+                logs[:n] += np.log(top)
+                if t % 4 == 3 or counts[t + 1] < n:
+                    s = now.reshape(k * k, n).sum(0)
+                    now /= s
+                    logs[:n] += np.log(s)
+                if counts[t + 1] < n:
+                    done = slice(counts[t + 1], n)
+                    out[at[done]] = now[:, :, done].transpose(2, 1, 0)
+            scale[at] = logs
         return out, scale
 
     def chained(self, start: np.ndarray, move: np.ndarray, matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +171,11 @@ class Cut:
 
 def forward(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """log10 likelihood of each id sequence. emit has one row for each id."""
-    turned = np.ascontiguousarray(emit.T)
     cut, out = Cut(docs), np.zeros(len(docs))
-    matrices, scale = cut.matrices(move, turned)
+    matrices, scale = cut.matrices(move, emit)
     whole = np.flatnonzero(cut.first & cut.last)
-    for part, ids, live in groups([cut.blocks[i] for i in whole], SIDE_BY_SIDE * 2):
-        out[cut.of[whole[part]]] = sweep(ids, live, np.tile(start[:, None], len(part)), move, turned)[1]
+    for part, ids, live in groups([cut.blocks[i] for i in whole], SIDE_BY_SIDE):
+        out[cut.of[whole[part]]] = sweep(ids, live, np.tile(start[:, None], len(part)), move, emit)[1]
     now = None
     for i in cut.long:
         now = (start if cut.first[i] else now @ move) @ matrices[i]
@@ -145,38 +188,38 @@ def forward(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: n
 def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch's expected counts: of first states, of moves, and of emissions (id, state); the log likelihood."""
     # single precision: each step is scaled to one, and sums are kept in double precision
-    turned, move32 = np.ascontiguousarray(emit.T.astype(np.float32)), move.astype(np.float32)
+    emit32, move32 = np.ascontiguousarray(emit, np.float32), move.astype(np.float32)
     k = len(start)
-    firsts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(emit)))
+    one, firsts, moves, emits = np.eye(k, dtype=np.float32), np.zeros(k), np.zeros((k, k)), Emissions(len(emit), k)
     cut = Cut(docs)
-    begin, back = cut.chained(start, move, cut.matrices(move32, turned)[0])
+    begin, back = cut.chained(start, move, cut.matrices(move32, emit32)[0])
     ends, weights = np.zeros((k, len(cut.blocks))), np.zeros((k, len(cut.blocks)))
-    total = 0.0
+    total, space = 0.0, np.empty(0, np.float32)
     for part, ids, live in groups(cut.blocks, SIDE_BY_SIDE):
-        last, logs, alphas, scales = sweep(ids, live, begin[:, part].astype(np.float32), move32, turned, True)
+        longest = len(ids)
+        if space.size < ids.size * k:
+            space = np.empty(ids.size * k, np.float32)
+        alphas = space[: ids.size * k].reshape(longest, k, len(part))
+        last, logs, scales = sweep(ids, live, begin[:, part].astype(np.float32), move32, emit32, alphas)
         total += logs.sum()
         ends[:, part] = last
         final = back[:, part]
         beta = (final / (last * final).sum(0)).astype(np.float32)
-        longest = len(ids)
         for t in range(longest - 1, -1, -1):
             n = live[t]
-            weight = turned[:, ids[t, :n]] * beta[:, :n] / scales[t, :n]
-            alphas[t, :, :n] *= beta[:, :n]
+            now = alphas[t, :, :n] * beta[:, :n]
+            emits.add(now, ids[t, :n], one)
+            weight = columns(emit32, ids[t, :n], one) * beta[:, :n] / scales[t, :n]
             if t:
-                # alphas of the time before are whole: that time comes next
                 moves += alphas[t - 1, :, :n] @ weight.T
                 beta[:, :n] = move32 @ weight
             else:
                 weights[:, part[:n]] = weight
-        firsts += alphas[0][:, cut.first[part]].sum(1, dtype=float)
-        mask = np.arange(len(part)) < live[:, None]
-        flat, gamma = ids[mask], alphas.transpose(1, 0, 2)[:, mask]
-        for j in range(k):
-            emits[j] += np.bincount(flat, weights=gamma[j], minlength=len(emit))
+                firsts += now[:, cut.first[part[:n]]].sum(1, dtype=float)
+    emits.flush()
     inner = np.flatnonzero(~cut.first)
     moves += ends[:, inner - 1] @ weights[:, inner].T
-    return firsts, moves * move, emits.T, total
+    return firsts, moves * move, emits.total, total
 
 
 def estimate(firsts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
