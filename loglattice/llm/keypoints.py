@@ -9,6 +9,7 @@ pairs join images to clusters, and within a cluster every pair is verified, in b
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from functools import lru_cache
@@ -18,42 +19,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import block_pairs, checkpoint, components, map_arrow, sorted_groups
-from loglattice.llm.links import FOUND, found, summed
+from loglattice.llm.common import block_pairs, checkpoint, components, map_arrow, sorted_groups, written
+from loglattice.llm.links import FOUND, found, numbered, summed
 
-#: Each level of the pyramid is smaller by this factor.
-LEVELS, FACTOR = 3, 1.5
+#: Each level of the pyramid is smaller by this factor: a copy of any size between has its features on some level.
+LEVELS, FACTOR = 7, 1.2
 #: The strongest corners of a level that are described, and the patch around each.
 CORNERS, RADIUS = 24, 12
 #: Bits of a descriptor, bytes of a descriptor that are a table's key, and tables of each neighbour.
-BITS, KEY, TABLES = 128, 3, 5
+BITS, KEY, TABLES = 128, 2, 2
 #: Descriptors beside each, out of its patch and out of each other's, and steps of a circle for how they lie.
-BESIDE, STEPS = 2, 12
+BESIDE, STEPS = 2, 8
 #: Bytes of both descriptors that are compared within a bucket, and how many of their bits may differ.
-COMPARED, MEET = 4, 8
+COMPARED, MEET = 4, 12
 #: Entries of a bucket that are compared in one piece, and pairs that a task gathers before it passes them on.
 LARGE, HELD = 1024, 1_000_000
 #: Images whose features stand together when candidates are verified.
 TOGETHER = 16_384
 #: Different bits of descriptors that match in verification.
 MATCH = 24
-#: Matches that must agree on a transform.
-CONSENSUS = 9
+#: Places with a match that must agree on a transform, and the pixels that are one place.
+CONSENSUS, SPOT = 9, 8.0
 BLOCK = 64
-#: Width of the consensus cells: a turn in steps of a circle's part, a shift in pixels.
-TURNS, SHIFT = 12, 8.0
+#: Width of the consensus cells: a turn in steps of a circle's part, a change of scale in levels, a shift in pixels.
+TURNS, LEVELS_WIDE, SHIFT = 12, 2, 12.0
+#: Places are kept as whole numbers: sixteenths of a pixel, and parts of a circle.
+PLACE, CIRCLE = 16, 1 << 15
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
     """Brightness of a binary PGM or PPM image; None for what isn't one."""
-    m = re.match(rb"P([56])\s+(\d+)\s+(\d+)\s+(\d+)\s", data or b"")
-    if not m:
+    gap = rb"(?:\s|#[^\n]*\n)+"
+    m = re.match(rb"P([56])%b(\d{1,9})%b(\d{1,9})%b(\d{1,9})(?:#[^\n]*\n)?\s" % (gap, gap, gap), data or b"")
+    if not m or not 0 < int(m[4]) < 1 << 16:
         return None
-    channels, width, height = (1 if m[1] == b"5" else 3), int(m[2]), int(m[3])
-    pixels = np.frombuffer(data, np.uint8, offset=m.end())
-    if int(m[4]) > 255 or len(pixels) < width * height * channels or not width * height:
+    channels, width, height, most = (1 if m[1] == b"5" else 3), int(m[2]), int(m[3]), int(m[4])
+    kind = np.dtype(">u2" if most > 255 else np.uint8)
+    size = width * height * channels
+    if not size or len(data) - m.end() < size * kind.itemsize:
         return None
-    pixels = pixels[: width * height * channels].reshape(height, width, channels).astype(np.float32)
+    pixels = np.frombuffer(data, kind, size, m.end()).reshape(height, width, channels).astype(np.float32)
+    if most != 255:
+        pixels *= 255 / most
     return pixels[:, :, 0] if channels == 1 else pixels @ np.array([0.299, 0.587, 0.114], np.float32)
 
 
@@ -153,13 +160,31 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(owner), np.concatenate(place), np.concatenate(bits)
 
 
+def packed(places: np.ndarray) -> bytes:
+    """(row, column, angle, level) of each feature as whole numbers of 16 bits."""
+    out = np.stack([places[:, 0] * PLACE, places[:, 1] * PLACE, places[:, 2] / (2 * np.pi) * CIRCLE, np.log(places[:, 3]) / np.log(FACTOR)], 1)
+    return np.rint(out).clip(-32768, 65535).astype(np.int64).astype(np.uint16).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """(row, column, angle, scale) of each feature."""
+    raw = np.frombuffer(data, np.uint16).reshape(-1, 4)
+    return np.stack([raw[:, 0] / PLACE, raw[:, 1] / PLACE, raw[:, 2].astype(np.int16) * (2 * np.pi / CIRCLE), FACTOR ** raw[:, 3].astype(float)], 1)
+
+
 def agreeing(bits: list[np.ndarray], places: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of images whose matching features agree on one transform."""
+    """Pairs of images whose matching features agree on one transform: turn, scale, and where the middle of the left image's
+    features comes to lie, which depends least on small errors of turn and scale."""
+
     def stacked(which: np.ndarray):
         rows = np.repeat(np.arange(len(which)), [len(bits[i]) for i in which])
         return rows, np.concatenate([bits[i] for i in which]), np.concatenate([places[i] for i in which])
 
     (ra, ba, pa_), (rb, bb, pb) = stacked(left), stacked(right)
+    middle = np.array([places[i][:, :2].mean(0) for i in left])
+    # corners of several levels at one place are one voter
+    spot = np.floor(pa_[:, :2] / SPOT).astype(np.int64)
+    voter = np.unique((ra << 40) | (spot[:, 0] << 20) | spot[:, 1], return_inverse=True)[1]
     signs_b = np.unpackbits(bb, axis=1).astype(np.float32) * 2 - 1
     votes = []
     for k in range(0, len(ra), 2048):
@@ -172,28 +197,35 @@ def agreeing(bits: list[np.ndarray], places: list[np.ndarray], left: np.ndarray,
         turn = pb[y, 2] - pa_[x, 2]
         scale = pb[y, 3] / pa_[x, 3]
         cos, sin = np.cos(turn) * scale, np.sin(turn) * scale
-        dy = pb[y, 0] - (pa_[x, 0] * cos + pa_[x, 1] * sin)
-        dx = pb[y, 1] - (pa_[x, 1] * cos - pa_[x, 0] * sin)
+        oy, ox = (pa_[x, :2] - middle[ra[x]]).T
+        dy = pb[y, 0] - (oy * cos + ox * sin)
+        dx = pb[y, 1] - (ox * cos - oy * sin)
+        steps = np.rint(np.log(scale) / np.log(FACTOR)) + LEVELS
         # each match votes in two neighbouring cells of every measure's shifted grid, so that none falls on an edge
         for shift in (0.0, 0.5):
-            cell = [np.floor(turn / (2 * np.pi) * TURNS + shift).astype(int) % TURNS, np.rint(np.log(scale) / np.log(FACTOR)).astype(int) + LEVELS, np.floor(dy / SHIFT + shift).astype(int) + 1024, np.floor(dx / SHIFT + shift).astype(int) + 1024]
+            cell = [np.floor(turn / (2 * np.pi) * TURNS + shift).astype(int) % TURNS, np.floor(steps / LEVELS_WIDE + shift).astype(int), np.floor(dy / SHIFT + shift).astype(int) + 512, np.floor(dx / SHIFT + shift).astype(int) + 512]
             key = np.full(len(x), int(shift * 2), np.int64)
-            for c, r in zip(cell, (TURNS, 2 * LEVELS + 1, 2048, 2048), strict=True):
+            for c, r in zip(cell, (TURNS, LEVELS + 2, 2048, 2048), strict=True):
                 key = key * r + c % r
             # keys stay below 2^30; pairs and features of a block fit into what is left
-            votes.append(((ra[x] * len(right) + rb[y]) << 30 | key) * len(ra) + x)
-    v = np.unique(np.concatenate(votes)) if votes else np.zeros(0, np.int64)  # a feature votes once in a cell
+            votes.append(((ra[x] * len(right) + rb[y]) << 30 | key) * len(ra) + voter[x])
+    v = np.unique(np.concatenate(votes)) if votes else np.zeros(0, np.int64)  # a place votes once in a cell
     pair, n = np.unique(v // max(1, len(ra)), return_counts=True)
     hit = np.unique(pair[n >= CONSENSUS] >> 30)
     return hit // len(right), hit % len(right)
 
 
-def features(df: DataFrame, key: str, image: str) -> DataFrame:
-    """node, bits, places (packed), n_features of each image. No image, a broken or a featureless one: none."""
+def features(df: DataFrame, image: str, carried: list[str]) -> DataFrame:
+    """df's carried columns with the digest of the image, its bits and places (packed) and n_features. No image, a broken or
+    a featureless one has none; no image has no digest. Equal images of a batch are described once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decoded = [decode(x) for x in batch.column(image).to_pylist()]
-        bits, places, count = [b""] * len(decoded), [b""] * len(decoded), [0] * len(decoded)
+        raw = batch.column(image).to_pylist()
+        known: dict[bytes, int] = {}
+        which = [None if x is None else known.setdefault(x, len(known)) for x in raw]
+        n = len(known)
+        bits, places, count = [b""] * n, [b""] * n, [0] * n
+        decoded = [decode(x) for x in known]
         by: dict[tuple, list[int]] = {}
         for i, x in enumerate(decoded):
             if x is not None:
@@ -207,10 +239,13 @@ def features(df: DataFrame, key: str, image: str) -> DataFrame:
                 cuts = np.searchsorted(owner[order], np.arange(len(part) + 1))
                 for j, i in enumerate(part):
                     own = order[cuts[j] : cuts[j + 1]]
-                    bits[i], places[i], count[i] = code[own].tobytes(), place[own].astype(np.float32).tobytes(), len(own)
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(bits, pa.binary()), pa.array(places, pa.binary()), pa.array(count, pa.int64())], names=["node", "bits", "places", "n_features"])
+                    bits[i], places[i], count[i] = code[own].tobytes(), packed(place[own]), len(own)
+        digests = [hashlib.sha256(x).digest() for x in known]
+        of = lambda values, none, kind: pa.array([none if w is None else values[w] for w in which], kind)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), of(digests, None, pa.binary()), of(bits, b"", pa.binary()), of(places, b"", pa.binary()), of(count, 0, pa.int64())], names=[*carried, "hash", "bits", "places", "n_features"])
 
-    return map_arrow(df.select(F.col(key).cast("long").alias(key), image), run, "node long, bits binary, places binary, n_features long")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return map_arrow(df.select(*carried, image), run, ", ".join(f"{c} {kinds[c]}" for c in carried) + ", hash binary, bits binary, places binary, n_features long")
 
 
 def entries(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +299,7 @@ def candidates(described: DataFrame) -> DataFrame:
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = []
         for raw, place in zip(batch.column("bits").to_pylist(), batch.column("places").to_pylist(), strict=True):
-            made.append(entries(np.frombuffer(raw, np.uint8).reshape(-1, width), np.frombuffer(place, np.float32).reshape(-1, 4)))
+            made.append(entries(np.frombuffer(raw, np.uint8).reshape(-1, width), unpacked(place)))
         node = np.repeat(batch.column("node").to_numpy(), [len(k) for k, _ in made])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in made])) for i in (0, 1)] + [pa.array(node)], names=["bucket", "rest", "node"])
 
@@ -350,7 +385,7 @@ def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
                 some = part[k : k + BLOCK]
                 at = [row[a[some[0]]], *(row[x] for x in b[some])]
                 bits = [np.frombuffer(g["bits"][i], np.uint8).reshape(-1, width) for i in at]
-                places = [np.frombuffer(g["places"][i], np.float32).reshape(-1, 4).astype(float) for i in at]
+                places = [unpacked(g["places"][i]) for i in at]
                 kept.append(some[agreeing(bits, places, np.array([0]), np.arange(1, len(at)), False)[1]])
         if not kept:
             return None
@@ -361,35 +396,33 @@ def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
-    """One row per row of df: image_id, n_features, n_links (other images it is a cropped, turned or edited copy of),
-    component_id (smallest id reachable), kept (image_id = component_id). Equal images are one class with a weight.
-    Null, broken and featureless images link with nothing, and so do rows with a null id."""
-    rows = df.select(F.col(key).cast("long").alias("image_id"), F.col(image).alias("image"))
-    hashed = checkpoint(rows.select("image_id", F.sha2("image", 256).alias("hash")))
-    some = hashed.where(F.col("image_id").isNotNull() & F.col("hash").isNotNull())
-    classes = some.groupBy("hash").agg(F.min("image_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    firsts = rows.join(classes.select(F.col("node").alias("image_id")), "image_id", "left_semi").dropDuplicates(["image_id"])
-    described = checkpoint(features(firsts, "image_id", "image"))
-    width = BITS // 8
+    """One row per row of df: image_id, n_features, n_links (other images it is a cropped, turned, resized or edited copy of),
+    component_id (smallest id reachable), kept (image_id = component_id). Equal images are one class with a weight; different
+    images of one id are told apart, and each of their rows has its own links. Null, broken and featureless images link with
+    nothing, and so do rows with a null id. Ties: ids are the smallest ones. An empty table gives no rows; other columns are
+    left out."""
+    rows = written(features(df.select(F.col(key).cast("long").alias("image_id"), F.col(image).alias("image")), "image", ["image_id"]))
+    some = rows.where(F.col("image_id").isNotNull() & (F.col("n_features") > 0))
+    classes = numbered(some.groupBy("hash").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bits").alias("bits"), F.first("places").alias("places")))
+    described, width = classes.select("node", "bits", "places"), BITS // 8
     clusters = checkpoint(components(verified(checkpoint(candidates(described)), described)))
-    sets = described.join(clusters, "node").join(classes.select("node", "n"), "node")
+    sets = classes.join(clusters, "node").select("component", "node", "n", "bits", "places")
 
     def verify(g: dict) -> pa.RecordBatch | None:
         side = np.asarray(g["side"])
         bits = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in g["bits"]]
-        places = [np.frombuffer(x, np.float32).reshape(-1, 4).astype(float) for x in g["places"]]
+        places = [unpacked(x) for x in g["places"]]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right):
             return None
         a, b = agreeing(bits, places, left, right, g["bi"][0] == g["bj"][0])
         return found(np.asarray(g["node"]), np.asarray(g["n"], float), left[a], right[b])
 
-    links, parts = summed(sorted_groups(block_pairs(sets, ["component"], "node", BLOCK), ["component", "bi", "bj"], verify, FOUND))
-    own = classes.join(described.select("node", "n_features"), "node", "left").join(links, "node", "left").join(parts, "node", "left")
+    own = summed(sorted_groups(block_pairs(sets, ["component"], "node", BLOCK), ["component", "bi", "bj"], verify, FOUND), classes.select("hash", "node", "first", "n"))
+    keyed = rows.select("image_id", "n_features", F.when(F.col("image_id").isNotNull() & (F.col("n_features") > 0), F.col("hash")).alias("hash"))
     return (
-        hashed.withColumn("hash", F.when(F.col("image_id").isNotNull(), F.col("hash")))
-        .join(own, "hash", "left")
-        .select("image_id", F.coalesce("n_features", F.lit(0)).alias("n_features"), F.coalesce(F.coalesce("links", F.lit(0)) + F.when(F.col("n_features") > 0, F.col("n") - 1).otherwise(0), F.lit(0)).alias("n_links"), F.coalesce("component", F.when(F.col("n_features") > 0, F.col("node")), "image_id").alias("component_id"))
+        keyed.join(own, "hash", "left")
+        .select("image_id", "n_features", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "image_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("image_id") == F.col("component_id"), F.lit(True)))
     )
 

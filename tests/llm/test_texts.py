@@ -410,18 +410,81 @@ def test_image_copies(spark):
     got = {r.image_id: r for r in keypoints.near_duplicates(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
     assert {i: r.component_id for i, r in got.items() if i is not None} == {**{i: i for i in range(12)}, 6: 1, 7: 0, 8: 2}
     assert got[0].n_links == got[1].n_links == got[2].n_links == 1 and got[11].n_links == 0
+    assert keypoints.near_duplicates(spark.createDataFrame([], "image_id long, image binary")).count() == 0
+    twice = spark.createDataFrame([(1, keypoints.encode(images[0]), 1, 1), (1, keypoints.encode(images[1]), 1, 1), (2, keypoints.encode(images[1]), 1, 1)], "image_id long, image binary, hash int, node int")
+    assert sorted((r.image_id, r.n_links, r.component_id) for r in keypoints.near_duplicates(twice).collect()) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_image_headers():
+    x = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    for head in (b"P5 4 3 255\n", b"P5\n# a comment\n4 3\n# more\n255\n"):
+        assert (keypoints.decode(head + x.tobytes()) == x).all()
+    assert np.allclose(keypoints.decode(b"P5 4 3 65535\n" + (x.astype(">u2") * 257).tobytes()), x)
+    for bad in (b"P5 4 3 255\n123", b"P5 0 3 255\n", b"P5 4 3 70000\n" + x.tobytes(), b"", b"P4 1 1\n0", None):
+        assert keypoints.decode(bad) is None
+
+
+def seen_at(image, ys, xs):
+    """Brightness between pixels."""
+    h, w = image.shape
+    ys, xs = np.clip(ys, 0, h - 1.001), np.clip(xs, 0, w - 1.001)
+    a, b = ys.astype(int), xs.astype(int)
+    fy, fx = ys - a, xs - b
+    return image[a, b] * (1 - fy) * (1 - fx) + image[a, b + 1] * (1 - fy) * fx + image[a + 1, b] * fy * (1 - fx) + image[a + 1, b + 1] * fy * fx
+
+
+def edited(image, kind, rng):
+    h, w = image.shape
+    ys, xs = np.mgrid[:h, :w].astype(float)
+    if kind[0] == "scale":
+        ys, xs = np.mgrid[: int(h * kind[1]), : int(w * kind[1])]
+        return seen_at(image, (ys + 0.5) / kind[1] - 0.5, (xs + 0.5) / kind[1] - 0.5)
+    if kind[0] == "turn":
+        a, cy, cx = np.deg2rad(kind[1]), (h - 1) / 2, (w - 1) / 2
+        return seen_at(image, cy + (ys - cy) * np.cos(a) - (xs - cx) * np.sin(a), cx + (ys - cy) * np.sin(a) + (xs - cx) * np.cos(a))
+    if kind[0] == "crop":
+        n = int(h * kind[1])
+        y, x = rng.integers(0, h - n + 1, 2)
+        return image[y : y + n, x : x + n]
+    return np.rot90(image) if kind[0] == "quarter" else image * 0.85 + 20 if kind[0] == "bright" else image + rng.normal(0, 5, image.shape)
+
+
+#: Edits and the share of their copies that is found at least.
+EDITS = [(("bright",), 0.95), (("noise",), 0.95), (("quarter",), 0.95), (("turn", 10), 0.9), (("crop", 0.8), 0.9), (("scale", 0.8), 0.9), (("scale", 1.25), 0.9), (("scale", 1.5), 0.9), (("crop", 0.6), 0.7)]
+
+
+def test_recall_of_edited_copies(spark):
+    """Images of a seed of their own, 12 smooth ones and 12 of cells, and one copy of each for each edit."""
+    rng = np.random.default_rng(78)
+    f = np.fft.fftfreq(200)
+    far = np.hypot(f[:, None], f)
+
+    def soft():
+        x = sum(np.real(np.fft.ifft2(np.fft.fft2(rng.standard_normal((200, 200))) * np.exp(-((far / s) ** 2)))) / s for s in (0.02, 0.05, 0.1))
+        return (x - x.min()) / (x.max() - x.min()) * 255
+
+    base = [soft() for _ in range(12)] + [np.kron(rng.integers(0, 256, (20, 20)), np.ones((10, 10))) for _ in range(12)]
+    rows = [(i, keypoints.encode(x)) for i, x in enumerate(base)]
+    rows += [(1000 * (e + 1) + i, keypoints.encode(edited(x, kind, rng))) for e, (kind, _) in enumerate(EDITS) for i, x in enumerate(base)]
+    got = {r.image_id: r.component_id for r in keypoints.near_duplicates(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert all(got[i] == i for i in range(len(base)))
+    assert all(c in (i, i % 1000) for i, c in got.items()), "different images are linked"
+    share = {kind: np.mean([got[1000 * (e + 1) + i] == i for i in range(len(base))]) for e, (kind, _) in enumerate(EDITS)}
+    print(share)
+    assert all(share[kind] >= least for kind, least in EDITS), share
 
 
 def families(spark):
     """Images of two features that share one bucket of the first table; families of three, their ids interleaved."""
     rng = np.random.default_rng(6)
-    place = np.array([[30, 30, 0, 1], [30, 60, 0, 1]], np.float32).tobytes()
+    place = keypoints.packed(np.array([[30, 30, 0, 1], [30, 60, 0, 1]]))
     base = rng.integers(0, 256, (3, 2, 16), np.uint8)
-    base[:, :, :3] = 7
+    base[:, :, : keypoints.KEY] = 7
     rows = []
     for i in range(9):
         bits = base[i % 3].copy()
-        bits[0, [3, 6, 9, 12]] ^= 1 << (i // 3)  # the keys of all other tables differ
+        for t in range(1, keypoints.TABLES):
+            bits[0, t * keypoints.KEY] ^= 1 << (i // 3)  # the keys of all other tables differ
         rows.append((i, bits.tobytes(), place, 2))
     return spark.createDataFrame(rows, "node long, bits binary, places binary, n_features long"), {(i, j) for i in range(9) for j in range(i + 3, 9, 3)}
 
@@ -446,7 +509,7 @@ def test_one_shared_entry_makes_a_candidate_and_blocks_verify_alike(spark, monke
     pairs = spark.createDataFrame([(i, j) for i in range(8) for j in range(i + 1, 8)], "a long, b long")
     for together in (8192, 2):
         monkeypatch.setattr(keypoints, "TOGETHER", together, raising=False)
-        got = keypoints.verified(pairs, keypoints.features(rows, "image_id", "image"))
+        got = keypoints.verified(pairs, keypoints.features(rows, "image", ["image_id"]).withColumnRenamed("image_id", "node"))
         assert {tuple(r) for r in got.collect()} == {(i, i + 4) for i in range(4)}
 
 
