@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,10 +18,13 @@ SLICE_CHARS = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, from the session or its context."""
+    """The cluster's spark.checkpoint.dir, from the session or its context. Where it is unset, a folder of this machine will
+    do on a single machine, as in tests; on a cluster it would not, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/loglattice-{spark.sparkContext.applicationId}"
     return folder.rstrip("/")
 
 
