@@ -57,8 +57,10 @@ def alias_classes(events: Iterable[tuple[str, list[int]]]) -> list[set[int]]:
 
 
 def aliases(audit: DataFrame, tenant: str) -> list[set[int]]:
-    """Operators assert aliases by hand: their events are few, and order decides what they mean."""
-    events = audit.where((F.col("tenant_id") == tenant) & F.col("event_type").isin("alias_asserted", "alias_retracted")).orderBy("timestamp").select("event_type", "alias_ids")
+    """Operators assert aliases by hand: their events are few, and order decides what they mean: that of the log (file and
+    row, where the audit table has them), then of time, then of kind and ids."""
+    order = [c for c in ("file", "row", "timestamp", "event_kind", "alias_ids") if c in audit.columns]
+    events = audit.where((F.col("tenant_id") == tenant) & F.col("event_type").isin("alias_asserted", "alias_retracted")).orderBy(*order).select("event_type", "alias_ids")
     return alias_classes((r[0], r[1] or []) for r in events.toLocalIterator())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,11 @@ from loglattice.plans.compile import Checked, Compiler, Promoted, Table, in_wind
 from loglattice.plans.ir import Aggregate, Query, QueryError
 
 
+FOREIGN = "a record of another tenant"
+#: Groups that an answer holds at most.
+MOST_GROUPS = 100_000
+
+
 def filtered(df: DataFrame, query: Query, checked: Checked, compiler: Compiler, visibility: Visibility) -> DataFrame:
     """Window, predicate and what the principal may see. A predicate that is constantly false reads nothing."""
     condition = compiler.predicate(query.predicate)
@@ -74,26 +80,30 @@ class Logs:
         return excluded(rows, checked.aggregate, self.compiler)
 
     def rows(self, query: Query, now: int, order: list[str] | None = None) -> DataFrame:
-        """The matching records, up to the query's limit or the default; masked as the principal's view demands."""
-        self.guard()
-        rows, checked = self.matching(query, now)
-        out = self.visibility.mask(rows)
+        """The matching records, up to the query's limit or the default; masked as the principal's view demands. A record of
+        another tenant among them is an error, raised as it is read."""
+        checked = validate(query, now)
+        self.visibility.forbid(query)
+        own = F.when(F.col("tenant_id").eqNullSafe(F.lit(self.tenant)), F.lit(True)).otherwise(F.raise_error(F.lit(FOREIGN)).cast("boolean"))
+        out = self.visibility.mask(filtered(self.all, query, checked, self.compiler, self.visibility).where(own))
         return (out.orderBy(*order) if order else out).limit(row_limit(checked.limit))
 
-    def guard(self) -> None:
-        """Rows of another tenant under this tenant's files are an error, not an answer."""
-        if self.all.where(~F.col("tenant_id").eqNullSafe(F.lit(self.tenant))).limit(1).count():
-            raise QueryError("a record of another tenant")
-
-    def execute(self, query: Query, now: int) -> dict:
+    def execute(self, query: Query, now: int, most: int = MOST_GROUPS) -> dict:
         """What a server answers: groups with the rows they leave out, or rows with the count of all that match; the
-        count is a job of its own only where the limit was reached."""
+        count is a job of its own only where the limit was reached. More than `most` groups are an error."""
         checked = validate(query, now)
         if checked.aggregate is not None:
             names = [f"key{i}" for i in range(len(checked.aggregate.by))]
             groups = self.grouped(query, now)
-            got = [r.asDict() for r in (groups.orderBy(*names) if names else groups).collect()]
+            got = [r.asDict() for r in (groups.limit(most + 1).orderBy(*names) if names else groups).collect()]
+            if len(got) > most:
+                raise QueryError(f"more than {most} groups")
             return {"groups": got, **self.tally(query, now).first().asDict()}
         limit = row_limit(checked.limit)
-        got = [r.asDict(recursive=True) for r in self.rows(query, now).collect()]
+        try:
+            got = [r.asDict(recursive=True) for r in self.rows(query, now).collect()]
+        except PySparkException as e:
+            if FOREIGN in str(e):
+                raise QueryError(FOREIGN) from e
+            raise
         return {"rows": len(got) if len(got) < limit else self.count(query, now).first()["n"], "records": got}

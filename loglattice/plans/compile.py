@@ -328,9 +328,14 @@ class Compiler:
 
 
 def rfc3339(ns: Column) -> Column:
-    """UTC time of nanoseconds since 1970, with 0, 3, 6 or 9 digits of the second as needed."""
-    rest = F.pmod(ns, F.lit(10**9).cast("long"))
-    whole = F.date_format(F.timestamp_seconds(((ns - rest) / 10**9).cast("long")), "yyyy-MM-dd'T'HH:mm:ss")
+    """UTC time of nanoseconds since 1970, with 0, 3, 6 or 9 digits of the second as needed. Whole numbers only: the session's
+    time zone plays no part."""
+    long = lambda n: F.lit(n).cast("long")
+    rest, second = F.pmod(ns, long(10**9)), F.pmod(ns, long(86_400 * 10**9)) / long(10**9)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), ((ns - F.pmod(ns, long(86_400 * 10**9))) / long(86_400 * 10**9)).cast("int")).cast("string")
+    second = F.floor(second)
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    whole = F.concat(day, F.lit("T"), two(F.floor(second / 3600)), F.lit(":"), two(F.floor(second / 60) % 60), F.lit(":"), two(second % 60))
     digits = F.lpad(rest.cast("string"), 9, "0")
     part = F.when(rest == 0, "").when(rest % 10**6 == 0, F.concat(F.lit("."), F.substring(digits, 1, 3))).when(rest % 1000 == 0, F.concat(F.lit("."), F.substring(digits, 1, 6))).otherwise(F.concat(F.lit("."), digits))
     return F.concat(whole, part, F.lit("Z"))

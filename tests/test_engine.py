@@ -1,5 +1,7 @@
 """Miner, audit folds, store and visibility."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,9 @@ from loglattice.operators import audit as A
 from loglattice.operators import miner as M
 from loglattice.operators.visibility import Forbidden, Visibility
 from loglattice.plans.text import parse
-from loglattice.sources.store import HOUR, LogStore
+from loglattice.plans.compile import rfc3339
+from loglattice.sources.corpus import lines as corpus_lines
+from loglattice.sources.store import HOUR, READERS, LogStore
 
 LINES = ["user 42 logged in from 10.0.0.1", "user 7 logged in from 10.0.0.2", "user x logged in from 10.0.0.3", "  a\tb  ", "", "a\0b", "job 8f14e45f-ceea-467f-a8d0-1234567890ab done", "p " + "9" * 300, "one two three", "one two four"]
 
@@ -49,28 +53,105 @@ def test_aliases():
         A.alias_event("t", [1], "me", "", 0)
 
 
-def test_store(spark, tmp_path):
-    store = LogStore(spark, str(tmp_path / "logs"))
-    rows = lambda h, n: spark.createDataFrame([("a", h * HOUR + i, h * HOUR + i, f"c{i % 2}", n) for i in range(6)], "tenant_id string, time_unix_nano long, effective_time_unix_nano long, conversation_id string, service string")
+def records(spark):
+    return lambda h, n: spark.createDataFrame([("a", h * HOUR + i, h * HOUR + i, f"c{i % 2}", n) for i in range(6)], "tenant_id string, time_unix_nano long, effective_time_unix_nano long, conversation_id string, service string")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_store(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    now = [10**18]
+    store, rows = LogStore(spark, str(tmp_path / "logs"), lambda: now[0]), records(spark)
     for n in ("x", "y", None):
         store.append(rows(5, n))
         store.append(rows(6, n))
     assert store.scan("a").count() == 36 and store.scan("a", 5 * HOUR, 6 * HOUR).count() == 18 and store.scan("b").count() == 0
-    assert store.misplaced("a").count() == 0
+    assert {p.hour for p in store.partitions("a")} == {5 * HOUR, 6 * HOUR} and store.misplaced("a").count() == 0
     before = sorted(map(tuple, store.scan("a").select("time_unix_nano", "service").fillna("").collect()))
+    reader = store.scan("a")
     assert store.compact("a", 5 * HOUR) == 0 and store.compact("a", 100 * HOUR) == 2
-    assert [len(p.live) for p in store.partitions("a")] == [1, 1]
+    assert [len(p.live) for p in store.partitions("a")] == [1, 1] and reader.count() == 36  # a reader of before goes on
     assert sorted(map(tuple, store.scan("a").select("time_unix_nano", "service").fillna("").collect())) == before
+    assert store.collect_garbage("a") == []
+    now[0] += READERS
+    assert len([f for f in store.collect_garbage("a") if f.endswith(".parquet")]) == 6 and store.scan("a").count() == 36
     store.append(rows(5, "z"))
     assert store.scan("a", 5 * HOUR, 6 * HOUR).count() == 24
     assert store.request_erasure("a", "c1") and not store.request_erasure("a", "c1")
     with pytest.raises(RuntimeError):
         store.backfill("a", lambda df: df.count())
-    assert store.erase("a", "conversation_id") == {"c1": 21} and store.scan("a").count() == 21
-    store.collect_garbage("a")
-    assert store.scan("a").count() == 21 and sum(store.backfill("a", lambda df: df.count())) == 21
+    gone = []
+    assert store.erase("a", "conversation_id", gone.append) == {"c1": 21} and store.scan("a").count() == 21 and gone == ["c1"]
+    assert [(r.event_type, r.conversation_id, r.rows_erased) for r in store.scan("a", table="audit").collect()] == [("conversation_erased", "c1", 21)] and store.pending_erasures("a") == []
+    assert sum(store.backfill("a", lambda df: df.count())) == 21
     with pytest.raises(ValueError):
         store.scan("a/b")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_appends_during_compaction_lose_nothing(spark, tmp_path):
+    store, rows = LogStore(spark, str(tmp_path / "logs")), records(spark)
+    store.append(rows(5, "x"))
+    errors = []
+
+    def work(f):
+        try:
+            f()
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=work, args=(f,)) for f in [lambda: store.append(rows(5, "y"))] * 4 + [lambda: store.compact("a", 100 * HOUR)] * 3 + [lambda: store.collect_garbage("a")]]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and store.scan("a").count() == 30
+    assert [store.files.create(str(tmp_path / "one"), "x") for _ in range(2)] == [True, False]
+
+
+def test_scans_unite_schemas(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "logs"))
+    add = lambda value, kind: store.append(spark.createDataFrame([("a", 5 * HOUR, 5 * HOUR, value)], f"tenant_id string, time_unix_nano long, effective_time_unix_nano long, {kind}"))
+    add(1, "attr_k long")
+    add("x", "attr_k string")
+    add("y", "other string")
+    got = store.scan("a")
+    assert dict(got.dtypes)["attr_k"] == "string" and sorted((r.attr_k or "", r.other or "") for r in got.collect()) == [("", ""), ("", "y"), ("x", "")]
+    assert sorted(r.attr_k or 0 for r in store.scan("a", kinds={"attr_k": "bigint"}).collect()) == [0, 0, 1]
+    add("z", "flags string")
+    add(2, "flags long")
+    with pytest.raises(TypeError):
+        store.scan("a")
+
+
+def test_queries_prune_files_and_push_filters(spark, tmp_path):
+    store, rows = LogStore(spark, str(tmp_path / "logs")), records(spark)
+    for h in range(48):
+        store.append(rows(h, "x"))
+    listed = []
+    children = store.files.children
+    store.files.children = lambda folder: listed.append(folder) or children(folder)
+    df = store.scan("a", 5 * HOUR, 6 * HOUR).where("time_unix_nano >= 3")
+    assert len(df.inputFiles()) == 1 and sum("hour=" in x for x in listed) <= 3
+    assert "PushedFilters: [IsNotNull(time_unix_nano), GreaterThanOrEqual(time_unix_nano,3)]" in df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_times_need_no_zone(spark):
+    for zone in ("UTC", "Asia/Tokyo", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.createDataFrame([(1_775_127_480_000_000_000,), (0,), (-1,), (1_500_000,), (1_709_251_199_000_000_123,)], "ns long")
+        got = [r[0] for r in df.select(rfc3339(F.col("ns"))).collect()]
+        assert got == ["2026-04-02T10:58:00Z", "1970-01-01T00:00:00Z", "1969-12-31T23:59:59.999999999Z", "1970-01-01T00:00:00.001500Z", "2024-02-29T23:59:59.000000123Z"]
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_corpus_lines_are_numbered_within_their_file(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 300)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"line {i} of {name}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    got = corpus_lines(spark, str(tmp_path), "t", 7).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 5300 and all(r.body.split()[1] == str(r.seq) and r.time_unix_nano == 7 + r.seq * 10**6 for r in got)
 
 
 def test_visibility(spark):
