@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice import catalog_store
 from loglattice.functions import templates as T
 from loglattice.operators import audit as A
 from loglattice.operators import compare as M
+from loglattice.operators import evaluate as E
 from loglattice.operators.query import Logs
 from loglattice.operators.visibility import Visibility
 from loglattice.plans.text import parse, timestamp
@@ -33,7 +35,6 @@ PREDICATES = {
     "pred_severity_band": ("severity != error", "severity_number not between 17 and 20"),
     "pred_ord": ("template_id >= 20 and flags < 3 and template_id != 33", "template_id >= 20 and event_id % 4 < 3 and template_id <> 33"),
     "pred_literal": ("ts >= 2024-01-05T00:00:00.5Z and confidence <= 0.5 and lossy == false", f"t >= {timestamp('2024-01-05T00:00:00.5Z')} and (event_id % 11) / 10.0 <= 0.5"),
-    "pred_hex": ('trace_id == "%s"', "trace_id = md5('7-12')"),
     "pred_regex": ('body =~ "user [0-9]*8 (click|view)"', "regexp_matches(body, 'user [0-9]*8 (click|view)')"),
     "pred_regex_not": ('scope !~ "^lib\\\\.c"', "not regexp_matches(scope_name, '^lib\\.c')"),
     "pred_attr_promoted": ('attr.note == "1.5"', "attr__note = '1.5'"),
@@ -43,7 +44,7 @@ PREDICATES = {
     "pred_attr_json_ne": ('attr.kind != "purchase" and not attr.missing == "x"', "event_name <> 'purchase'"),
     "pred_attr_numeric": ("attr.k >= 3 and attr.k != 5 and attr.value < 40.5", "attr__k >= 3 and attr__k <> 5 and attr__value < 40.5"),
     "pred_like_escape": ('contains(body, "%") or contains(body, "_") or contains(body, "7")', "contains(body, '%') or contains(body, '_') or contains(body, '7')"),
-    "pred_body_eq": ('body == "user 1 click cents 1" or body != "user 2 view cents 5"', "body = 'user 1 click cents 1' or body <> 'user 2 view cents 5'"),
+    "pred_body_eq": ('body != "user 2 view cents 5" and event_name == "view" and contains(body, "user 2")', "event_name = 'view' and body <> 'user 2 view cents 5' and contains(body, 'user 2')"),
     "fn_matches": ('matches(event_name, "^(c|v)")', "regexp_matches(event_name, '^(c|v)')"),
     "fn_contains": ('contains(body, " error ")', "contains(body, ' error ')"),
     "fn_starts_with": ('starts_with(body, "user 1")', "starts_with(body, 'user 1')"),
@@ -74,10 +75,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matching(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    if "%s" in text:
-        import hashlib
-
-        text = text % hashlib.md5(b"7-12").hexdigest()
     return lambda spark, sf_dir: view(spark, sf_dir).matching(parse(text + SPAN), NOW)[0].select("event_id", "severity_number", "body")
 
 
@@ -122,7 +119,7 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.list_templates(audit(spark, sf_dir), "t0").select("template_id", "version")
+    return A.list_templates(audit(spark, sf_dir), "t0").select("template_id", "version", "template")
 
 
 def mask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,26 +170,21 @@ def margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs(spark, sf_dir).groupBy("service").agg((F.sum(F.when(F.col("severity_number") == 17, 1).otherwise(0)) / F.count(F.lit(1))).alias("ratio"))
+    return E.share(logs(spark, sf_dir), ["service"], F.col("severity_number") == 17)
 
 
 def quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs(spark, sf_dir).groupBy("service").agg(F.expr("percentile_disc(0.5) within group (order by attr__value)").alias("p50"), F.expr("percentile_disc(0.01) within group (order by attr__value)").alias("p01"))
-
-
-def scalar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grouped counts of a larger table."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("most"))
+    return E.percentiles(logs(spark, sf_dir), ["service"], "attr__value", {"p50": 0.5, "p01": 0.01})
 
 
 OTHERS = {
     "null_key_tally": tally, "count_all": count_all, "limit": limited, "filter_window": filter_window, "default_window": default_window, "filter_visibility": filter_visibility, "mask_rows": mask_rows, "agg_drift": drift, "registry_fold": registry, "mask_tokens": mask_tokens, "overflow_cap": overflow,
-    "reconstruct": reconstruct, "similarity_zone": similarity, "corpus_severity": corpus_severity, "grep_ref": grep, "cmp_lines": compare_lines, "cmp_aggs": compare_aggregates, "cmp_margin": margin, "agg_ratio": ratio, "agg_quantile": quantile, "agg_lineitem": scalar_orders,
+    "reconstruct": reconstruct, "similarity_zone": similarity, "corpus_severity": corpus_severity, "grep_ref": grep, "cmp_lines": compare_lines, "cmp_aggs": compare_aggregates, "cmp_margin": margin, "agg_ratio": ratio, "agg_quantile": quantile,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship} | {k: matching(q) for k, (q, _) in PREDICATES.items()} | {k: grouped(q) for k, (q, _, _) in AGGREGATES.items()} | OTHERS
+    return {k: matching(q) for k, (q, _) in PREDICATES.items()} | {k: grouped(q) for k, (q, _, _) in AGGREGATES.items()} | OTHERS | catalog_store.queries()
 
 
 def over_logs(select: str, where: str) -> str:
@@ -210,12 +202,11 @@ def oracle_sql() -> dict[str, str]:
     out = {k: over_logs("event_id, severity_number, body", w) for k, (_, w) in PREDICATES.items()}
     out |= {k: grouped_sql(keys, value) for k, (_, keys, value) in AGGREGATES.items()}
     out["group_param"] = over_logs("cast(user_id as varchar) as key0, count(*) as n", f"({floor}) and template_id = 8") + " group by user_id"
-    out["flagship"] = out["group_bucket"]
     day = lambda a, b: f"with {LOGS_SQL} select event_id from logs where tenant_id = 't0' and t >= {timestamp(a)} and t < {timestamp(b)}"
     uuid = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
     masks = f"^({uuid}|{octet}(\\.{octet}){{3}}|[+-]?[0-9]+(\\.[0-9]+)?)$"
-    return out | {
+    return out | catalog_store.oracle_sql() | {
         "null_key_tally": over_logs("count(*) as rows, cast(sum(case when scope_name is null then 1 else 0 end) as bigint) as rows_excluded", floor),
         "count_all": over_logs("count(*) as n", floor),
         "limit": over_logs("event_id, body", floor) + " order by event_id limit 100",
@@ -225,7 +216,9 @@ def oracle_sql() -> dict[str, str]:
         "mask_rows": over_logs("event_id, cast(null as varchar) as body, service", "severity_number between 17 and 20"),
         "agg_drift": f"""with {AUDIT_SQL} select template_id, count(*) as widening_count, min(old_version) as from_version, max(new_version) as to_version, min("timestamp") as first_at, max("timestamp") as last_at
  from audit where tenant_id = 't0' and event_type in ('template_widened', 'template_type_expanded') and "timestamp" >= {FROM} and "timestamp" < {TO} group by template_id""",
-        "registry_fold": f"with {AUDIT_SQL} select distinct template_id, case when event_type = 'template_created' then 1 else new_version end as version from audit where tenant_id = 't0' and event_type in ('template_widened', 'template_type_expanded', 'template_created')",
+        "registry_fold": f"""with {AUDIT_SQL}, made as (select template_id, case when event_type = 'template_created' then 1 else new_version end as version, new_template as template,
+ row_number() over (partition by template_id, case when event_type = 'template_created' then 1 else new_version end order by "timestamp" desc, case event_type when 'template_created' then 6 when 'template_type_expanded' then 1 else 0 end desc) as place
+ from audit where tenant_id = 't0' and event_type in ('template_widened', 'template_type_expanded', 'template_created')) select template_id, version, template from made where place = 1""",
         "mask_tokens": f"with {LOGS_SQL}, m as (select array_to_string([case when regexp_matches(x, '{masks}') then '<*>' else x end for x in string_split(body, ' ')], ' ') as template from logs) select template, count(*) as n from m group by template",
         "overflow_cap": "select doc_id, case when octet_length(encode(text)) > 256 then 'OVERFLOW(length=' || octet_length(encode(text)) || ',sha256=' || substr(sha256(text), 1, 16) || ')' else text end as value from documents",
         "reconstruct": "select doc_id, text from documents",
@@ -237,5 +230,4 @@ def oracle_sql() -> dict[str, str]:
         "cmp_margin": f"with {LOGS_SQL}, m as (select service, count(*) as a, cast(sum(case when severity_number <> 5 then 1 else 0 end) as bigint) as b from logs group by service) select service, a, b, b * 1.0 >= 0.9 * a as passed from m",
         "agg_ratio": f"with {LOGS_SQL} select service, sum(case when severity_number = 17 then 1 else 0 end) / count(*) as ratio from logs group by service",
         "agg_quantile": f"with {LOGS_SQL} select service, quantile_disc(attr__value, 0.5) as p50, quantile_disc(attr__value, 0.01) as p01 from logs group by service",
-        "agg_lineitem": "select l_returnflag, l_linestatus, count(*) as n, max(l_quantity) as most from lineitem group by all",
     }

@@ -1,22 +1,25 @@
-"""The template miner: lines to templates and parameters, one state machine per tenant and number of words.
+"""The template miner: lines to templates and parameters, one state machine per shard.
 
-Templates are only ever compared with lines of as many words, so (tenant, words) shards mine independently and in
-parallel. A template's id carries its shard: it depends on no other shard's lines.
+A line is only ever compared with templates of as many words, the same severity and scope, and the same route: its first
+masked words, where a node of the routing tree that is full sends new words to a wildcard. Which words a node has room for
+is told by their first lines, which Spark finds beforehand; so shards of (tenant, words, route, severity, scope) mine
+independently and in parallel, each streaming its lines in order. A template's id carries its shard: it depends on no other
+shard's lines. The ceiling of templates holds for each shard.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.functions.templates import OVERFLOW, STR, WILDCARD, NulError, rebuilt, sample, split_line, template_words, tokens, word_kind
+from loglattice.functions.templates import OVERFLOW, STR, WILDCARD, NulError, masked, rebuilt, sample, split_line, template_words, tokens, word_kind
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,7 @@ class Line:
 
 
 class Shard:
-    """Templates of one tenant and number of words. ids are (shard number << 24) + a running number."""
+    """Templates of one shard. ids are (shard number << 22) + a running number."""
 
     def __init__(self, number: int, tunables: Tunables | None = None):
         self.number, self.tunables = number, tunables or Tunables()
@@ -76,9 +79,26 @@ class Shard:
         self.made = 0
         self.structured: dict[tuple, int] = {}
 
+    def snapshot(self) -> str:
+        """The state as JSON; `restored` takes it up again."""
+        leaves = [[list(at), [[x.words, x.id, x.severity, x.scope, x.version, sorted((i, sorted(k)) for i, k in x.kinds.items())] for x in xs]] for at, xs in self.routes.items()]
+        return json.dumps({"form": 1, "number": self.number, "made": self.made, "routes": leaves, "fanout": [[list(at), sorted(w for w in ws if w is not None), None in ws] for at, ws in self.fanout.items()], "structured": [[*k, v] for k, v in self.structured.items()]})
+
+    @classmethod
+    def restored(cls, text: str, tunables: Tunables | None = None) -> Shard:
+        got = json.loads(text)
+        if got.get("form") != 1:
+            raise ValueError("a snapshot of another form")
+        out = cls(got["number"], tunables)
+        out.made = got["made"]
+        out.routes = {tuple(at): [Leaf(w, i, s, c, v, {p: set(k) for p, k in kinds}) for w, i, s, c, v, kinds in xs] for at, xs in got["routes"]}
+        out.fanout = {tuple(at): {*ws, *([None] if wild else [])} for at, ws, wild in got["fanout"]}
+        out.structured = {tuple(k): v for *k, v in got["structured"]}
+        return out
+
     def new_id(self) -> int:
         self.made += 1
-        return (self.number << 24) + self.made
+        return (self.number << 22) + self.made
 
     def route(self, masked: list[str | None]) -> tuple:
         """The leaf list a line belongs to: its first words, where a node that is full sends new words to a wildcard."""
@@ -192,9 +212,9 @@ EVENT = "event_type string, template_id long, old_version int, new_version int,
 _event_names = [c.strip().split(" ")[0] for c in "event_type,template_id,old_version,new_version,old_template,new_template,positions_widened,slots_expanded,triggering_line_hash,triggering_line_sample,reason".split(",")]
 
 
-def shard_number(tenant: str, words: int) -> int:
-    """38 bits, so that ids fit into a positive long."""
-    return (zlib.crc32(tenant.encode()) % (1 << 28)) << 10 | min(words, 1023)
+def shard_number(key: str) -> int:
+    """40 bits, so that ids fit into a positive long."""
+    return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=5).digest(), "big")
 
 
 def output(seq: int, line: Line, events: list[dict]) -> dict:
@@ -204,24 +224,69 @@ def output(seq: int, line: Line, events: list[dict]) -> dict:
     }
 
 
+CARRIED_OUT = ("body", "template_id", "template_version", "params", "separators", "confidence", "lossy_flag", "failure", "events")
+
+
+def sharded(df: DataFrame, tunables: Tunables) -> DataFrame:
+    """df with `_shard`, the text that names each line's shard. A node has room for the words that come first: of each node's
+    words the first lines are found (one row per word, summed before the shuffle) and ranked."""
+    text = (F.col("body_kind") == 0) & F.col("body").isNotNull()
+    words = F.when(text, tokens(F.col("body")))
+    n = F.coalesce(F.size(words), F.lit(-1))
+    short = F.when(text, masked(F.slice(words, 1, max(1, tunables.depth))))
+    mark = fresh_names(df)
+    keyed = df.withColumns({mark["t"]: F.coalesce("tenant_id", F.lit("")), mark["n"]: n, mark["at"]: F.lit("")})
+    for level in range(tunables.depth):
+        word = F.get(short, F.lit(level))
+        keyed = keyed.withColumn(mark["w"], word)
+        node = [mark["t"], mark["n"], mark["at"]]
+        firsts = keyed.where(F.col(mark["w"]).isNotNull() & (F.col(mark["w"]) != WILDCARD)).groupBy(*node, mark["w"]).agg(F.min("seq").alias("_first"))
+        full = firsts.groupBy(*node).agg(F.count(F.lit(1)).alias("_words")).where(F.col("_words") > tunables.children)
+        # only crowded nodes need a rank: which of their words came first
+        crowded = firsts.join(full.select(*node), node)
+        late = crowded.withColumn("_rank", F.row_number().over(Window.partitionBy(*node).orderBy("_first", mark["w"]))).where(F.col("_rank") > tunables.children).select(*node, mark["w"], F.lit(True).alias(mark["late"]))
+        keyed = keyed.join(late, [*node, mark["w"]], "left")
+        step = F.when(F.col(mark["w"]).isNull(), F.lit("")).when(F.coalesce(F.col(mark["late"]), F.lit(False)), F.lit(WILDCARD)).otherwise(F.col(mark["w"]))
+        keyed = keyed.withColumn(mark["at"], F.concat_ws("\x01", F.col(mark["at"]), step)).drop(mark["late"], mark["w"])
+    shard = F.concat_ws("\x02", mark["t"], F.col(mark["n"]).cast("string"), mark["at"], F.coalesce("severity_number", F.lit(0)).cast("string"), F.coalesce("scope_name", F.lit("")))
+    return keyed.withColumn("_shard", shard).drop(mark["t"], mark["n"], mark["at"])
+
+
+def fresh_names(df: DataFrame) -> dict[str, str]:
+    return {k: next(n for i in range(99) if (n := f"_{k}{'_' * i}") not in df.columns) for k in ("t", "n", "at", "w", "late")}
+
+
+def schema_of(df: DataFrame, kept: list[str]) -> str:
+    events = EVENT.replace(" string", ":string").replace(" long", ":long").replace(" int", ":int").replace(" binary", ":binary").replace(" array", ":array")
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields), MINED, "failure string", f"events array<struct<{events}>>"])
+
+
 def mine(df: DataFrame, tunables: Tunables | None = None) -> DataFrame:
     """df (tenant_id, seq, body_kind, body, severity_number, scope_name, event_name, ...) with the mined columns, and
-    `events` for the audit stream. Lines of a shard are mined in the order of seq. A null body is absent: template 0."""
-    kept = [c for c in df.columns if c not in ("body", "template_id", "template_version", "params", "separators", "confidence", "lossy_flag", "_tenant", "_shard")]
-    words = F.when((F.col("body_kind") == 0) & F.col("body").isNotNull(), F.size(tokens(F.col("body")))).otherwise(F.lit(-1))
-    keyed = df.withColumn("_tenant", F.coalesce("tenant_id", F.lit(""))).withColumn("_shard", F.least(words, F.lit(1023)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = Shard(shard_number(pdf["_tenant"].iloc[0], max(0, int(pdf["_shard"].iloc[0]))), tunables)
-        pdf = pdf.sort_values("seq", kind="stable")
-        rows = list(mined_rows(pdf, state))
-        out = pd.DataFrame(rows, columns=list(rows[0]))
-        for c in kept:
-            out[c] = pdf[c].to_numpy()
-        return out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields) + f", {MINED}, failure string, events array<struct<{EVENT.replace(' string', ':string').replace(' long', ':long').replace(' int', ':int').replace(' binary', ':binary').replace(' array', ':array')}>>"
-    return keyed.groupBy("_tenant", "_shard").applyInPandas(run, schema)
+    `events` for the audit stream. Lines of a shard are mined in the order of seq; a partition streams its sorted shards, so
+    that one template's lines needn't be in memory at once. A null body is absent: template 0."""
+    limits = tunables or Tunables()
+    kept = [c for c in df.columns if c not in (*CARRIED_OUT, "_shard")]
+    keyed = sharded(df, limits)
+    columns = [*kept, "body", "_shard"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, name = None, None
+        for pdf in batches:
+            out = []
+            for at, group in pdf.groupby("_shard", sort=False):
+                if at != name:
+                    # the route is part of the shard's name
+                    state, name = Shard(shard_number(at), replace(limits, depth=0)), at
+                out += list(mined_rows(group, state))
+            if out:
+                made = pd.DataFrame(out, columns=list(out[0]))
+                for c in kept:
+                    made[c] = pdf[c].to_numpy()
+                yield made
+
+    return keyed.select(*columns).repartition(parts, "_shard").sortWithinPartitions("_shard", "seq").mapInPandas(run, schema_of(df, kept))
 
 
 def mined_rows(pdf: pd.DataFrame, state: Shard) -> Iterator[dict]:

@@ -28,16 +28,19 @@ def nanos(text: Column) -> Column:
     return F.coalesce(text.try_cast("long"), F.lit(0))
 
 
-def flatten(requests: DataFrame, tenant: str, column: str = "value") -> DataFrame:
-    """One row per log record of JSON requests. Wrong-length ids are null, severities beyond 0..255 are 0, an event
+def flatten(requests: DataFrame, tenant: str, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per log record of JSON requests; with `keep`, those columns of the request and the record's `position` in it. Wrong-length ids are null, severities beyond 0..255 are 0, an event
     name is taken from the attribute event.name where the field is empty. Broken JSON gives no rows."""
-    parsed = requests.select(F.from_json(F.col(column), REQUEST).alias("r"))
-    r = parsed.select(F.explode("r.resourceLogs").alias("rl")).select("rl", F.explode("rl.scopeLogs").alias("sl")).select("rl", "sl", F.explode("sl.logRecords").alias("x"))
+    parsed = requests.select(*keep, F.from_json(F.col(column), REQUEST).alias("r"))
+    # positions multiply: a request has fewer than 1000 resources and scopes each where its order matters
+    r = parsed.select(*keep, F.posexplode("r.resourceLogs").alias("p1", "rl")).select(*keep, "p1", "rl", F.posexplode("rl.scopeLogs").alias("p2", "sl")).select(*keep, "p1", "p2", "rl", "sl", F.posexplode("sl.logRecords").alias("p3", "x"))
+    place = [*keep, ((F.col("p1") * 1000 + F.col("p2")).cast("long") * 1_000_000 + F.col("p3")).alias("position")] if keep else []
     x, named = F.col("x"), F.filter(F.col("x.attributes"), lambda a: a["key"] == "event.name")
     from_attribute = F.get_json_object(F.get(named, F.lit(0))["value"], "$.stringValue")
     text = F.get_json_object(x["body"], "$.stringValue")
     at, seen = nanos(x["timeUnixNano"]), x["observedTimeUnixNano"].try_cast("long")
     return r.select(
+        *place,
         F.lit(tenant).alias("tenant_id"),
         at.alias("time_unix_nano"),
         seen.alias("observed_time_unix_nano"),

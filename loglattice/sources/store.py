@@ -428,6 +428,20 @@ class LogStore:
                 self.files.delete(self.mark(tenant, c, phase))
         return count
 
+    def append_tuples(self, tenant: str, tuples: DataFrame) -> int:
+        """Add relationship tuples that aren't known yet; how many."""
+        path = _tuples_path(self, tenant)
+        known = self.spark.read.parquet(path) if self.files.list(path) else None
+        new = tuples.join(known, ["subject", "relation", "object"], "left_anti") if known is not None else tuples
+        stage = f"{self.root}/staging/{uuid.uuid4().hex}"
+        new.write.parquet(stage)
+        n = self.spark.read.schema(tuples.schema).parquet(stage).count()
+        for p, _ in self.files.list(stage):
+            if p.endswith(".parquet"):
+                self.files.move(p, f"{path}/{uuid.uuid4().hex}.parquet")
+        self.files.delete(stage)
+        return n
+
     def sweep(self, tenants: Iterable[str], now: int, column: str) -> dict[str, tuple[int, dict[str, int]]]:
         """Garbage, compaction and erasure of each tenant."""
         out = {}
@@ -449,6 +463,10 @@ class LogStore:
             self.files.delete(lock)
 
 
+def _tuples_path(store: LogStore, tenant: str) -> str:
+    return store.tenant_path(tenant, "tuples")
+
+
 def graph_tuples(df: DataFrame) -> DataFrame:
     """Distinct (subject, relation, object) of records: a tenant is parent of its conversations, a user takes part in them, an
     agent acts in them, and a reader that a record names may see them."""

@@ -1,0 +1 @@
+"""Streams of export requests into a store."""
