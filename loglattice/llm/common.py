@@ -237,10 +237,10 @@ def components(edges: DataFrame) -> DataFrame:
     while n:
         # large star: each node's larger neighbours point to its smallest neighbour or itself
         sym = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = checkpoint(sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = checkpoint(starred(sym.where("b > a"), low, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         # small star: each node's smaller neighbours and itself point to the smallest of them
-        least = checkpoint(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = starred(large, least, n).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         e = checkpoint(small)
         state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
