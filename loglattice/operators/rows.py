@@ -52,7 +52,7 @@ def log_rows(df: DataFrame, registry: DataFrame, keep: tuple[str, ...] = ()) ->
     small = F.broadcast(registry.select(F.col("template_id").alias("_id"), F.col("version").alias("_version"), F.col("template").alias("_template")))
     joined = df.join(small, (F.col("template_id") == F.col("_id")) & (F.col("template_version") == F.col("_version")), "left")
     hexed = lambda c: F.lower(F.hex(c)) if isinstance(df.schema[c].dataType, T.BinaryType) else F.col(c)
-    fields = [(hexed(c) if c in ("trace_id", "span_id") else F.col(c).cast(t)).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in FIELDS.items()]
+    fields = [(hexed(c) if c in ("trace_id", "span_id") else F.col(c).cast(t)).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in FIELDS.items() if c not in keep]
     kind = F.col("body_kind") if "body_kind" in df.columns else F.lit(STRING)
     return joined.select(*keep, *fields, rendered(F.col("body"), kind, F.col("lossy_flag"), F.col("params"), F.col("separators"), F.col("_template")).alias("body"))
 

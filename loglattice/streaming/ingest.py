@@ -54,7 +54,7 @@ def mined(df: DataFrame, tunables: Tunables | None = None) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         inner = replace(limits, depth=0)  # the route is part of the key
         shard = Shard.restored(state.get[0], inner) if state.exists else Shard(shard_number(key[0]), inner)
-        rows = pd.concat([b for b in batches if len(b)], ignore_index=True).sort_values("seq", kind="stable")
+        rows = pd.DataFrame([r for b in batches for r in b.to_dict("records")]).sort_values("seq", kind="stable")
         out = list(mined_rows(rows, shard))
         state.update((shard.snapshot(),))
         made = pd.DataFrame(out, columns=list(out[0]))
