@@ -72,6 +72,17 @@ def test_http_bodies(spark):
     assert protobuf.json_form(b"")[0] == "{}" and not math.isnan(len(rows))
 
 
+def test_messages_that_begin_like_json():
+    of = lambda n: {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": {"stringValue": "x" * n}}]}]}]}
+    tree = next(t for t in map(of, range(200)) if protobuf.encoded(t)[1:2] == b"{")  # a newline and the length 123
+    raw = protobuf.encoded(tree)
+    assert len(raw) == 125 and json.loads(protobuf.json_form(raw)[0]) == tree == json.loads(protobuf.json_form(gzip.compress(raw))[0])
+    assert json.loads(protobuf.json_form(b"\n" + json.dumps(tree).encode())[0]) == tree
+    for bad in (raw[:-1], b"\n{broken", b"{broken"):
+        with pytest.raises(ValueError):
+            protobuf.json_form(bad)
+
+
 def test_frames(tmp_path):
     log = FrameLog(str(tmp_path), segment_bytes=200)
     places = [log.append([f"p{i}".encode() * 10]) for i in range(30)]
