@@ -56,6 +56,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so for what the driver's collector finds unused, and a
+    driver with little to do rarely collects."""
+    spark._jvm.java.lang.System.gc()
+
+
 _held: dict[str, dict] = {}
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 from functools import lru_cache
 
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import block_pairs, checkpoint, components, map_arrow, sorted_groups, written
-from loglattice.llm.links import FOUND, found, numbered, summed
+from loglattice.llm.common import block_pairs, components, map_arrow, sorted_groups, swept, written
+from loglattice.llm.links import FOUND, found, summed
 
 #: Each level of the pyramid is smaller by this factor: a copy of any size between has its features on some level.
 LEVELS, FACTOR = 7, 1.2
@@ -36,6 +37,8 @@ COMPARED, MEET = 4, 12
 LARGE, HELD = 1024, 1_000_000
 #: Images whose features stand together when candidates are verified.
 TOGETHER = 16_384
+#: Descriptors that are compared in one piece, small enough for a processor's cache.
+CACHED = 131_072
 #: Different bits of descriptors that match in verification.
 MATCH = 24
 #: Places with a match that must agree on a transform, and the pixels that are one place.
@@ -172,47 +175,78 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.stack([raw[:, 0] / PLACE, raw[:, 1] / PLACE, raw[:, 2].astype(np.int16) * (2 * np.pi / CIRCLE), FACTOR ** raw[:, 3].astype(float)], 1)
 
 
-def agreeing(bits: list[np.ndarray], places: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and in b of descriptors of which at most MATCH bits differ. Both have a row for each word of 64 bits."""
+    n, found_at = a.shape[1], [np.zeros(0, np.int64)]
+    step = max(1, CACHED // max(1, b.shape[1]))
+    for k in range(0, n, step):
+        differ = np.bitwise_count(a[0, k : k + step, None] ^ b[0])
+        for x, y in zip(a[1:], b[1:], strict=True):
+            differ += np.bitwise_count(x[k : k + step, None] ^ y)
+        found_at.append(np.flatnonzero(differ <= MATCH) + k * b.shape[1])
+    return np.divmod(np.concatenate(found_at), max(1, b.shape[1]))
+
+
+def agreeing(bits: list[np.ndarray], places: list[np.ndarray], left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of images whose matching features agree on one transform: turn, scale, and where the middle of the left image's
-    features comes to lie, which depends least on small errors of turn and scale."""
-
-    def stacked(which: np.ndarray):
-        rows = np.repeat(np.arange(len(which)), [len(bits[i]) for i in which])
-        return rows, np.concatenate([bits[i] for i in which]), np.concatenate([places[i] for i in which])
-
-    (ra, ba, pa_), (rb, bb, pb) = stacked(left), stacked(right)
-    middle = np.array([places[i][:, :2].mean(0) for i in left])
-    # corners of several levels at one place are one voter
-    spot = np.floor(pa_[:, :2] / SPOT).astype(np.int64)
-    voter = np.unique((ra << 40) | (spot[:, 0] << 20) | spot[:, 1], return_inverse=True)[1]
-    signs_b = np.unpackbits(bb, axis=1).astype(np.float32) * 2 - 1
-    votes = []
-    for k in range(0, len(ra), 2048):
-        signs_a = np.unpackbits(ba[k : k + 2048], axis=1).astype(np.float32) * 2 - 1
-        x, y = np.nonzero(signs_a @ signs_b.T >= BITS - 2 * MATCH)
-        x = x + k
-        if same:
-            later = ra[x] < rb[y]
-            x, y = x[later], y[later]
-        turn = pb[y, 2] - pa_[x, 2]
-        scale = pb[y, 3] / pa_[x, 3]
+    features comes to lie, which depends least on small errors of turn and scale. A pair counts where the left image has the
+    lower rank; which image comes first can decide a close case, so ranks must not depend on how rows are dealt."""
+    words = lambda x: np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint64).T)
+    by = np.argsort(rank[right])
+    right, after = right[by], np.searchsorted(rank[right[by]], rank[left], side="right")
+    sizes = [len(bits[i]) for i in right]
+    starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    of, code, where = np.repeat(np.arange(len(right)), sizes), words(np.concatenate([bits[i] for i in right])), np.concatenate([places[i] for i in right])
+    first, second = [], []
+    for number, i in enumerate(left):
+        begin = starts[after[number]]
+        own = places[i]
+        # corners of several levels at one place are one voter
+        spot = np.floor(own[:, :2] / SPOT).astype(np.int64)
+        voter = np.unique((spot[:, 0] << 20) | spot[:, 1], return_inverse=True)[1]
+        voters = int(voter.max(initial=-1)) + 1
+        bits_of_voter = voters.bit_length()
+        if voters < CONSENSUS or begin == len(where):
+            continue
+        x, y = close(words(bits[i]), code[:, begin:])
+        # too few places with a match of any kind can't agree on a transform
+        met_by = np.zeros((voters, len(right)), bool)
+        met_by[voter[x], of[begin + y]] = True
+        enough = (met_by.sum(0) >= CONSENSUS)[of[begin + y]]
+        x, y = x[enough], y[enough] + begin
+        if not len(x):
+            continue
+        turn = where[y, 2] - own[x, 2]
+        scale = where[y, 3] / own[x, 3]
         cos, sin = np.cos(turn) * scale, np.sin(turn) * scale
-        oy, ox = (pa_[x, :2] - middle[ra[x]]).T
-        dy = pb[y, 0] - (oy * cos + ox * sin)
-        dx = pb[y, 1] - (ox * cos - oy * sin)
+        oy, ox = (own[x, :2] - own[:, :2].mean(0)).T
+        dy = where[y, 0] - (oy * cos + ox * sin)
+        dx = where[y, 1] - (ox * cos - oy * sin)
         steps = np.rint(np.log(scale) / np.log(FACTOR)) + LEVELS
+        votes = []
         # each match votes in two neighbouring cells of every measure's shifted grid, so that none falls on an edge
         for shift in (0.0, 0.5):
             cell = [np.floor(turn / (2 * np.pi) * TURNS + shift).astype(int) % TURNS, np.floor(steps / LEVELS_WIDE + shift).astype(int), np.floor(dy / SHIFT + shift).astype(int) + 512, np.floor(dx / SHIFT + shift).astype(int) + 512]
             key = np.full(len(x), int(shift * 2), np.int64)
             for c, r in zip(cell, (TURNS, LEVELS + 2, 2048, 2048), strict=True):
                 key = key * r + c % r
-            # keys stay below 2^30; pairs and features of a block fit into what is left
-            votes.append(((ra[x] * len(right) + rb[y]) << 30 | key) * len(ra) + voter[x])
-    v = np.unique(np.concatenate(votes)) if votes else np.zeros(0, np.int64)  # a place votes once in a cell
-    pair, n = np.unique(v // max(1, len(ra)), return_counts=True)
-    hit = np.unique(pair[n >= CONSENSUS] >> 30)
-    return hit // len(right), hit % len(right)
+            # keys stay below 2^30; images and features of a block fit into what is left
+            votes.append((of[y] << 30 | key) << bits_of_voter | voter[x])
+        v = np.sort(np.concatenate(votes))
+        cell = v[np.flatnonzero(np.diff(v, prepend=-1))] >> bits_of_voter  # a place votes once in a cell
+        begins = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+        hit = np.unique(cell[begins[:-1][np.diff(begins) >= CONSENSUS]] >> 30)
+        first.append(np.full(len(hit), number))
+        second.append(hit)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *first]), by[np.concatenate([none, *second])]
+
+
+def ranks(bits: list[bytes], places: list[bytes]) -> np.ndarray:
+    """Of each image its place in the order of features."""
+    out = np.empty(len(bits), np.int64)
+    out[sorted(range(len(bits)), key=lambda i: (bits[i], places[i]))] = np.arange(len(bits))
+    return out
 
 
 def features(df: DataFrame, image: str, carried: list[str]) -> DataFrame:
@@ -292,8 +326,8 @@ def met(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def candidates(described: DataFrame) -> DataFrame:
-    """Pairs a < b of images that meet in a table: all entries of a bucket are compared with each other. Small buckets
-    in one pass over sorted rows, which hands on the rows of large ones; those are compared in blocks."""
+    """Pairs a < b of images that meet in a table, some more than once: all entries of a bucket are compared with each
+    other. Small buckets in one pass over sorted rows, which hands on the rows of large ones; those are compared in blocks."""
     width = BITS // 8
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -359,15 +393,18 @@ def candidates(described: DataFrame) -> DataFrame:
     keyed = map_arrow(described.select("node", "bits", "places"), spread, "bucket long, rest long, node long")
     parts = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows are in the order of their nodes within a bucket, so a < b
-    got = checkpoint(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, bucket long, node long, rest long"))
+    got = written(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, bucket long, node long, rest long"))
+    swept(described.sparkSession)
     hot = block_pairs(got.where(F.col("bucket").isNotNull()).select("bucket", "node", "rest"), ["bucket"], "node", LARGE)
-    return got.where(F.col("bucket").isNull()).select("a", "b").union(sorted_groups(hot, ["bucket", "bi", "bj"], blocks, "a long, b long")).distinct()
+    return got.where(F.col("bucket").isNull()).select("a", "b").union(sorted_groups(hot, ["bucket", "bi", "bj"], blocks, "a long, b long"))
 
 
 def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """The pairs a < b whose matching features agree on one transform. Images are dealt to blocks; pairs of two blocks
     meet the features of their images once, however many pairs an image has."""
-    width, n = BITS // 8, max(1, -(-described.count() // TOGETHER))
+    width, parts = BITS // 8, int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # enough pairs of blocks for all tasks
+    n = max(-(-described.count() // TOGETHER), math.isqrt(2 * parts) + 1)
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     dealt = pairs.select(F.least(of("a"), of("b")).alias("bi"), F.greatest(of("a"), of("b")).alias("bj"), "a", "b")
     needed = dealt.select("bi", "bj", F.explode(F.array("a", "b")).alias("node")).distinct().join(described.select("node", "bits", "places"), "node")
@@ -376,21 +413,24 @@ def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
 
     def run(g: dict) -> pa.RecordBatch | None:
         a, b = np.asarray(g["a"]), np.asarray(g["b"])
-        row = {a[i]: i for i in np.flatnonzero(a == b)}
-        order = np.flatnonzero(a != b)
-        order = order[np.argsort(a[order], kind="stable")]
+        nodes = np.flatnonzero(a == b)
+        bits = [np.frombuffer(g["bits"][i], np.uint8).reshape(-1, width) for i in nodes]
+        places = [unpacked(g["places"][i]) for i in nodes]
+        rank = ranks([g["bits"][i] for i in nodes], [g["places"][i] for i in nodes])
+        order = np.argsort(a[nodes])
+        both = np.flatnonzero(a != b)
+        left, right = (order[np.searchsorted(a[nodes], x[both], sorter=order)] for x in (a, b))
+        left, right = np.where(rank[left] < rank[right], (left, right), (right, left))
+        pair = np.unique(left * len(nodes) + right)
+        left, right = pair // max(1, len(nodes)), pair % max(1, len(nodes))
         kept = []
-        for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(order) else []:
+        for part in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(left)) + 1):
             for k in range(0, len(part), BLOCK):
                 some = part[k : k + BLOCK]
-                at = [row[a[some[0]]], *(row[x] for x in b[some])]
-                bits = [np.frombuffer(g["bits"][i], np.uint8).reshape(-1, width) for i in at]
-                places = [unpacked(g["places"][i]) for i in at]
-                kept.append(some[agreeing(bits, places, np.array([0]), np.arange(1, len(at)), False)[1]])
-        if not kept:
-            return None
-        keep = np.concatenate(kept)
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+                kept.append(some[agreeing(bits, places, left[some[:1]], right[some], rank)[1]])
+        keep = np.concatenate([np.zeros(0, np.int64), *kept])
+        left, right = a[nodes[left[keep]]], a[nodes[right[keep]]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
     return sorted_groups(rows, ["bi", "bj"], run, "a long, b long")
 
@@ -401,12 +441,17 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
     images of one id are told apart, and each of their rows has its own links. Null, broken and featureless images link with
     nothing, and so do rows with a null id. Ties: ids are the smallest ones. An empty table gives no rows; other columns are
     left out."""
-    rows = written(features(df.select(F.col(key).cast("long").alias("image_id"), F.col(image).alias("image")), "image", ["image_id"]))
+    made = features(df.select(F.col(key).cast("long").alias("image_id"), F.col(image).alias("image")), "image", ["image_id"])
+    # features are kept once: a class is described by the first of its rows, whose number is its node
+    rows = written(made.withColumn("node", F.monotonically_increasing_id()))
     some = rows.where(F.col("image_id").isNotNull() & (F.col("n_features") > 0))
-    classes = numbered(some.groupBy("hash").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bits").alias("bits"), F.first("places").alias("places")))
-    described, width = classes.select("node", "bits", "places"), BITS // 8
-    clusters = checkpoint(components(verified(checkpoint(candidates(described)), described)))
-    sets = classes.join(clusters, "node").select("component", "node", "n", "bits", "places")
+    classes = written(some.groupBy("hash").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("node").alias("node")))
+    more = written(some.select("hash", "node").join(classes.where("n > 1").select("hash", F.col("node").alias("_node")), "hash").where("node <> _node").select("node"))
+    described, width = some.select("node", "bits", "places").join(more, "node", "left_anti"), BITS // 8
+    linked = written(verified(written(candidates(described)), described))
+    swept(df.sparkSession)
+    clusters = written(components(linked).join(classes.select("node", "n"), "node"))
+    sets = clusters.join(described, "node").select("component", "node", "n", "bits", "places")
 
     def verify(g: dict) -> pa.RecordBatch | None:
         side = np.asarray(g["side"])
@@ -415,8 +460,13 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right):
             return None
-        a, b = agreeing(bits, places, left, right, g["bi"][0] == g["bj"][0])
-        return found(np.asarray(g["node"]), np.asarray(g["n"], float), left[a], right[b])
+        rank = ranks(g["bits"], g["places"])
+        a, b = agreeing(bits, places, left, right, rank)
+        a, b = left[a], right[b]
+        if g["bi"][0] != g["bj"][0]:
+            c, d = agreeing(bits, places, right, left, rank)
+            a, b = np.concatenate([a, right[c]]), np.concatenate([b, left[d]])
+        return found(np.asarray(g["node"]), np.asarray(g["n"], float), a, b)
 
     own = summed(sorted_groups(block_pairs(sets, ["component"], "node", BLOCK), ["component", "bi", "bj"], verify, FOUND), classes.select("hash", "node", "first", "n"))
     keyed = rows.select("image_id", "n_features", F.when(F.col("image_id").isNotNull() & (F.col("n_features") > 0), F.col("hash")).alias("hash"))

@@ -489,6 +489,41 @@ def families(spark):
     return spark.createDataFrame(rows, "node long, bits binary, places binary, n_features long"), {(i, j) for i in range(9) for j in range(i + 3, 9, 3)}
 
 
+def test_pairs_of_images_agree_in_one_order_and_as_by_brute_force():
+    rng = np.random.default_rng(8)
+    base = [keypoints.smooth(np.kron(rng.integers(0, 20, (10, 10)) * 13.0, np.ones((9, 9)))[None])[0] for _ in range(6)]
+    images = np.stack([np.clip(x + rng.normal(0, s, x.shape), 0, 255) for s in (0, 12, 24) for x in base])
+    owner, place, code = keypoints.describe(images)
+    bits, places = ([x[owner == i] for i in range(len(images))] for x in (code, place))
+    for x, y in ((0, 1), (3, 9)):
+        differ = np.unpackbits(bits[x][:, None] ^ bits[y], axis=2).sum(2)
+        assert set(zip(*keypoints.close(*(np.ascontiguousarray(b.view(np.uint64).T) for b in (bits[x], bits[y]))), strict=True)) == set(zip(*np.nonzero(differ <= keypoints.MATCH), strict=True))
+    every = np.arange(len(images))
+    rank = keypoints.ranks([b.tobytes() for b in bits], [keypoints.packed(p) for p in places])
+    pairs = lambda left, right: {frozenset((left[a], right[b])) for a, b in zip(*keypoints.agreeing(bits, places, left, right, rank), strict=True)}
+    whole = pairs(every, every)
+    assert whole and all(a % 6 == b % 6 for a, b in whole)
+    for left in (every[::-1], rng.permutation(every)):  # however images are dealt to blocks and numbered
+        some, others = left[:7], left[7:]
+        assert pairs(some, some) | pairs(others, others) | pairs(some, others) | pairs(others, some) == whole
+
+
+def test_image_copies_keep_features_once(spark, tmp_path, monkeypatch):
+    """Pairs that wait for verification and features of all images are on disk once, as compressed tables."""
+    from loglattice.llm import common
+
+    kept = []
+    monkeypatch.setattr(common, "checkpoint", lambda df, real=common.checkpoint: kept.append(df.columns) or real(df))
+    monkeypatch.setattr(keypoints, "checkpoint", common.checkpoint, raising=False)
+    monkeypatch.setattr("loglattice.llm.links.checkpoint", common.checkpoint)
+    rng = np.random.default_rng(3)
+    images = [np.kron(rng.integers(0, 255, (14, 14)), np.ones((9, 9))) for _ in range(4)]
+    rows = [(i, keypoints.encode(images[i % 4])) for i in range(8)] + [(8, keypoints.encode(images[0][9:, 18:]))]
+    got = {r.image_id: (r.n_links, r.component_id) for r in keypoints.near_duplicates(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert got == {0: (2, 0), 4: (2, 0), 8: (2, 0)} | {i: (1, i % 4) for i in (1, 2, 3, 5, 6, 7)}
+    assert not any({"bits", "bucket"} & set(c) for c in kept)
+
+
 def test_image_candidates_are_all_close_entries_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(keypoints, "MEETINGS", 1, raising=False)
     described, want = families(spark)
