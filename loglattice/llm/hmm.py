@@ -10,6 +10,7 @@ the workers have bounded sizes; counts of all other words are met by a join on t
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import zlib
 from collections import Counter
@@ -242,6 +243,8 @@ class Vocabulary:
         self.base = np.log10((counts + 0.1) / (self.n + 0.1 * (self.v + 1))) if self.n else np.zeros(0)
         self.end_base = np.log10((self.end_count + 0.1) / (self.n + 0.1 * (self.v + 1)))
         self.class_of = np.array([zlib.crc32(w) % self.classes for w in words], np.int64)
+        #: What states emit for each held word, and a last place that stands for all others.
+        self.model_id = np.append(np.where(np.arange(len(words)) < self.emitted, np.arange(len(words)), self.emitted + self.class_of), 0)
         self.log_class = np.log10(rest + 0.1 * (kinds + 1))
         self.share = np.log10(counts + 0.1) - self.log_class[self.class_of]
         single = np.concatenate([counts[: self.emitted], rest + 0.1, [self.end_count + 0.1]]) + 1e-3
@@ -251,15 +254,14 @@ class Vocabulary:
     def model_ids(self, got: list[bytes], ids: np.ndarray) -> np.ndarray:
         """What states emit for words, whose ids are -1 where they aren't held, with the end."""
         out = np.empty(len(ids) + 1, self.kind)
-        out[:-1] = np.where((ids >= 0) & (ids < self.emitted), ids, 0)
-        for i in np.flatnonzero((ids < 0) | (ids >= self.emitted)).tolist():
+        out[:-1] = self.model_id[ids]
+        for i in np.flatnonzero(ids < 0).tolist():
             out[i] = self.emitted + zlib.crc32(got[i]) % self.classes
         out[-1] = self.emitted + self.classes
         return out
 
     def look_up(self, got: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter([get(w, -1) for w in got], np.int64, len(got))
+        return np.fromiter(map(self.ids.get, got, itertools.repeat(-1)), np.int64, len(got))
 
 
 @held_by_worker
@@ -411,18 +413,22 @@ def score(df: DataFrame, counts: DataFrame, held: bytes, model: bytes, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, model = vocabulary(shared.value), parameters(params.value)
         for batch in slices(batches, text):
-            docs, rows, rare = [], [], []
+            docs, rows, words, times, cuts = [], [], [], [], [0]
             for t in strings(batch, text):
                 got = tokens(t)
                 ids = voc.look_up(got)
                 docs.append(voc.model_ids(got, ids))
                 have = ids[ids >= 0]
                 rows.append((len(got) + 1, len(have) + (voc.end_count > 0), voc.base[have].sum() + voc.end_base, voc.share[have[have >= voc.emitted]].sum()))
-                rare.append([{"token": w.decode(), "tf": k} for w, k in Counter([w for w, i in zip(got, ids.tolist(), strict=True) if i < 0]).items()])
+                rare = Counter([got[i] for i in np.flatnonzero(ids < 0).tolist()])
+                words += rare
+                times += rare.values()
+                cuts.append(len(words))
             whole = forward(docs, *model)
             length, known, base, share = zip(*rows, strict=True)
+            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["token", "tf"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), batch.column(flag), pa.array(length, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(whole + np.array(share), pa.float64()), pa.array(rare, pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())])))],
+                [batch.column(key), batch.column(flag), pa.array(length, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(whole + np.array(share), pa.float64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rare)],
                 names=[key, flag, "n_tokens", "n_known", "base_score", "score", "rare"],
             )
 

@@ -220,6 +220,18 @@ def test_base_scores_equal_brute_force(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in hmm.score_corpus(odd, remainder("doc_id", 10) == 0).collect()) == [(0, 3), (3, 2), (3, 30_001)]
 
 
+def test_only_words_that_are_not_held_are_hashed_again(monkeypatch):
+    words = [f"w{i}".encode() for i in range(20)]
+    voc = hmm.Vocabulary(hmm.pickle.dumps((words, list(range(40, 20, -1)), 5, np.full(4, 9.0), np.full(4, 3.0), 700, 30, 7)))
+    text = [*words, b"new", *words[::-1], b"newer"]
+    want = [i if (i := int(w[1:]) if w in words else 20) < 5 else 5 + zlib.crc32(w) % 4 for w in text] + [9]
+    hashed = []
+    monkeypatch.setattr(hmm.zlib, "crc32", lambda w, real=zlib.crc32: hashed.append(w) or real(w))
+    assert voc.look_up(text).tolist() == [int(w[1:]) if w in words else -1 for w in text]
+    assert voc.model_ids(text, voc.look_up(text)).tolist() == want and hashed == [b"new", b"newer"]
+    assert voc.model_ids([], voc.look_up([])).tolist() == [9]
+
+
 def test_probabilities_of_next_words_sum_to_one(spark, monkeypatch):
     """A share of each class is left for words that training hasn't seen; all else sums to one."""
     monkeypatch.setattr(hmm, "HELD", 30)
