@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -58,8 +60,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def swept(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so for what the driver's collector finds unused, and a
-    driver with little to do rarely collects."""
-    spark._jvm.java.lang.System.gc()
+    driver with little to do rarely collects. What the last job held goes a moment later, so one collection isn't enough."""
+    gc.collect()
+    for wait in (0.5, 0):
+        spark._jvm.java.lang.System.gc()
+        time.sleep(wait)
 
 
 _held: dict[str, dict] = {}

@@ -13,7 +13,8 @@ import hashlib
 import itertools
 import math
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,13 @@ BESIDE, STEPS = 2, 8
 COMPARED, MEET = 4, 12
 #: Entries of a bucket that are compared in one piece, and pairs that a task gathers before it passes them on.
 LARGE, HELD = 1024, 1_000_000
-#: Images whose features stand together when candidates are verified.
-TOGETHER = 16_384
+#: Images whose features stand together when candidates are verified: at most, and so few only for more tasks. Copies of
+#: all features that lie on disk at once, if there are more images than that.
+TOGETHER, FEW, COPIES = 16_384, 4096, 4
 #: Descriptors that are compared in one piece, small enough for a processor's cache.
 CACHED = 131_072
+#: Rows of an Arrow batch that is passed on.
+PASSED = 1 << 16
 #: Different bits of descriptors that match in verification.
 MATCH = 24
 #: Places with a match that must agree on a transform, and the pixels that are one place.
@@ -47,7 +51,7 @@ BLOCK = 64
 #: Width of the consensus cells: a turn in steps of a circle's part, a change of scale in levels, a shift in pixels.
 TURNS, LEVELS_WIDE, SHIFT = 12, 2, 12.0
 #: Places are kept as whole numbers: sixteenths of a pixel, and parts of a circle.
-PLACE, CIRCLE = 16, 1 << 15
+PLACE, CIRCLE, PLACE_BYTES = 16, 1 << 15, 8
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -337,9 +341,11 @@ def candidates(described: DataFrame) -> DataFrame:
         node = np.repeat(batch.column("node").to_numpy(), [len(k) for k, _ in made])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in made])) for i in (0, 1)] + [pa.array(node)], names=["bucket", "rest", "node"])
 
-    def out(pairs: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(pairs.shape[1], pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), none, none, none], names=["a", "b", "bucket", "node", "rest"])
+    def out(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, pairs.shape[1], PASSED):
+            some = pairs[:, k : k + PASSED]
+            none = pa.nulls(some.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in some), none, none, none], names=["a", "b", "bucket", "node", "rest"])
 
     def distinct(pairs: list[np.ndarray]) -> np.ndarray:
         p = np.concatenate(pairs, 1)
@@ -374,10 +380,10 @@ def candidates(described: DataFrame) -> DataFrame:
                 pairs = [distinct(pairs)]
                 count = pairs[0].shape[1]
                 if count > HELD // 2:
-                    yield out(pairs[0])
+                    yield from out(pairs[0])
                     pairs, count = [], 0
         if pairs:
-            yield out(distinct(pairs))
+            yield from out(distinct(pairs))
 
     def blocks(g: dict) -> pa.RecordBatch | None:
         side, node, rest = np.asarray(g["side"]), np.asarray(g["node"]), np.asarray(g["rest"])
@@ -396,43 +402,85 @@ def candidates(described: DataFrame) -> DataFrame:
     got = written(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, bucket long, node long, rest long"))
     swept(described.sparkSession)
     hot = block_pairs(got.where(F.col("bucket").isNotNull()).select("bucket", "node", "rest"), ["bucket"], "node", LARGE)
-    return got.where(F.col("bucket").isNull()).select("a", "b").union(sorted_groups(hot, ["bucket", "bi", "bj"], blocks, "a long, b long"))
+    return got.where(F.col("bucket").isNull()).select("a", "b").union(written(sorted_groups(hot, ["bucket", "bi", "bj"], blocks, "a long, b long")))
 
 
 def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """The pairs a < b whose matching features agree on one transform. Images are dealt to blocks; pairs of two blocks
-    meet the features of their images once, however many pairs an image has."""
-    width, parts = BITS // 8, int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # enough pairs of blocks for all tasks
-    n = max(-(-described.count() // TOGETHER), math.isqrt(2 * parts) + 1)
+    meet the features of their images once, however many pairs an image has. Many images are verified in rounds, so that
+    not all copies of their features are on disk at once; every pair is in one round."""
+    spark, width = described.sparkSession, BITS // 8
+    parts, images = int(spark.conf.get("spark.sql.shuffle.partitions")), described.count()
+    # enough pairs of blocks for all tasks, and small ones where there are many
+    n = max(-(-images // TOGETHER), min(math.isqrt(12 * parts), -(-images // FEW)), math.isqrt(2 * parts) + 1)
+    rounds = -(-n // COPIES) if images > TOGETHER else 1
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     dealt = pairs.select(F.least(of("a"), of("b")).alias("bi"), F.greatest(of("a"), of("b")).alias("bj"), "a", "b")
-    needed = dealt.select("bi", "bj", F.explode(F.array("a", "b")).alias("node")).distinct().join(described.select("node", "bits", "places"), "node")
-    # rows with features have a = b
-    rows = dealt.select("*", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("binary").alias("places")).unionByName(needed.select("bi", "bj", F.col("node").alias("a"), F.col("node").alias("b"), "bits", "places"))
-
-    def run(g: dict) -> pa.RecordBatch | None:
-        a, b = np.asarray(g["a"]), np.asarray(g["b"])
-        nodes = np.flatnonzero(a == b)
-        bits = [np.frombuffer(g["bits"][i], np.uint8).reshape(-1, width) for i in nodes]
-        places = [unpacked(g["places"][i]) for i in nodes]
-        rank = ranks([g["bits"][i] for i in nodes], [g["places"][i] for i in nodes])
-        order = np.argsort(a[nodes])
-        both = np.flatnonzero(a != b)
-        left, right = (order[np.searchsorted(a[nodes], x[both], sorter=order)] for x in (a, b))
-        left, right = np.where(rank[left] < rank[right], (left, right), (right, left))
-        pair = np.unique(left * len(nodes) + right)
-        left, right = pair // max(1, len(nodes)), pair % max(1, len(nodes))
-        kept = []
-        for part in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(left)) + 1):
+    needed = dealt.select("bi", "bj", F.explode(F.array("a", "b")).alias("node")).distinct().groupBy("node").agg(F.collect_list(F.struct("bi", "bj")).alias("blocks"))
+    held = written(needed.join(described.select("node", "bits", "places"), "node"))
+    swept(spark)
+
+    def judged(pairs: np.ndarray, nodes: np.ndarray, bits: list[bytes], places: list[bytes], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(pairs)
+        left, right = np.divmod(pairs, len(nodes))
+        kept = [np.zeros(0, np.int64)]
+        for part in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(left)) + 1):
             for k in range(0, len(part), BLOCK):
                 some = part[k : k + BLOCK]
-                kept.append(some[agreeing(bits, places, left[some[:1]], right[some], rank)[1]])
-        keep = np.concatenate([np.zeros(0, np.int64), *kept])
-        left, right = a[nodes[left[keep]]], a[nodes[right[keep]]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+                own = [left[some[0]], *right[some]] if len(some) else []
+                if own:
+                    at = np.cumsum([len(places[i]) // PLACE_BYTES for i in own])[:-1]
+                    hit = agreeing([np.frombuffer(bits[i], np.uint8).reshape(-1, width) for i in own], np.split(unpacked(b"".join([places[i] for i in own])), at), np.zeros(1, np.int64), np.arange(1, len(own)), rank[own])[1]
+                    kept.append(some[hit])
+        keep = np.concatenate(kept)
+        left, right = nodes[left[keep]], nodes[right[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each two blocks, features come first and are held as they came; pairs are verified some at a time."""
+        block, known, nodes, bits, places, pairs, count = None, None, [], [], [], [], 0
+        for batch in batches:
+            bi, bj, a, b = (batch.column(c).to_numpy() for c in ("bi", "bj", "a", "b"))
+            cuts = np.flatnonzero((np.diff(bi) != 0) | (np.diff(bj) != 0) | np.diff(a == b)) + 1
+            for begin, end in itertools.pairwise([0, *cuts.tolist(), len(a)] if len(a) else []):
+                if block != (bi[begin], bj[begin]):
+                    if pairs:
+                        yield from judged(np.concatenate(pairs), *known)
+                    block, known, nodes, bits, places, pairs, count = (bi[begin], bj[begin]), None, [], [], [], [], 0
+                if a[begin] == b[begin]:
+                    nodes.append(a[begin:end])
+                    bits += batch.column("bits").slice(begin, end - begin).to_pylist()
+                    places += batch.column("places").slice(begin, end - begin).to_pylist()
+                    continue
+                if known is None:
+                    known = np.concatenate(nodes), bits, places, ranks(bits, places)
+                    order = np.argsort(known[0])
+                    ordered = known[0][order]
+                left, right = (order[np.searchsorted(ordered, x[begin:end])] for x in (a, b))
+                turned = known[3][left] > known[3][right]
+                pairs.append(np.where(turned, right, left) * len(order) + np.where(turned, left, right))
+                count += end - begin
+                if count > HELD:
+                    yield from judged(np.concatenate(pairs), *known)
+                    pairs, count = [], 0
+        if pairs:
+            yield from judged(np.concatenate(pairs), *known)
+
+    def part(number: int) -> DataFrame:
+        own = (F.col("bi") + F.col("bj")) % rounds == number
+        none = F.lit(None).cast("binary")
+        # rows with features have a = b
+        features_of = held.select(F.explode("blocks").alias("at"), F.col("node").alias("a"), F.col("node").alias("b"), "bits", "places").select("at.bi", "at.bj", "a", "b", "bits", "places")
+        rows = dealt.select("*", none.alias("bits"), none.alias("places")).unionByName(features_of).where(own)
+        return rows.repartition(parts if rounds == 1 else 4 * parts, "bi", "bj").sortWithinPartitions("bi", "bj", F.col("bits").isNull()).mapInArrow(run, "a long, b long")
 
-    return sorted_groups(rows, ["bi", "bj"], run, "a long, b long")
+    if rounds == 1:
+        return part(0)
+    done = []
+    for number in range(rounds):
+        done.append(written(part(number)))
+        swept(spark)
+    return reduce(DataFrame.union, done)
 
 
 def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
@@ -448,7 +496,7 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
     classes = written(some.groupBy("hash").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("node").alias("node")))
     more = written(some.select("hash", "node").join(classes.where("n > 1").select("hash", F.col("node").alias("_node")), "hash").where("node <> _node").select("node"))
     described, width = some.select("node", "bits", "places").join(more, "node", "left_anti"), BITS // 8
-    linked = written(verified(written(candidates(described)), described))
+    linked = written(verified(candidates(described), described))
     swept(df.sparkSession)
     clusters = written(components(linked).join(classes.select("node", "n"), "node"))
     sets = clusters.join(described, "node").select("component", "node", "n", "bits", "places")

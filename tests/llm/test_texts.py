@@ -560,6 +560,68 @@ def test_one_shared_entry_makes_a_candidate_and_blocks_verify_alike(spark, monke
         assert {tuple(r) for r in got.collect()} == {(i, i + 4) for i in range(4)}
 
 
+def test_pairs_of_a_block_are_verified_before_all_have_come(spark, monkeypatch):
+    """A task holds the features of two blocks and HELD pairs, not all pairs of the blocks."""
+    seen = []
+    monkeypatch.setattr(keypoints, "HELD", 2)
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, fn, schema, real=kind.mapInArrow: seen.append((self, fn)) or real(self, fn, schema))
+    rng = np.random.default_rng(2)
+    images = [np.kron(rng.integers(0, 255, (14, 14)), np.ones((9, 9))) for _ in range(4)]
+    images += [x[9:, 18:] for x in images]
+    rows = spark.createDataFrame([(i, keypoints.encode(x)) for i, x in enumerate(images)], "node long, image binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(8) for j in range(i + 1, 8)], "a long, b long")
+    got = keypoints.verified(pairs, keypoints.features(rows, "image", ["node"]))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i + 4) for i in range(4)]
+    dealt, run = seen[-1]
+    table = dealt.toArrow()
+    block = np.array(table["bi"]) * 100 + np.array(table["bj"])
+    most = np.bincount(block[np.array(table["a"]) != np.array(table["b"])]).argmax()
+    batches = table.filter(block == most).combine_chunks().to_batches(max_chunksize=1)
+    taken = []
+    next(run(taken.append(1) or b for b in batches))
+    assert len(taken) < len(batches)
+
+
+def test_rounds_of_verification_find_the_same_pairs(spark, monkeypatch):
+    """Many images are verified in rounds, each with a part of the blocks and every pair in one of them."""
+    tables = []
+    monkeypatch.setattr(keypoints, "written", lambda df, real=keypoints.written: tables.append(df) or real(df))
+    monkeypatch.setattr(keypoints, "TOGETHER", 2)
+    monkeypatch.setattr(keypoints, "COPIES", 2, raising=False)
+    rng = np.random.default_rng(2)
+    images = [np.kron(rng.integers(0, 255, (14, 14)), np.ones((9, 9))) for _ in range(4)]
+    images += [x[9:, 18:] for x in images]
+    rows = spark.createDataFrame([(i, keypoints.encode(x)) for i, x in enumerate(images)], "node long, image binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(8) for j in range(i + 1, 8)], "a long, b long")
+    got = keypoints.verified(pairs, keypoints.features(rows, "image", ["node"]))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i + 4) for i in range(4)]
+    assert [t.columns for t in tables] == [["node", "blocks", "bits", "places"], ["a", "b"], ["a", "b"]]
+
+
+def test_swept_lets_go_of_shuffle_files(spark):
+    import gc
+
+    from loglattice.llm import common
+
+    files = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")) - {""}
+    common.swept(spark)
+    before = files()
+    gc.disable()
+    try:
+        common.written(spark.range(1000).repartition(3, "id"))
+        made = files() - before
+        assert made
+        common.swept(spark)
+        for _ in range(50):
+            if not made & files():
+                break
+            time.sleep(0.1)
+        assert not made & files()
+    finally:
+        gc.enable()
+
+
 def test_states_start_from_all_rows_and_rounds_go_on_until_they_settle(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choices([f"{'ab'[i // 100]}{k}" for k in range(40)], k=30)) for i in range(200)]
