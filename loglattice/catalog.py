@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice import catalog_store
@@ -131,10 +131,14 @@ def overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, seps = T.tokens(F.col("text")), T.separators(F.col("text"))
-    values = F.transform(T.params(words), lambda p: p["value"].cast("string"))
+    text = F.col("text")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", T.rebuilt(T.masked(words), values, seps).alias("text"))
+
+    def again(words: Column) -> Column:
+        values = F.transform(T.params(words), lambda p: p["value"].cast("string"))
+        return T.rebuilt(T.masked(words), values, T.separators(text))
+
+    return docs.select("doc_id", T.let(T.tokens(text), again).alias("text"))
 
 
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode White_Space. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-_space = "[" + re.escape(SPACE) + "]+"
+_plain = "[" + re.escape(SPACE) + "]"
+#: The same class for Java, which asks the parts of a class one after the other: what is neither in the bytes nor between the
+#: others is out after two.
+_white = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACE if c < "\u0100") + f"\\x{{{min(map(ord, (c for c in SPACE if c > 'ÿ'))):x}}}-\\x{{{max(map(ord, SPACE)):x}}}&&" + _plain + "]"
+_space = _white + "+"
 #: Kinds of parameters by number. Fixed values.
 KINDS = ["IP", "UUID", "NUM", "HEX", "TS", "PATH", "STR", "OVERFLOW"]
 IP, UUID, NUM, STR, OVERFLOW = 0, 1, 2, 6, 7
 _octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Forms of masked tokens, tried in this order.
 MASKS = [("UUID", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"), ("IP", rf"^{_octet}(\.{_octet}){{3}}$"), ("NUM", r"^[+-]?[0-9]+(\.[0-9]+)?$")]
+#: Any of them: the test of every token, most of which have none of these forms.
+_any_mask = "^(?:" + "|".join(p[1:-1] for _, p in MASKS) + ")$"
 WILDCARD = "<*>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used: Spark computes arguments of functions over
+    arrays anew wherever they stand."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Words between white space."""
-    return F.filter(F.split(text, _space), lambda t: t != "")
+    return F.array_remove(F.split(text, _space), "")
 
 
 def separators(text: Column) -> Column:
@@ -30,7 +43,7 @@ def separators(text: Column) -> Column:
     starts, ends = text.rlike("^" + _space), text.rlike(_space + "$")
     none = F.array(F.lit(""))
     # a text of white space only is one separator
-    return F.when(F.size(tokens(text)) == 0, F.array(text)).otherwise(F.concat(F.when(starts, F.array().cast("array<string>")).otherwise(none), inner, F.when(ends, F.array().cast("array<string>")).otherwise(none)))
+    return F.when(~text.rlike("[^" + re.escape(SPACE) + "]"), F.array(text)).otherwise(F.concat(F.when(starts, F.array().cast("array<string>")).otherwise(none), inner, F.when(ends, F.array().cast("array<string>")).otherwise(none)))
 
 
 def kind(token: Column) -> Column:
@@ -41,14 +54,19 @@ def kind(token: Column) -> Column:
     return out
 
 
+def is_masked(token: Column) -> Column:
+    """Whether a token has a kind; null for null."""
+    return token.rlike(_any_mask)
+
+
 def masked(words: Column) -> Column:
-    return F.transform(words, lambda t: F.when(kind(t).isNotNull(), F.lit(WILDCARD)).otherwise(t))
+    return F.transform(words, lambda t: F.when(is_masked(t), F.lit(WILDCARD)).otherwise(t))
 
 
 def params(words: Column) -> Column:
     """Masked tokens in order as (type_tag, value)."""
     number = lambda t: F.when(kind(t) == "UUID", UUID).when(kind(t) == "IP", IP).otherwise(NUM)
-    return F.transform(F.filter(words, lambda t: kind(t).isNotNull()), lambda t: F.struct(number(t).alias("type_tag"), t.cast("binary").alias("value")))
+    return F.transform(F.filter(words, is_masked), lambda t: F.struct(number(t).alias("type_tag"), t.cast("binary").alias("value")))
 
 
 def template_text(words: Column) -> Column:
@@ -63,12 +81,16 @@ def template_words(text: Column) -> Column:
 def similarity(template: Column, words: Column) -> Column:
     """Share of positions that agree; a wildcard agrees with everything, a masked word with no fixed one. In single
     precision, as thresholds are compared in it. Null for different lengths."""
-    same = F.zip_with(template, words, lambda a, b: F.when((a == WILDCARD) | ((a == b) & kind(b).isNull()), 1).otherwise(0))
-    return F.when(F.size(template) == F.size(words), F.aggregate(same, F.lit(0), lambda s, x: s + x).cast("float") / F.size(words).cast("float")).cast("float")
+
+    def score(x: Column) -> Column:
+        same = F.zip_with(x["t"], x["w"], lambda a, b: F.when((a == WILDCARD) | ((a == b) & ~is_masked(b)), 1).otherwise(0))
+        return F.when(F.size(x["t"]) == F.size(x["w"]), F.aggregate(same, F.lit(0), lambda s, y: s + y).cast("float") / F.size(x["w"]).cast("float")).cast("float")
+
+    return let(F.struct(template.alias("t"), words.alias("w")), score)
 
 
 def zone(score: Column, clean: float = 0.7, floor: float = 0.4) -> Column:
-    return F.when(score >= F.lit(clean).cast("float"), "clean").when(score >= F.lit(floor).cast("float"), "lossy").otherwise("failure")
+    return let(score, lambda s: F.when(s >= F.lit(clean).cast("float"), "clean").when(s >= F.lit(floor).cast("float"), "lossy").otherwise("failure"))
 
 
 def capped(value: Column, most: int = 256) -> Column:
@@ -82,11 +104,15 @@ def rebuilt(template: Column, values: Column, seps: Column) -> Column:
     parameters or separators don't fit."""
     # words and white space become one text with a mark at each wildcard; its pieces take the parameters between them
     mark = "\x00"
-    joined = F.array_join(F.zip_with(F.slice(seps, F.lit(1), F.size(template)), template, lambda s, w: F.concat(s, F.when(w == WILDCARD, mark).otherwise(w))), "")
-    pieces = F.split(F.concat(joined, F.element_at(seps, -1)), mark)
-    walk = F.array_join(F.zip_with(pieces, F.concat(values, F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
-    slots = F.size(F.filter(template, lambda w: w == WILDCARD))
-    return F.when((slots == F.size(values)) & (F.size(seps) == F.size(template) + 1), walk)
+
+    def walk(x: Column) -> Column:
+        t, v, s = x["t"], x["v"], x["s"]
+        joined = F.array_join(F.zip_with(F.slice(s, F.lit(1), F.size(t)), t, lambda s, w: F.concat(s, F.when(w == WILDCARD, mark).otherwise(w))), "")
+        pieces = F.split(F.concat(joined, F.element_at(s, -1)), mark)
+        slots = F.size(t) - F.size(F.array_remove(t, WILDCARD))
+        return F.when((slots == F.size(v)) & (F.size(s) == F.size(t) + 1), F.array_join(F.zip_with(pieces, F.concat(v, F.array(F.lit(""))), lambda p, v: F.concat(p, v)), ""))
+
+    return let(F.struct(template.alias("t"), values.alias("v"), seps.alias("s")), walk)
 
 
 def line_hash(text: Column) -> Column:
@@ -95,7 +121,7 @@ def line_hash(text: Column) -> Column:
 
 
 # The same in Python, for the miner's state machine.
-_py_split = re.compile(f"({_space})")
+_py_split = re.compile(f"({_plain}+)")
 _py_masks = [(name, re.compile(p)) for name, p in MASKS]
 
 

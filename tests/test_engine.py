@@ -46,6 +46,25 @@ def test_splitting_and_unifying():
     assert T.unify("user 5 in", ["user", "<*>", "in"]) == ([b"5"], [b"", b" ", b" ", b""]) and T.unify("user 5", ["user"]) is None
 
 
+def test_rebuilding_splits_a_text_once(spark, tmp_path):
+    from loglattice import catalog
+
+    texts = [*LINES, *(f"{c}x{c}{c}7 {c}" for c in T.SPACE), "".join(T.SPACE), "a\u200bb \u1681 \u2027 \u2fff\u0084x", "1.2.3.4\u2028+5.0\n8f14e45f-ceea-467f-a8d0-1234567890ab", "256.1.1.1 1. -3 \n", None]
+    texts.remove("a\0b")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = catalog.reconstruct(spark, str(tmp_path))
+    assert [r.text for r in made.sort("doc_id").collect()] == texts
+    # a text was split for every use of its words, which cost more than all else
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+    got = spark.read.parquet(str(tmp_path / "documents.parquet")).where("text is not null")
+    words = T.tokens(F.col("text"))
+    for r in got.select("text", words.alias("words"), T.separators(F.col("text")).alias("seps"), T.masked(words).alias("masked"), T.params(words).alias("params")).collect():
+        assert (r.words, r.seps) == T.split_line(r.text)
+        kinds = [T.word_kind(w) for w in r.words]
+        assert r.masked == [w if k is None else T.WILDCARD for w, k in zip(r.words, kinds, strict=True)]
+        assert [(p.type_tag, p.value.decode()) for p in r.params] == [(k, w) for w, k in zip(r.words, kinds, strict=True) if k is not None]
+
+
 def test_aliases():
     assert A.alias_classes([("alias_asserted", [1, 2]), ("alias_asserted", [3, 4]), ("alias_asserted", [2, 3]), ("alias_retracted", [1, 4])]) == [{2, 3}]
     assert A.alias_classes([("alias_asserted", [1, 2]), ("alias_retracted", [1])]) == []
