@@ -17,6 +17,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,21 +50,24 @@ class WordIds:
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
         self.marks = {m: self.whole(m) for m in ",."}
         self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def learn(self, runs: list[str]) -> None:
         """A run of letters, or of letters and one comma or stop, is one match or two: its word is encoded with many
-        others in one call, and told from them by the id that ends it. All other runs go to the library one by one."""
-        words, parts, rest = {}, [], []
+        others in one call, and told from them by the id that ends it. All other runs go to the library, each by itself."""
+        words, plain, own, rest = {}, [], [], []
         for r in runs:
             w = r[:-1] if r[-1] in self.marks else r
-            if w.isalpha() and is_normalized("NFC", w) and w.lower() == w:
-                parts.append((r, w))
+            ascii_ = w.isascii()
+            # runs are lower-cased, but not all that the library would change
+            if w.isalpha() and (w.islower() if ascii_ else is_normalized("NFC", w) and w.lower() == w):
+                plain.append(r)
+                own.append(w)
                 if w not in self.words:
-                    words[w] = w if w.isascii() else "".join(map(self.table.__getitem__, w.encode()))
+                    words[w] = w if ascii_ else "".join(map(self.table.__getitem__, w.encode()))
             else:
                 rest.append(r)
         names = list(words)
@@ -73,20 +77,31 @@ class WordIds:
             at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             data = ids.tobytes()
             self.words.update((w, data[a:b]) for w, a, b in zip(part, at[:-1], at[1:], strict=True))
-        self.known.update((r, self.words[w] if len(w) == len(r) else self.words[w] + self.marks[r[-1]]) for r, w in parts)
-        self.known.update((r, self.whole(r)) for r in rest)
+        known, of = self.known, self.words
+        for r, w in zip(plain, own, strict=True):
+            known[r] = of[w] if len(w) == len(r) else of[w] + self.marks[r[-1]]
+        for i in range(0, len(rest), 5000):
+            part = rest[i : i + 5000]
+            got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            data, at = np.fromiter(itertools.chain.from_iterable(got), np.uint32).tobytes(), list(itertools.accumulate((4 * len(g) for g in got), initial=0))
+            known.update((r, data[a:b]) for r, a, b in zip(part, at[:-1], at[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # str.split() also splits at four separators that the library keeps; Python lower-cases sigma by its place
         lower = [t.lower() for t in texts]
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or any(a in t for a in self.added) for t in lower]
-        split = [[] if o else (t if "Σ" in t else w).split() for t, w, o in zip(texts, lower, odd, strict=True)]
+        # runs are numbered and their ids joined by Arrow, so that Python sees each run of these texts once
+        split = pc.utf8_split_whitespace(pa.array(["" if o else t if "Σ" in t else w for t, w, o in zip(texts, lower, odd, strict=True)], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = {"": b""}
             self.words.clear()
-        self.learn([w for w in set(itertools.chain.from_iterable(split)) if w not in self.known])
-        known, end = self.known.__getitem__, np.array([END], np.uint32).tobytes()
-        return [np.frombuffer((self.whole(t) if o else b"".join(map(known, s))) + end, np.uint32) for s, t, o in zip(split, texts, odd, strict=True)]
+        self.learn([r for r in runs if r not in self.known])
+        made = pa.array(list(map(self.known.__getitem__, runs)), pa.large_binary()).take(coded.indices)
+        ends, data = np.frombuffer(made.buffers()[1], np.int64, len(made) + 1), memoryview(made.buffers()[2] or b"")
+        cuts, end = ends[split.offsets.to_numpy()].tolist(), np.array([END], np.uint32).tobytes()
+        return [np.frombuffer((self.whole(t) if o else bytes(data[a:b])) + end, np.uint32) for a, b, t, o in zip(cuts[:-1], cuts[1:], texts, odd, strict=True)]
 
 
 @held_by_worker

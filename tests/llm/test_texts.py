@@ -64,6 +64,20 @@ def test_packing_keeps_every_id_once(spark):
     assert packing.pack(docs(spark).limit(0), WORD_BPE).count() == 0
 
 
+def test_packing_encodes_odd_runs_as_the_library_does_and_in_few_calls():
+    path = P.path("word_bpe_49k.json")
+    enc, tok = packing.WordIds(path), Tokenizer.from_file(path)
+    space = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    texts = ["", " ", space, space.join(["Ab", "été", "e\u0301te\u0301,", "x1.", "don't", "ΑΣ", "ΑΣ. Σ", "İstanbul", "ß", "中文。", "a,b", "…", "😀!"]), "a\x1cb", "<|endoftext|> a", "A" * 300, "one, one. one"]
+    calls, whole = [], enc.whole
+    enc.whole = lambda text: calls.append(text) or whole(text)
+    for _ in range(2):
+        got = enc.encode(texts)
+        assert [x.tolist() for x in got] == [[*tok.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    # only texts that are left to the library as a whole take calls of their own; runs went there one by one
+    assert len(calls) == 2 * sum(any(c in t for c in ("\x1c", "<|endoftext|>")) or any(c in t for c in "\x1d\x1e\x1f") for t in texts)
+
+
 def test_licenses(spark):
     rows = {r.doc_id: r for r in licenses.licenses(docs(spark)).collect()}
     r = rows[8]
