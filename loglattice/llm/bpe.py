@@ -2,7 +2,8 @@
 
 A rank file gives each token's bytes. The library works on characters, so every byte is written as one printable
 character (the byte table); merges are recovered from the ranks. A text is split by a pattern, each match is encoded by
-itself. Matches repeat, so those of an Arrow batch are encoded once and the ids are looked up.
+itself. Matches repeat, so those of an Arrow batch are encoded once and the ids are looked up. Ids of a batch lie one
+after the other as whole numbers of 32 bits; their bytes and decimals are taken from tables of all tokens.
 """
 
 from __future__ import annotations
@@ -68,28 +69,35 @@ class Codec:
         self.model = Tokenizer(models.BPE(vocab={chars(t): i for t, i in self.ranks.items()}, merges=merges, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.bytes_of = dict((i, bytes(self.back[c] for c in chars(t))) for t, i in self.ranks.items())
-        self.text_of = {i: str(i) for i in self.bytes_of}
-        self.known: dict[str, list[int]] = {}
+        every = range(max(self.bytes_of, default=-1) + 1)
+        self.tokens = pa.array([self.bytes_of.get(i) for i in every], pa.binary())
+        self.decimals = pa.array([b"%d," % i for i in every], pa.binary())
+        self.known: dict[str, bytes] = {}
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces, each by itself: many in one call, joined by spaces (the byte table has none) and told apart
-        by the offsets of their ids."""
+        by the word that each id is of."""
         for i in range(0, len(pieces), 4000):
             part = pieces[i : i + 4000]
             mapped = ["".join(map(self.table.__getitem__, p.encode())) for p in part]
             got = self.model.encode(" ".join(mapped), add_special_tokens=False)
-            starts = np.concatenate([[0], np.cumsum([len(m) + 1 for m in mapped])])
-            at = np.searchsorted([o[0] for o in got.offsets], starts).tolist()
-            ids = got.ids
+            at = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            ids = np.array(got.ids, np.int32).tobytes()
             self.known.update((p, ids[a:b]) for p, a, b in zip(part, at[:-1], at[1:], strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and the last one's end."""
         split = [self.find(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.learn([p for p in set(itertools.chain.from_iterable(split)) if p not in self.known])
         known = self.known.__getitem__
-        return [list(itertools.chain.from_iterable(map(known, s))) for s in split]
+        made = [b"".join(map(known, s)) for s in split]
+        return np.frombuffer(b"".join(made), np.int32), np.cumsum([0, *(len(m) // 4 for m in made)])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, cuts = self.encoded(texts)
+        return [ids[a:b].tolist() for a, b in itertools.pairwise(cuts.tolist())]
 
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """Of each id the characters it touches, as (start, end). Ids that split a character share it. Texts and
@@ -106,6 +114,14 @@ class Codec:
             pos += n
         return at
 
+    def spelled(self, table: pa.BinaryArray, ids: np.ndarray, cuts: np.ndarray) -> list[memoryview]:
+        """What a table holds for the ids, joined for each text. An id without a token is an error, as in decode_bytes."""
+        got = table.take(pa.array(ids))
+        if got.null_count:
+            raise KeyError(int(ids[got.is_null().to_numpy(zero_copy_only=False)][0]))
+        data, ends = memoryview(got.buffers()[2] or b""), np.frombuffer(got.buffers()[1], np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
+        return [data[a:b] for a, b in itertools.pairwise(ends[cuts].tolist())]
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -159,13 +175,13 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        got = c.encode(strings(batch, text))
+        ids, cuts = c.encoded(strings(batch, text))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(key),
-                pa.array(map(len, got), pa.int64()),
-                pa.array([sha(",".join(map(c.text_of.__getitem__, i)).encode()) for i in got], pa.string()),
-                pa.array([sha(c.decode_bytes(i)) for i in got], pa.string()),
+                pa.array(np.diff(cuts), pa.int64()),
+                pa.array([sha(x[:-1]) for x in c.spelled(c.decimals, ids, cuts)], pa.string()),
+                pa.array([sha(x) for x in c.spelled(c.tokens, ids, cuts)], pa.string()),
             ],
             names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
         )

@@ -1,6 +1,7 @@
 """Operators on single texts against plain implementations and round trips."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -78,6 +79,17 @@ def test_packing_encodes_odd_runs_as_the_library_does_and_in_few_calls():
     assert len(calls) == 2 * sum(any(c in t for c in ("\x1c", "<|endoftext|>")) or any(c in t for c in "\x1d\x1e\x1f") for t in texts)
 
 
+def test_bpe_digests_are_those_of_lists_and_bytes(spark):
+    path, texts = P.path("byte_bpe_multi_50k.tiktoken"), ["", "it's 12 été\n\n  x", None, "😀 中文", " ", "a" * 500, "x y"]
+    c = bpe.Codec(path, P.PATTERN)
+    rows = {r.doc_id: r for r in bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, P.PATTERN).collect()}
+    for i, (t, ids) in enumerate(zip(texts, c.encode([t or "" for t in texts]), strict=True)):
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert tuple(rows[i])[1:] == want
+    flat, cuts = c.encoded([t or "" for t in texts])
+    assert flat.dtype.itemsize == 4 and [bytes(x) for x in c.spelled(c.tokens, flat, cuts)] == [(t or "").encode() for t in texts]
+
+
 def test_licenses(spark):
     rows = {r.doc_id: r for r in licenses.licenses(docs(spark)).collect()}
     r = rows[8]
