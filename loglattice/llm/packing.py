@@ -10,6 +10,7 @@ padding. Each partition packs its own documents: no shuffle, and memory bounded
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -80,8 +81,9 @@ class WordIds:
         known, of = self.known, self.words
         for r, w in zip(plain, own, strict=True):
             known[r] = of[w] if len(w) == len(r) else of[w] + self.marks[r[-1]]
-        for i in range(0, len(rest), 5000):
-            part = rest[i : i + 5000]
+        for i in range(0, len(rest), 1000):
+            part = rest[i : i + 1000]
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each hold memory of their own
             got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
             data, at = np.fromiter(itertools.chain.from_iterable(got), np.uint32).tobytes(), list(itertools.accumulate((4 * len(g) for g in got), initial=0))
             known.update((r, data[a:b]) for r, a, b in zip(part, at[:-1], at[1:], strict=True))
