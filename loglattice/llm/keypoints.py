@@ -39,8 +39,10 @@ LARGE, HELD = 1024, 1_000_000
 #: Images whose features stand together when candidates are verified: at most, and so few only for more tasks. Copies of
 #: all features that lie on disk at once, if there are more images than that.
 TOGETHER, FEW, COPIES = 16_384, 4096, 4
-#: Descriptors that are compared in one piece, small enough for a processor's cache.
-CACHED = 131_072
+#: Descriptors that are compared in one piece, small enough for a processor's cache, and matches that vote at once.
+CACHED, VOTES = 65_536, 1 << 13
+#: Images whose places are numbered at once, and those of a cluster that stand together in a block.
+IMAGES, CLUSTER_BLOCK = 1024, 256
 #: Rows of an Arrow batch that is passed on.
 PASSED = 1 << 16
 #: Different bits of descriptors that match in verification.
@@ -181,69 +183,144 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in a and in b of descriptors of which at most MATCH bits differ. Both have a row for each word of 64 bits."""
-    n, found_at = a.shape[1], [np.zeros(0, np.int64)]
-    step = max(1, CACHED // max(1, b.shape[1]))
+    n, m, found_at = a.shape[1], b.shape[1], [np.zeros(0, np.int64)]
+    step = min(n, max(1, CACHED // max(1, m)))
+    # memory of its own for what is made again and again: no pages are asked for meanwhile
+    differ, some, count, hit = (np.empty((step, m), kind) for kind in (np.uint64, np.uint8, np.uint8, bool))
     for k in range(0, n, step):
-        differ = np.bitwise_count(a[0, k : k + step, None] ^ b[0])
-        for x, y in zip(a[1:], b[1:], strict=True):
-            differ += np.bitwise_count(x[k : k + step, None] ^ y)
-        found_at.append(np.flatnonzero(differ <= MATCH) + k * b.shape[1])
-    return np.divmod(np.concatenate(found_at), max(1, b.shape[1]))
+        rows = min(step, n - k)
+        d, s, c = differ[:rows], some[:rows], count[:rows]
+        for word, (x, y) in enumerate(zip(a, b, strict=True)):
+            np.bitwise_xor(x[k : k + rows, None], y, out=d)
+            np.bitwise_count(d, out=s if word else c)
+            if word:
+                np.add(c, s, out=c)
+        found_at.append(np.flatnonzero(np.less_equal(c, MATCH, out=hit[:rows])) + k * m)
+    at = np.concatenate(found_at)
+    first = at // max(1, m)
+    return first, at - first * m
+
+
+class Features:
+    """Features of many images, one image after the other: whole numbers as they are stored, and of each feature the place
+    that it votes for. Corners of several levels at one place are one voter."""
+
+    def __init__(self, bits: np.ndarray, places: np.ndarray, sizes: np.ndarray):
+        self.starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        self.code = np.ascontiguousarray(bits.view(np.uint64).T)
+        self.row, self.column, angle, level = np.ascontiguousarray(places.T)
+        self.angle, self.level = angle.view(np.int16), level.astype(np.int64)
+        self.voter, self.voters, self.middle = np.zeros(len(places), np.uint8), np.zeros(len(sizes), np.int64), np.zeros((2, len(sizes)))
+        for k in range(0, len(sizes), IMAGES):
+            starts = self.starts[k : k + IMAGES + 1]
+            own, image = slice(starts[0], starts[-1]), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            spot = [np.floor(x[own] / PLACE / SPOT).astype(np.int64) for x in (self.row, self.column)]
+            values, at = np.unique((image << 40) | (spot[0] << 20) | spot[1], return_inverse=True)
+            first = np.searchsorted(values >> 40, np.arange(len(starts)))
+            self.voter[own], self.voters[k : k + IMAGES] = at - first[image], np.diff(first)
+            for axis, x in enumerate((self.row, self.column)):
+                # sums of sixteenths are exact in any order
+                self.middle[axis, k : k + IMAGES] = np.bincount(image, x[own] / PLACE, len(starts) - 1) / np.maximum(1, np.diff(starts))
+
+    def of(self, images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the features of these images, and which of the images each is of."""
+        sizes = self.starts[images + 1] - self.starts[images]
+        ends = np.cumsum(sizes)
+        return np.arange(ends[-1]) + np.repeat(self.starts[images] - ends + sizes, sizes), np.repeat(np.arange(len(images)), sizes)
+
+
+def voted(f: Features, left: np.ndarray, pair: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs have enough places that vote for one transform; x and y are the matching features of each pair, left the
+    first image of each. A transform is a turn, a scale, and where the middle of the left image's features comes to lie,
+    which depends least on small errors of turn and scale."""
+    unit = 2 * np.pi / CIRCLE
+    turn = f.angle.take(y) * unit - f.angle.take(x) * unit
+    turns = turn / (2 * np.pi) * TURNS
+    turned, stepped, scales = cells_of()
+    x_level, y_level = f.level.take(x), f.level.take(y)
+    steps, cells = y_level - x_level + LEVELS, pair * (TURNS * (LEVELS + 2))
+    # each match votes in two neighbouring cells of every measure's shifted grid, so that none falls on an edge; a turn and
+    # scale with too few matches can't have enough of them at one shift, and most end there
+    live, some = [], np.zeros(len(x), bool)
+    for grid, shift in enumerate((0.0, 0.5)):
+        cell = cells + turned.take(np.floor(turns + shift).astype(np.int64) + TURNS) + stepped[grid].take(steps)
+        at = np.flatnonzero((np.bincount(cell) >= CONSENSUS).take(cell))
+        live.append((shift, at, cell[at]))
+        some[at] = True
+    used = np.flatnonzero(some)
+    if not len(used):
+        return used
+    number = np.cumsum(some) - 1
+    x, y, turn, of = x[used], y[used], turn[used], left.take(pair[used])
+    scale = scales.take(y_level[used]) / scales.take(x_level[used])
+    cos, sin = np.cos(turn) * scale, np.sin(turn) * scale
+    oy, ox = f.row.take(x) / PLACE - f.middle[0].take(of), f.column.take(x) / PLACE - f.middle[1].take(of)
+    dy = f.row.take(y) / PLACE - (oy * cos + ox * sin)
+    dx = f.column.take(y) / PLACE - (ox * cos - oy * sin)
+    voter, hits = f.voter.take(x).astype(np.int64), []
+    for shift, at, cell in live:
+        own = number[at]
+        for d in (dy, dx):
+            cell = cell << 11 | (np.floor(d[own] / SHIFT + shift).astype(np.int64) + 512) & 2047
+        v = np.sort(cell << 8 | voter[own])
+        cell = v[np.flatnonzero(np.diff(v, prepend=-1))] >> 8  # a place votes once in a cell
+        last = cell[CONSENSUS - 1 :]
+        hits.append(last[last == cell[: len(last)]] // (TURNS * (LEVELS + 2) << 22))
+    return np.unique(np.concatenate(hits))
+
+
+@lru_cache(1)
+def cells_of() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For small whole numbers: a turn's cell from one circle below zero on, a difference of levels' cell without and with
+    the shift of a grid, and a level's scale."""
+    steps = np.arange(2 * LEVELS + 1)
+    return np.arange(-TURNS, TURNS + 2) % TURNS * (LEVELS + 2), np.stack([np.floor(steps / LEVELS_WIDE + shift).astype(np.int64) for shift in (0.0, 0.5)]), FACTOR ** np.arange(LEVELS).astype(float)
+
+
+def agreed(f: Features, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Positions of the pairs left[i]-right[i] whose matching features agree on one transform. Descriptors of the image of a
+    pair that has more pairs are compared with those of many others at once; matches of several images vote together."""
+    # too few places can't agree on a transform
+    able = np.flatnonzero(f.voters[left] >= CONSENSUS)
+    degree = np.bincount(left[able], minlength=len(f.voters)) + np.bincount(right[able], minlength=len(f.voters))
+    turned = degree[right[able]] > degree[left[able]]
+    hub = np.where(turned, right[able], left[able])
+    order = np.argsort(hub, kind="stable")
+    able, turned, hub = able[order], turned[order], hub[order]
+    left, right = left[able], right[able]
+    out, held, count, first = [np.zeros(0, np.int64)], [], 0, 0
+
+    def vote(end: int) -> None:
+        pair, own, other = (np.concatenate(c) for c in zip(*held, strict=True))
+        swap = turned.take(pair)
+        out.append(able[voted(f, left[first:end], pair - first, np.where(swap, other, own), np.where(swap, own, other)) + first])
+        held.clear()
+
+    for begin, end in itertools.pairwise(np.flatnonzero(np.diff(hub, prepend=-1, append=-1)).tolist()):
+        own = f.starts[hub[begin]]
+        for k in range(begin, end, BLOCK):
+            here = min(end, k + BLOCK)
+            at, of = f.of(np.where(turned[k:here], left[k:here], right[k:here]))
+            x, y = close(f.code[:, own : f.starts[hub[begin] + 1]], f.code[:, at])
+            if not held:
+                first = k
+            held.append((of[y] + k, x + own, at[y]))
+            count += len(x)
+            if count > VOTES:
+                vote(here)
+                count = 0
+    if held:
+        vote(len(left))
+    return np.concatenate(out)
 
 
 def agreeing(bits: list[np.ndarray], places: list[np.ndarray], left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of images whose matching features agree on one transform: turn, scale, and where the middle of the left image's
-    features comes to lie, which depends least on small errors of turn and scale. A pair counts where the left image has the
-    lower rank; which image comes first can decide a close case, so ranks must not depend on how rows are dealt."""
-    words = lambda x: np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint64).T)
-    by = np.argsort(rank[right])
-    right, after = right[by], np.searchsorted(rank[right[by]], rank[left], side="right")
-    sizes = [len(bits[i]) for i in right]
-    starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-    of, code, where = np.repeat(np.arange(len(right)), sizes), words(np.concatenate([bits[i] for i in right])), np.concatenate([places[i] for i in right])
-    first, second = [], []
-    for number, i in enumerate(left):
-        begin = starts[after[number]]
-        own = places[i]
-        # corners of several levels at one place are one voter
-        spot = np.floor(own[:, :2] / SPOT).astype(np.int64)
-        voter = np.unique((spot[:, 0] << 20) | spot[:, 1], return_inverse=True)[1]
-        voters = int(voter.max(initial=-1)) + 1
-        bits_of_voter = voters.bit_length()
-        if voters < CONSENSUS or begin == len(where):
-            continue
-        x, y = close(words(bits[i]), code[:, begin:])
-        # too few places with a match of any kind can't agree on a transform
-        met_by = np.zeros((voters, len(right)), bool)
-        met_by[voter[x], of[begin + y]] = True
-        enough = (met_by.sum(0) >= CONSENSUS)[of[begin + y]]
-        x, y = x[enough], y[enough] + begin
-        if not len(x):
-            continue
-        turn = where[y, 2] - own[x, 2]
-        scale = where[y, 3] / own[x, 3]
-        cos, sin = np.cos(turn) * scale, np.sin(turn) * scale
-        oy, ox = (own[x, :2] - own[:, :2].mean(0)).T
-        dy = where[y, 0] - (oy * cos + ox * sin)
-        dx = where[y, 1] - (ox * cos - oy * sin)
-        steps = np.rint(np.log(scale) / np.log(FACTOR)) + LEVELS
-        votes = []
-        # each match votes in two neighbouring cells of every measure's shifted grid, so that none falls on an edge
-        for shift in (0.0, 0.5):
-            cell = [np.floor(turn / (2 * np.pi) * TURNS + shift).astype(int) % TURNS, np.floor(steps / LEVELS_WIDE + shift).astype(int), np.floor(dy / SHIFT + shift).astype(int) + 512, np.floor(dx / SHIFT + shift).astype(int) + 512]
-            key = np.full(len(x), int(shift * 2), np.int64)
-            for c, r in zip(cell, (TURNS, LEVELS + 2, 2048, 2048), strict=True):
-                key = key * r + c % r
-            # keys stay below 2^30; images and features of a block fit into what is left
-            votes.append((of[y] << 30 | key) << bits_of_voter | voter[x])
-        v = np.sort(np.concatenate(votes))
-        cell = v[np.flatnonzero(np.diff(v, prepend=-1))] >> bits_of_voter  # a place votes once in a cell
-        begins = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
-        hit = np.unique(cell[begins[:-1][np.diff(begins) >= CONSENSUS]] >> 30)
-        first.append(np.full(len(hit), number))
-        second.append(hit)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *first]), by[np.concatenate([none, *second])]
+    """Pairs (position in left, position in right) of images that agree. A pair counts where the left image has the lower
+    rank; which image comes first can decide a close case, so ranks must not depend on how rows are dealt."""
+    f = Features(np.concatenate(bits), np.frombuffer(b"".join(map(packed, places)), np.uint16).reshape(-1, 4), np.array([len(b) for b in bits]))
+    a, b = np.nonzero(rank[left][:, None] < rank[right])
+    hit = agreed(f, left[a], right[b])
+    return a[hit], b[hit]
 
 
 def ranks(bits: list[bytes], places: list[bytes]) -> np.ndarray:
@@ -414,26 +491,17 @@ def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
     # enough pairs of blocks for all tasks, and small ones where there are many
     n = max(-(-images // TOGETHER), min(math.isqrt(12 * parts), -(-images // FEW)), math.isqrt(2 * parts) + 1)
     rounds = -(-n // COPIES) if images > TOGETHER else 1
+    tasks = min(n * (n + 1) // 2, (1 if rounds == 1 else 8) * parts)
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     dealt = pairs.select(F.least(of("a"), of("b")).alias("bi"), F.greatest(of("a"), of("b")).alias("bj"), "a", "b")
     needed = dealt.select("bi", "bj", F.explode(F.array("a", "b")).alias("node")).distinct().groupBy("node").agg(F.collect_list(F.struct("bi", "bj")).alias("blocks"))
     held = written(needed.join(described.select("node", "bits", "places"), "node"))
     swept(spark)
 
-    def judged(pairs: np.ndarray, nodes: np.ndarray, bits: list[bytes], places: list[bytes], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs = np.unique(pairs)
-        left, right = np.divmod(pairs, len(nodes))
-        kept = [np.zeros(0, np.int64)]
-        for part in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(left)) + 1):
-            for k in range(0, len(part), BLOCK):
-                some = part[k : k + BLOCK]
-                own = [left[some[0]], *right[some]] if len(some) else []
-                if own:
-                    at = np.cumsum([len(places[i]) // PLACE_BYTES for i in own])[:-1]
-                    hit = agreeing([np.frombuffer(bits[i], np.uint8).reshape(-1, width) for i in own], np.split(unpacked(b"".join([places[i] for i in own])), at), np.zeros(1, np.int64), np.arange(1, len(own)), rank[own])[1]
-                    kept.append(some[hit])
-        keep = np.concatenate(kept)
-        left, right = nodes[left[keep]], nodes[right[keep]]
+    def judged(pairs: np.ndarray, nodes: np.ndarray, f: Features, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = np.divmod(np.unique(pairs), len(nodes))
+        hit = agreed(f, left, right)
+        left, right = nodes[left[hit]], nodes[right[hit]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,11 +521,14 @@ def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
                     places += batch.column("places").slice(begin, end - begin).to_pylist()
                     continue
                 if known is None:
-                    known = np.concatenate(nodes), bits, places, ranks(bits, places)
+                    sizes = np.array([len(p) // PLACE_BYTES for p in places])
+                    f = Features(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, width), np.frombuffer(b"".join(places), np.uint16).reshape(-1, 4), sizes)
+                    known = np.concatenate(nodes), f, ranks(bits, places)
+                    bits, places = [], []
                     order = np.argsort(known[0])
                     ordered = known[0][order]
                 left, right = (order[np.searchsorted(ordered, x[begin:end])] for x in (a, b))
-                turned = known[3][left] > known[3][right]
+                turned = known[2][left] > known[2][right]
                 pairs.append(np.where(turned, right, left) * len(order) + np.where(turned, left, right))
                 count += end - begin
                 if count > HELD:
@@ -472,7 +543,9 @@ def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
         # rows with features have a = b
         features_of = held.select(F.explode("blocks").alias("at"), F.col("node").alias("a"), F.col("node").alias("b"), "bits", "places").select("at.bi", "at.bj", "a", "b", "bits", "places")
         rows = dealt.select("*", none.alias("bits"), none.alias("places")).unionByName(features_of).where(own)
-        return rows.repartition(parts if rounds == 1 else 4 * parts, "bi", "bj").sortWithinPartitions("bi", "bj", F.col("bits").isNull()).mapInArrow(run, "a long, b long")
+        # a hash would deal several pairs of blocks to one task and none to others
+        of_pair = (F.col("bj") * (F.col("bj") + 1) / 2 + F.col("bi")).cast("int") % tasks
+        return rows.repartitionById(tasks, of_pair).sortWithinPartitions("bi", "bj", F.col("bits").isNull()).mapInArrow(run, "a long, b long")
 
     if rounds == 1:
         return part(0)
@@ -499,7 +572,7 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
     linked = written(verified(candidates(described), described))
     swept(df.sparkSession)
     clusters = written(components(linked).join(classes.select("node", "n"), "node"))
-    sets = clusters.join(described, "node").select("component", "node", "n", "bits", "places")
+    sets, parts = written(clusters.join(described, "node").select("component", "node", "n", "bits", "places")), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verify(g: dict) -> pa.RecordBatch | None:
         side = np.asarray(g["side"])
@@ -516,7 +589,7 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
             a, b = np.concatenate([a, right[c]]), np.concatenate([b, left[d]])
         return found(np.asarray(g["node"]), np.asarray(g["n"], float), a, b)
 
-    own = summed(sorted_groups(block_pairs(sets, ["component"], "node", BLOCK), ["component", "bi", "bj"], verify, FOUND), classes.select("hash", "node", "first", "n"))
+    own = summed(sorted_groups(block_pairs(sets, ["component"], "node", CLUSTER_BLOCK), ["component", "bi", "bj"], verify, FOUND, 4 * parts), classes.select("hash", "node", "first", "n"))
     keyed = rows.select("image_id", "n_features", F.when(F.col("image_id").isNotNull() & (F.col("n_features") > 0), F.col("hash")).alias("hash"))
     return (
         keyed.join(own, "hash", "left")
@@ -530,9 +603,11 @@ def drawn(vector: Column, side: int = 8, cell: int = 10) -> Column:
     scaled to the vector's range and written as binary PGM. DataFrame functions only. Null for a null vector, for null
     or non-finite components and for fewer than side * side of them."""
     low, high = F.array_min(vector), F.array_max(vector)
+    # a lambda evaluates what it refers to again for every element, except its own variable: a list of one holds a value
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
     # 20 levels: vectors that differ little give images that differ little
-    level = F.transform(F.slice(vector, 1, side * side), lambda v: F.format_string("%02x", F.round((v - low) / (high - low) * 19).cast("int") * 13))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda r: F.repeat(F.array_join(F.transform(F.slice(level, r * side + 1, side), lambda x: F.repeat(x, cell)), ""), cell))
+    level = once(F.struct(low.alias("low"), high.alias("high")), lambda r: F.transform(F.slice(vector, 1, side * side), lambda v: F.format_string("%02x", F.round((v - r["low"]) / (r["high"] - r["low"]) * 19).cast("int") * 13)))
+    rows = once(level, lambda level: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda r: F.repeat(F.array_join(F.transform(F.slice(level, r * side + 1, side), lambda x: F.repeat(x, cell)), ""), cell)))
     body = F.unhex(F.array_join(rows, ""))
     head = F.lit(f"P5 {side * cell} {side * cell} 255\n").cast("binary")
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))

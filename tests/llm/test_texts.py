@@ -546,6 +546,59 @@ def test_pairs_of_images_agree_in_one_order_and_as_by_brute_force():
         assert pairs(some, some) | pairs(others, others) | pairs(some, others) | pairs(others, some) == whole
 
 
+def test_matches_of_many_images_vote_together_as_one_by_one(monkeypatch):
+    """Pairs in any order and pieces of any size, against votes that are counted match by match."""
+    rng = np.random.default_rng(9)
+    base = [keypoints.smooth(np.kron(rng.integers(0, 20, (8, 8)) * 13.0, np.ones((10, 10)))[None])[0] for _ in range(4)]
+    images = np.stack([np.clip(np.rot90(x, k) + rng.normal(0, s, x.shape), 0, 255) for k, s in ((0, 0), (1, 6), (0, 25), (3, 40)) for x in base] + [np.zeros((80, 80))])
+    owner, place, code = keypoints.describe(images)
+    raw = np.frombuffer(b"".join(keypoints.packed(place[owner == i]) for i in range(len(images))), np.uint16).reshape(-1, 4)
+    bits = np.concatenate([code[owner == i] for i in range(len(images))])
+    sizes = np.bincount(owner, minlength=len(images))
+    places = np.split(keypoints.unpacked(raw.tobytes()), np.cumsum(sizes)[:-1])
+    codes = np.split(np.unpackbits(bits, axis=1), np.cumsum(sizes)[:-1])
+
+    def agree(i, j):
+        p, q, cells = places[i], places[j], {}
+        for a, b in zip(*np.nonzero((codes[i][:, None] != codes[j]).sum(2) <= keypoints.MATCH), strict=True):
+            turn, scale = q[b, 2] - p[a, 2], q[b, 3] / p[a, 3]
+            y, x = p[a, :2] - p[:, :2].mean(0)
+            cos, sin = np.cos(turn) * scale, np.sin(turn) * scale
+            at = turn / (2 * np.pi) * keypoints.TURNS, (np.rint(np.log(scale) / np.log(keypoints.FACTOR)) + keypoints.LEVELS) / keypoints.LEVELS_WIDE, (q[b, 0] - (y * cos + x * sin)) / keypoints.SHIFT, (q[b, 1] - (x * cos - y * sin)) / keypoints.SHIFT
+            for shift in (0.0, 0.5):
+                t, *rest = (int(np.floor(v + shift)) for v in at)
+                cells.setdefault((shift, t % keypoints.TURNS, *rest), set()).add(tuple(p[a, :2] // keypoints.SPOT))
+        return any(len(v) >= keypoints.CONSENSUS for v in cells.values())
+
+    left, right = np.nonzero(~np.eye(len(images), dtype=bool))
+    order = rng.permutation(len(left))
+    left, right = left[order], right[order]
+    want = {(i, j) for i, j in zip(left, right, strict=True) if agree(i, j)}
+    assert len(want) > 8
+    for votes, block, some in ((1 << 13, 64, 1024), (50, 3, 5)):
+        monkeypatch.setattr(keypoints, "VOTES", votes)
+        monkeypatch.setattr(keypoints, "BLOCK", block)
+        monkeypatch.setattr(keypoints, "IMAGES", some)
+        hit = keypoints.agreed(keypoints.Features(bits, raw, sizes), left, right)
+        assert {(left[k], right[k]) for k in hit} == want and len(hit) == len(want)
+
+
+def test_pairs_of_blocks_are_dealt_evenly(spark, monkeypatch):
+    """No task gets two pairs of blocks while others have none."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(keypoints, "TOGETHER", 2)
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, fn, schema, real=kind.mapInArrow: seen.append(self) or real(self, fn, schema))
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, keypoints.encode(np.kron(rng.integers(0, 255, (14, 14)), np.ones((9, 9))))) for i in range(12)], "node long, image binary")
+    keypoints.verified(spark.createDataFrame([(i, j) for i in range(12) for j in range(i + 1, 12)], "a long, b long"), keypoints.features(rows, "image", ["node"]))
+    for dealt in [d for d in seen if "bi" in d.columns]:
+        got = dealt.select(F.spark_partition_id().alias("task"), "bi", "bj").distinct().groupBy("task").count().collect()
+        assert max(r["count"] for r in got) <= -(-sum(r["count"] for r in got) // dealt.rdd.getNumPartitions())
+
+
 def test_image_copies_keep_features_once(spark, tmp_path, monkeypatch):
     """Pairs that wait for verification and features of all images are on disk once, as compressed tables."""
     from loglattice.llm import common
