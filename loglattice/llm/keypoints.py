@@ -278,30 +278,25 @@ def cells_of() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def agreed(f: Features, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Positions of the pairs left[i]-right[i] whose matching features agree on one transform. Descriptors of the image of a
-    pair that has more pairs are compared with those of many others at once; matches of several images vote together."""
+    """Positions of the pairs left[i]-right[i] whose matching features agree on one transform. An image is compared with many
+    others at once, and matches of several images vote together."""
     # too few places can't agree on a transform
     able = np.flatnonzero(f.voters[left] >= CONSENSUS)
-    degree = np.bincount(left[able], minlength=len(f.voters)) + np.bincount(right[able], minlength=len(f.voters))
-    turned = degree[right[able]] > degree[left[able]]
-    hub = np.where(turned, right[able], left[able])
-    order = np.argsort(hub, kind="stable")
-    able, turned, hub = able[order], turned[order], hub[order]
+    able = able[np.argsort(left[able], kind="stable")]
     left, right = left[able], right[able]
     out, held, count, first = [np.zeros(0, np.int64)], [], 0, 0
 
     def vote(end: int) -> None:
-        pair, own, other = (np.concatenate(c) for c in zip(*held, strict=True))
-        swap = turned.take(pair)
-        out.append(able[voted(f, left[first:end], pair - first, np.where(swap, other, own), np.where(swap, own, other)) + first])
+        pair, x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        out.append(able[voted(f, left[first:end], pair - first, x, y) + first])
         held.clear()
 
-    for begin, end in itertools.pairwise(np.flatnonzero(np.diff(hub, prepend=-1, append=-1)).tolist()):
-        own = f.starts[hub[begin]]
+    for begin, end in itertools.pairwise(np.flatnonzero(np.diff(left, prepend=-1, append=-1)).tolist()):
+        own, after = f.starts[left[begin]], f.starts[left[begin] + 1]
         for k in range(begin, end, BLOCK):
             here = min(end, k + BLOCK)
-            at, of = f.of(np.where(turned[k:here], left[k:here], right[k:here]))
-            x, y = close(f.code[:, own : f.starts[hub[begin] + 1]], f.code[:, at])
+            at, of = f.of(right[k:here])
+            x, y = close(f.code[:, own:after], f.code[:, at])
             if not held:
                 first = k
             held.append((of[y] + k, x + own, at[y]))
