@@ -13,15 +13,15 @@ from __future__ import annotations
 import itertools
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import held_by_worker, map_arrow, slices, strings, written
+from loglattice.llm.common import held_by_worker, map_arrow, slices, written
 
 STATES = 8
 #: Words that states emit by themselves, and words whose counts every worker holds; fixed sizes, whatever the corpus.
@@ -32,6 +32,8 @@ TO_CLASS, LEAST_CLASSES, MOST_CLASSES = 128, 256, 131_072
 SETTLED = 1e-3
 #: Padded tokens of the documents that one recursion takes side by side; distinct words counted before they are passed on.
 SIDE_BY_SIDE, COUNTED = 1_000_000, 300_000
+#: Rows of an Arrow batch that is passed on.
+PASSED = 1 << 16
 #: Documents of more tokens are cut into blocks of so many.
 LONG, BLOCK = 1024, 256
 #: Expected counts are summed as whole numbers of this unit, so that sums don't depend on their order.
@@ -43,6 +45,28 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of many texts, of all texts one after the other the number of each word, where an end counts as the
+    word behind the last, and where each text begins and ends among them. The same words as by `tokens`."""
+    # no cast before: Arrow's ascii_lower reads past the texts of a slice that was cast
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = parts.flatten().dictionary_encode()
+    numbers, cuts = flat.indices.to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy())]
+    distinct = flat.dictionary
+    # white space at either end of a text leaves an empty word there
+    empty = pc.index(distinct, pa.scalar("", distinct.type)).as_py()
+    if empty >= 0:
+        some = numbers != empty
+        cuts, numbers = np.r_[0, np.cumsum(some)][cuts], numbers[some]
+        numbers = numbers - (numbers > empty)
+        distinct = pa.concat_arrays([distinct[:empty], distinct[empty + 1 :]])
+    out, cuts = np.full(len(numbers) + len(texts), len(distinct), np.int64), cuts + np.arange(len(cuts))
+    word = np.ones(len(out), bool)
+    word[cuts[1:] - 1] = False
+    out[word] = numbers
+    return distinct, out, cuts
+
+
 def groups(docs: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences by falling length: their numbers, ids as a (time, sequence) array, and how many have a token at each
     time."""
@@ -64,55 +88,54 @@ def columns(rows: np.ndarray, ids: np.ndarray, one: np.ndarray) -> np.ndarray:
     return one @ rows.take(ids, axis=0).T
 
 
-def sweep(ids: np.ndarray, live: np.ndarray, begin: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: np.ndarray | None = None):
+def sweep(ids: np.ndarray, live: np.ndarray, begin: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """The scaled forward recursion of sequences side by side, one row for each state; emit has one row for each id. `begin`
-    holds the distributions over states before the first token. Returns the last distributions, the logs of all scales by
-    sequence, and scales (time, sequence); `keep` takes the distributions (time, state, sequence)."""
-    longest, width = ids.shape
-    ends, scales = begin.copy(), np.ones((longest, width), begin.dtype)
+    holds the distributions over states before the first token. Returns the logs of all scales by sequence."""
+    scales = np.ones(ids.shape, begin.dtype)
     turned, one, ones = np.ascontiguousarray(move.T), np.eye(len(move), dtype=begin.dtype), np.ones(len(move), begin.dtype)
     a = begin
-    counts = [*live.tolist(), 0]
-    for t, n in enumerate(counts[:-1]):
+    for t, n in enumerate(live.tolist()):
         a = (a if t == 0 else turned @ a[:, :n]) * columns(emit, ids[t, :n], one)
         s = ones @ a
         a /= s
         scales[t, :n] = s
-        if keep is not None:
-            keep[t, :, :n] = a
-        if counts[t + 1] < n:
-            ends[:, counts[t + 1] : n] = a[:, counts[t + 1] :]
-    return ends, np.log(scales).sum(0, dtype=float), scales
+    return np.log(scales).sum(0, dtype=float)
 
 
-class Emissions:
-    """Sums of rows (one value for each state) by id, a cache's worth of rows at a time."""
+class Steps:
+    """Sequences side by side without padding: one column for each token, those of a time beside each other. `emits` holds
+    what states emit there, `alphas` is space of the same shape."""
 
     ROWS = 32_768
 
-    def __init__(self, size: int, states: int):
-        self.total = np.zeros((size, states))
-        self.rows, self.ids, self.n = np.empty((self.ROWS, states), np.float32), np.empty(self.ROWS, np.uint16 if size <= 1 << 16 else np.int32), 0
-
-    def add(self, values: np.ndarray, ids: np.ndarray, one: np.ndarray) -> None:
-        """values: one column for each id."""
-        at = 0
-        while at < len(ids):
-            m = min(len(ids) - at, self.ROWS - self.n)
-            np.matmul(values[:, at : at + m].T, one, out=self.rows[self.n : self.n + m])
-            self.ids[self.n : self.n + m] = ids[at : at + m]
-            self.n += m
-            at += m
-            if self.n == self.ROWS:
-                self.flush()
-
-    def flush(self) -> None:
-        if self.n:
-            order = np.argsort(self.ids[: self.n], kind="stable")
-            ids = self.ids[order]
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            self.total[ids[starts]] += np.add.reduceat(self.rows.take(order, axis=0), starts, axis=0)
-            self.n = 0
+    def __init__(self, ids: np.ndarray, live: np.ndarray, emit: np.ndarray, space: np.ndarray):
+        self.ids = ids[np.arange(ids.shape[1]) < live[:, None]].astype(np.intp)
+        ends, states = np.cumsum(live).tolist(), emit.shape[1]
+        self.at = [slice(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.alphas, self.emits = (x[: len(self.ids) * states].reshape(states, -1) for x in space)
+        one = np.eye(states, dtype=emit.dtype)
+        for k in range(0, len(self.ids), self.ROWS):
+            self.emits[:, k : k + self.ROWS] = columns(emit, self.ids[k : k + self.ROWS], one)
+
+    def forward(self, begin: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, float]:
+        """Fills alphas with the scaled distributions and divides emits by their scales. Returns the last distribution of
+        each sequence and the sum of the scales' logs."""
+        ends, turned, ones = begin.copy(), np.ascontiguousarray(move.T), np.ones(len(move), move.dtype)
+        scales = np.empty(len(self.ids), move.dtype)
+        for t, at in enumerate(self.at):
+            n, now, emits, s = at.stop - at.start, self.alphas[:, at], self.emits[:, at], scales[at]
+            if t:
+                np.matmul(turned, last[:, :n], out=now)
+                now *= emits
+                ends[:, n : last.shape[1]] = last[:, n:]
+            else:
+                np.multiply(begin, emits, out=now)
+            np.matmul(ones, now, out=s)
+            now /= s
+            emits /= s
+            last = now
+        ends[:, : last.shape[1]] = last
+        return ends, float(np.log(scales).sum(dtype=float))
 
 
 class Cut:
@@ -135,16 +158,16 @@ class Cut:
         k = len(move)
         out, scale = np.zeros((len(self.blocks), k, k)), np.zeros(len(self.blocks))
         turned, one = np.ascontiguousarray(move.T), np.eye(k, dtype=move.dtype)
+        top = emit.max(1) if len(self.long) else np.ones(len(emit))
+        emit, tops = emit / top[:, None], np.log(top)
         for part, ids, live in groups([self.blocks[i] for i in self.long], SIDE_BY_SIDE // k):
             now, logs = np.repeat(one[:, :, None], len(part), 2), np.zeros(len(part))
             at, counts = self.long[part], [*live.tolist(), 0]
             for t, n in enumerate(counts[:-1]):
                 if t:
                     now = (turned @ now[:, :, :n].reshape(k, k * n)).reshape(k, k, n)
-                e = columns(emit, ids[t, :n], one)
-                top = e.max(0)
-                now *= (e / top)[:, None, :]
-                logs[:n] += np.log(top)
+                now *= columns(emit, ids[t, :n], one)[:, None, :]
+                logs[:n] += tops.take(ids[t, :n])
                 if t % 4 == 3 or counts[t + 1] < n:
                     s = now.reshape(k * k, n).sum(0)
                     now /= s
@@ -155,19 +178,27 @@ class Cut:
             scale[at] = logs
         return out, scale
 
-    def chained(self, start: np.ndarray, move: np.ndarray, matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each block the distribution before its first token and, up to scale, the backward vector at its last."""
+    def chained(self, start: np.ndarray, move: np.ndarray, matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each block the distribution before its first token, the backward vector at its last, up to scale, and of those
+        of long documents the log of the sum that its matrix leaves of that distribution. Documents go side by side."""
         k, n = len(start), len(self.blocks)
-        begin, back = np.tile(start[:, None], n), np.ones((k, n))
-        for i in self.long:
-            if not self.first[i]:
-                a = begin[:, i - 1] @ matrices[i - 1]
-                begin[:, i] = (a / a.sum()) @ move
-        for i in self.long[::-1]:
-            if not self.last[i]:
-                b = move @ (matrices[i + 1] @ back[:, i + 1])
-                back[:, i] = b / b.max()
-        return begin, back
+        begin, back, logs = np.tile(start[:, None], n), np.ones((k, n)), np.zeros(n)
+        firsts = self.long[self.first[self.long]]
+        sizes = self.long[self.last[self.long]] - firsts + 1
+        firsts, sizes = firsts[order := np.argsort(-sizes, kind="stable")], sizes[order]
+        live = np.searchsorted(-sizes, -np.arange(sizes.max(initial=0) + 1), side="left")
+        for r, m in enumerate(live[:-1]):
+            i = firsts[:m] + r
+            a = np.einsum("kn,nkj->jn", begin[:, i], matrices[i])
+            total = a.sum(0)
+            logs[i] = np.log(total)
+            on = live[r + 1]
+            begin[:, i[:on] + 1] = move.T @ (a / total)[:, :on]
+        for r in range(len(live) - 3, -1, -1):
+            i = firsts[: live[r + 1]] + r
+            b = move @ np.einsum("nkj,jn->kn", matrices[i + 1], back[:, i + 1])
+            back[:, i] = b / b.max(0)
+        return begin, back, logs
 
 
 def forward(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
@@ -176,13 +207,8 @@ def forward(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: n
     matrices, scale = cut.matrices(move, emit)
     whole = np.flatnonzero(cut.first & cut.last)
     for part, ids, live in groups([cut.blocks[i] for i in whole], SIDE_BY_SIDE):
-        out[cut.of[whole[part]]] = sweep(ids, live, np.tile(start[:, None], len(part)), move, emit)[1]
-    now = None
-    for i in cut.long:
-        now = (start if cut.first[i] else now @ move) @ matrices[i]
-        total = now.sum()
-        out[cut.of[i]] += scale[i] + np.log(total)
-        now = now / total
+        out[cut.of[whole[part]]] = sweep(ids, live, np.tile(start[:, None], len(part)), move, emit)
+    out += np.bincount(cut.of[cut.long], (scale + cut.chained(start, move, matrices)[2])[cut.long], len(docs))
     return out / np.log(10)
 
 
@@ -191,36 +217,36 @@ def expected(docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit:
     # single precision: each step is scaled to one, and sums are kept in double precision
     emit32, move32 = np.ascontiguousarray(emit, np.float32), move.astype(np.float32)
     k = len(start)
-    one, firsts, moves, emits = np.eye(k, dtype=np.float32), np.zeros(k), np.zeros((k, k)), Emissions(len(emit), k)
+    firsts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(emit)))
     cut = Cut(docs)
-    begin, back = cut.chained(start, move, cut.matrices(move32, emit32)[0])
+    begin, back, _ = cut.chained(start, move, cut.matrices(move32, emit32)[0])
     ends, weights = np.zeros((k, len(cut.blocks))), np.zeros((k, len(cut.blocks)))
-    total, space = 0.0, np.empty(0, np.float32)
+    total, space = 0.0, np.empty((2, 0), np.float32)
     for part, ids, live in groups(cut.blocks, SIDE_BY_SIDE):
-        longest = len(ids)
-        if space.size < ids.size * k:
-            space = np.empty(ids.size * k, np.float32)
-        alphas = space[: ids.size * k].reshape(longest, k, len(part))
-        last, logs, scales = sweep(ids, live, begin[:, part].astype(np.float32), move32, emit32, alphas)
-        total += logs.sum()
+        if space.shape[1] < live.sum() * k:
+            space = np.empty((2, live.sum() * k), np.float32)
+        steps = Steps(ids, live, emit32, space)
+        last, logs = steps.forward(begin[:, part].astype(np.float32), move32)
+        total += logs
         ends[:, part] = last
         final = back[:, part]
         beta = (final / (last * final).sum(0)).astype(np.float32)
-        for t in range(longest - 1, -1, -1):
-            n = live[t]
-            now = alphas[t, :, :n] * beta[:, :n]
-            emits.add(now, ids[t, :n], one)
-            weight = columns(emit32, ids[t, :n], one) * beta[:, :n] / scales[t, :n]
+        for t in range(len(live) - 1, -1, -1):
+            now, b = steps.alphas[:, steps.at[t]], beta[:, : live[t]]
+            weight = steps.emits[:, steps.at[t]] * b
+            now *= b
             if t:
-                moves += alphas[t - 1, :, :n] @ weight.T
-                beta[:, :n] = move32 @ weight
+                moves += steps.alphas[:, steps.at[t - 1]][:, : live[t]] @ weight.T
+                np.matmul(move32, weight, out=b)
             else:
-                weights[:, part[:n]] = weight
-                firsts += now[:, cut.first[part[:n]]].sum(1, dtype=float)
-    emits.flush()
+                weights[:, part[: live[t]]] = weight
+                firsts += now[:, cut.first[part[: live[t]]]].sum(1, dtype=float)
+        # what was a distribution is now what is expected of it
+        for j in range(k):
+            emits[j] += np.bincount(steps.ids, steps.alphas[j], len(emit))
     inner = np.flatnonzero(~cut.first)
     moves += ends[:, inner - 1] @ weights[:, inner].T
-    return firsts, moves * move, emits.total, total
+    return firsts, moves * move, np.ascontiguousarray(emits.T), total
 
 
 def estimate(firsts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,22 +304,27 @@ def count_words(df: DataFrame, text: str) -> DataFrame:
     """token, c: each word's count in all texts; the null token counts the texts, hence the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Table] = []
         ends = 0
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.binary()).cast(pa.string()), pa.array([*counts.values(), ends], pa.int64())], names=["token", "c"])
-            counts.clear()
-            return out
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"})
 
         for batch in slices(batches, text):
-            for t in strings(batch, text):
-                counts.update(tokens(t))
-                ends += 1
-            if len(counts) > COUNTED:
-                yield flush()
-                ends = 0
-        yield flush()
+            distinct, numbers, _ = words(batch.column(text))
+            held.append(pa.table({"token": distinct, "c": np.bincount(numbers, minlength=len(distinct))[: len(distinct)]}))
+            ends += batch.num_rows
+            if sum(map(len, held)) > 2 * COUNTED:
+                held = [summed()]
+                if len(held[0]) > COUNTED:
+                    yield from passed(held[0])
+                    held = []
+        if held:
+            yield from passed(summed())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([ends], pa.int64())], names=["token", "c"])
+
+    def passed(counts: pa.Table) -> list[pa.RecordBatch]:
+        return counts.select(["token", "c"]).to_batches(PASSED)
 
     return df.select(text).mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -360,10 +391,13 @@ def numbered(df: DataFrame, text: str, shared) -> DataFrame:
     """ids (packed, what states emit) of each row, and the state to which a hash of its text deals it."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        voc, texts = vocabulary(shared.value), strings(batch, text)
-        split = [tokens(t) for t in texts]
-        ids = [voc.model_ids(s, voc.look_up(s)).tobytes() for s in split]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([zlib.crc32(t.encode()) % STATES for t in texts], pa.int32())], names=["ids", "state"])
+        voc, texts = vocabulary(shared.value), batch.column(text)
+        distinct, numbers, cuts = words(texts)
+        got = distinct.cast(pa.binary()).to_pylist()
+        ids = voc.model_ids(got, voc.look_up(got))[numbers]
+        packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts * ids.itemsize), pa.py_buffer(ids)])
+        states = [zlib.crc32(t or b"") % STATES for t in texts.cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([packed.cast(pa.binary()), pa.array(states, pa.int32())], names=["ids", "state"])
 
     return map_arrow(df.select(text), run, "ids binary, state int", text)
 
@@ -413,22 +447,26 @@ def score(df: DataFrame, counts: DataFrame, held: bytes, model: bytes, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, model = vocabulary(shared.value), parameters(params.value)
         for batch in slices(batches, text):
-            docs, rows, words, times, cuts = [], [], [], [], [0]
-            for t in strings(batch, text):
-                got = tokens(t)
-                ids = voc.look_up(got)
-                docs.append(voc.model_ids(got, ids))
-                have = ids[ids >= 0]
-                rows.append((len(got) + 1, len(have) + (voc.end_count > 0), voc.base[have].sum() + voc.end_base, voc.share[have[have >= voc.emitted]].sum()))
-                rare = Counter([got[i] for i in np.flatnonzero(ids < 0).tolist()])
-                words += rare
-                times += rare.values()
-                cuts.append(len(words))
-            whole = forward(docs, *model)
-            length, known, base, share = zip(*rows, strict=True)
-            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["token", "tf"])
+            distinct, numbers, cuts = words(batch.column(text))
+            got = distinct.cast(pa.binary()).to_pylist()
+            ids = voc.look_up(got)
+            model_ids = voc.model_ids(got, ids)[numbers]
+            whole = forward([model_ids[a:b] for a, b in itertools.pairwise(cuts.tolist())], *model)
+            # of each distinct word and the end: whether it's known, and logarithms, which are zero for words that aren't held
+            have = np.append(ids >= 0, voc.end_count > 0)
+            base, share = np.append(np.zeros(len(ids)), voc.end_base), np.zeros(len(have))
+            held = np.flatnonzero(ids >= 0)
+            base[held], share[held] = voc.base[ids[held]], np.where(ids[held] < voc.emitted, 0, voc.share[ids[held]])
+            known, base, share = (np.add.reduceat(x[numbers], cuts[:-1], dtype=kind) for x, kind in ((have, np.int64), (base, float), (share, float)))
+            # rare words of each text and how often it has them
+            at = np.flatnonzero(np.append(ids < 0, False)[numbers])
+            row = np.searchsorted(cuts, at, side="right") - 1
+            pairs, times = np.unique(row * len(have) + numbers[at], return_counts=True)
+            row, word = np.divmod(pairs, len(have))
+            rare = pa.StructArray.from_arrays([distinct.take(pa.array(word)), pa.array(times, pa.int64())], names=["token", "tf"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32()), rare)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), batch.column(flag), pa.array(length, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(whole + np.array(share), pa.float64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rare)],
+                [batch.column(key), batch.column(flag), pa.array(np.diff(cuts)), pa.array(known), pa.array(base), pa.array(whole + share), rare],
                 names=[key, flag, "n_tokens", "n_known", "base_score", "score", "rare"],
             )
 
@@ -437,11 +475,11 @@ def score(df: DataFrame, counts: DataFrame, held: bytes, model: bytes, key: str
     c = F.coalesce("c", F.lit(0))
     # words that workers don't hold: their counts, and the totals of their classes, of which there is a bounded number
     totals = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(voc.log_class.tolist())), "class long, log_class double"))
-    words = scored.select("_row", F.explode("rare").alias("w")).select("_row", "w.token", "w.tf").join(counts.where(F.col("token").isNotNull()), "token", "left")
-    words = words.withColumn("class", class_of(F.col("token"), voc.classes)).join(totals, "class")
+    rare = scored.select("_row", F.explode("rare").alias("w")).select("_row", "w.token", "w.tf").join(counts.where(F.col("token").isNotNull()), "token", "left")
+    rare = rare.withColumn("class", class_of(F.col("token"), voc.classes)).join(totals, "class")
     # summed as whole numbers of 2^-30, so that the order of rows doesn't show in the result
     whole = lambda x: F.sum(F.round(x * (1 << 30)).cast("long"))
-    per_row = words.groupBy("_row").agg(
+    per_row = rare.groupBy("_row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("_known"),
         whole(F.col("tf") * F.log10((c + 0.1) / (n + 0.1 * (v + 1)))).alias("_base"),
         whole(F.col("tf") * (F.log10(c + 0.1) - F.col("log_class"))).alias("_share"),

@@ -246,6 +246,50 @@ def test_base_scores_equal_brute_force(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in hmm.score_corpus(odd, remainder("doc_id", 10) == 0).collect()) == [(0, 3), (3, 2), (3, 30_001)]
 
 
+def test_words_of_a_slice_are_looked_up_once_and_as_bytes_split_them(spark, monkeypatch):
+    """Each distinct word of a slice is looked up once, however often it occurs; all else is as by tokens()."""
+    import pyarrow as pa
+
+    every = "".join(f"x{chr(i)}" for i in range(1, 0x3100) if chr(i) not in " \n")
+    texts = [every, None, "", "   ", " a  B\tb ", "\x0bÉ\x0c\r\né\u0085\u00a0 \x1c a", "A " * 50, "\x00 a\x00"]
+    before = ["é" * 5000 + " skipped"] * 3
+    distinct, numbers, cuts = hmm.words(pa.array([*before, *texts, *before])[3:-3])
+    distinct.validate(full=True)
+    assert len(set(distinct.to_pylist())) == len(distinct)
+    names = [*(w.encode() for w in distinct.to_pylist()), None]
+    for t, begin, end in zip(texts, cuts[:-1], cuts[1:], strict=True):
+        assert [names[k] for k in numbers[begin:end]] == [*hmm.tokens(t or ""), None]
+    monkeypatch.setattr(hmm, "HELD", 2)
+    monkeypatch.setattr(hmm, "EMITTED", 1)
+    # what a task counts is passed on in pieces
+    monkeypatch.setattr(hmm, "COUNTED", 3)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = collections.Counter(x.decode() for t in texts for x in hmm.tokens(t or "")) + collections.Counter({None: len(texts)})
+    assert {r["token"]: r["c"] for r in hmm.count_words(df, "text").collect()} == want
+    looked = []
+    voc = hmm.Vocabulary(hmm.build_vocabulary(hmm.count_words(df, "text")))
+    monkeypatch.setattr(hmm.Vocabulary, "look_up", lambda self, got, real=hmm.Vocabulary.look_up: looked.append(list(got)) or real(self, got))
+    monkeypatch.setattr(hmm, "vocabulary", lambda data: voc)
+    seen = []
+    monkeypatch.setattr(hmm, "map_arrow", lambda df, fn, *more: seen.append(fn))
+    hmm.numbered(df, "text", type("Shared", (), {"value": b""}))
+    got = seen[0](pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+    real = [voc.model_ids(w, np.array([voc.ids.get(x, -1) for x in w], np.int64)).tobytes() for w in map(hmm.tokens, (t or "" for t in texts))]
+    assert got["ids"].to_pylist() == real and got["state"].to_pylist() == [zlib.crc32((t or "").encode()) % hmm.STATES for t in texts]
+    assert len(looked) == 1 and len(looked[0]) == len(set(looked[0]))
+
+
+def test_steps_hold_no_padding(monkeypatch):
+    """Space of a round grows with tokens, not with the longest document of a group, and emissions are gathered once."""
+    rng = np.random.default_rng(5)
+    model = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3).T.copy()
+    docs = [rng.integers(0, 9, n).astype(np.uint16) for n in (50, 3, 1, 7, 20)]
+    gathered = []
+    monkeypatch.setattr(hmm, "columns", lambda rows, ids, one, real=hmm.columns: gathered.append(len(ids)) or real(rows, ids, one))
+    hmm.expected(docs, *model)
+    assert sum(gathered) == sum(map(len, docs))
+
+
 def test_only_words_that_are_not_held_are_hashed_again(monkeypatch):
     words = [f"w{i}".encode() for i in range(20)]
     voc = hmm.Vocabulary(hmm.pickle.dumps((words, list(range(40, 20, -1)), 5, np.full(4, 9.0), np.full(4, 3.0), 700, 30, 7)))
