@@ -279,8 +279,8 @@ def test_words_of_a_slice_are_looked_up_once_and_as_bytes_split_them(spark, monk
     assert len(looked) == 1 and len(looked[0]) == len(set(looked[0]))
 
 
-def test_steps_hold_no_padding(monkeypatch):
-    """Space of a round grows with tokens, not with the longest document of a group, and emissions are gathered once."""
+def test_a_round_gathers_the_emissions_of_each_token_once(monkeypatch):
+    """The backward direction takes what the forward one has gathered, and padding has none."""
     rng = np.random.default_rng(5)
     model = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3).T.copy()
     docs = [rng.integers(0, 9, n).astype(np.uint16) for n in (50, 3, 1, 7, 20)]
