@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.llm import votes
 from loglattice.llm.common import block_pairs, components, map_arrow, sorted_groups, swept, written
 from loglattice.llm.links import FOUND, found, summed
 
@@ -477,10 +478,15 @@ def candidates(described: DataFrame) -> DataFrame:
     return got.where(F.col("bucket").isNull()).select("a", "b").union(written(sorted_groups(hot, ["bucket", "bi", "bj"], blocks, "a long, b long")))
 
 
-def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
+def in_jvm(rows: DataFrame, clusters: bool, schema: str) -> DataFrame:
+    """Rows of pairs or of clusters as `votes` judges them."""
+    return votes.judged(rows, clusters, HELD, (MATCH, CONSENSUS, TURNS, LEVELS, LEVELS_WIDE, CIRCLE, PLACE, SPOT, SHIFT, FACTOR), schema)
+
+
+def verified(pairs: DataFrame, described: DataFrame, jvm: bool = False) -> DataFrame:
     """The pairs a < b whose matching features agree on one transform. Images are dealt to blocks; pairs of two blocks
     meet the features of their images once, however many pairs an image has. Many images are verified in rounds, so that
-    not all copies of their features are on disk at once; every pair is in one round."""
+    not all copies of their features are on disk at once; every pair is in one round. Pairs are judged by NumPy or in the JVM."""
     spark, width = described.sparkSession, BITS // 8
     parts, images = int(spark.conf.get("spark.sql.shuffle.partitions")), described.count()
     # enough pairs of blocks for all tasks, and small ones where there are many
@@ -540,7 +546,8 @@ def verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
         rows = dealt.select("*", none.alias("bits"), none.alias("places")).unionByName(features_of).where(own)
         # a hash would deal several pairs of blocks to one task and none to others
         of_pair = (F.col("bj") * (F.col("bj") + 1) / 2 + F.col("bi")).cast("int") % tasks
-        return rows.repartitionById(tasks, of_pair).sortWithinPartitions("bi", "bj", F.col("bits").isNull()).mapInArrow(run, "a long, b long")
+        ordered = rows.repartitionById(tasks, of_pair).sortWithinPartitions("bi", "bj", F.col("bits").isNull())
+        return in_jvm(ordered, False, "a long, b long") if jvm else ordered.mapInArrow(run, "a long, b long")
 
     if rounds == 1:
         return part(0)
@@ -564,7 +571,8 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
     classes = written(some.groupBy("hash").agg(F.min("image_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("node").alias("node")))
     more = written(some.select("hash", "node").join(classes.where("n > 1").select("hash", F.col("node").alias("_node")), "hash").where("node <> _node").select("node"))
     described, width = some.select("node", "bits", "places").join(more, "node", "left_anti"), BITS // 8
-    linked = written(verified(candidates(described), described))
+    jvm = votes.ready(df.sparkSession)
+    linked = written(verified(candidates(described), described, jvm))
     swept(df.sparkSession)
     clusters = written(components(linked).join(classes.select("node", "n"), "node"))
     sets, parts = written(clusters.join(described, "node").select("component", "node", "n", "bits", "places")), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -584,7 +592,12 @@ def near_duplicates(df: DataFrame, key: str = "image_id", image: str = "image")
             a, b = np.concatenate([a, right[c]]), np.concatenate([b, left[d]])
         return found(np.asarray(g["node"]), np.asarray(g["n"], float), a, b)
 
-    own = summed(sorted_groups(block_pairs(sets, ["component"], "node", CLUSTER_BLOCK), ["component", "bi", "bj"], verify, FOUND, 4 * parts), classes.select("hash", "node", "first", "n"))
+    blocks, keys = block_pairs(sets, ["component"], "node", CLUSTER_BLOCK), ["component", "bi", "bj"]
+    if jvm:
+        links = in_jvm(blocks.select(*keys, "side", "node", "n", "bits", "places").repartition(4 * parts, *keys).sortWithinPartitions(*keys), True, FOUND)
+    else:
+        links = sorted_groups(blocks, keys, verify, FOUND, 4 * parts)
+    own = summed(links, classes.select("hash", "node", "first", "n"))
     keyed = rows.select("image_id", "n_features", F.when(F.col("image_id").isNotNull() & (F.col("n_features") > 0), F.col("hash")).alias("hash"))
     return (
         keyed.join(own, "hash", "left")

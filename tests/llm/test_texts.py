@@ -722,6 +722,34 @@ def test_rounds_of_verification_find_the_same_pairs(spark, monkeypatch):
     assert [t.columns for t in tables] == [["node", "blocks", "bits", "places"], ["a", "b"], ["a", "b"]]
 
 
+def test_the_jvm_verifies_as_numpy_does(spark, monkeypatch):
+    """Linked pairs, links and components are the same, whatever is compared at once and however often a pair comes."""
+    from loglattice.llm import votes
+
+    rng = np.random.default_rng(12)
+    base = [np.kron(rng.integers(0, 20, (8, 8)) * 13.0, np.ones((10, 10))) for _ in range(5)]
+    images = [np.clip(np.rot90(x, k) + rng.normal(0, s, x.shape), 0, 255) for k, s in ((0, 0), (1, 6), (0, 25), (3, 40), (0, 10)) for x in base]
+    images += [base[0][:70, 10:], np.kron(base[1], np.ones((2, 2))), np.zeros((80, 80)), base[2]]
+    n = len(images)
+    rows = spark.createDataFrame([(i, keypoints.encode(x)) for i, x in enumerate(images)], "image_id long, image binary")
+    described = keypoints.features(rows, "image", ["image_id"]).withColumnRenamed("image_id", "node").where("n_features > 0").cache()
+    nodes = [r.node for r in described.select("node").collect()]
+    pairs = spark.createDataFrame([(i, j) for i in nodes for j in nodes if i < j] + [(0, n - 3)] * (n - 3 in nodes) + [(0, 5)] * 3, "a long, b long")
+    want = sorted(map(tuple, keypoints.verified(pairs, described).collect()))
+    assert len(want) > 10 and (0, 5) in want
+    for held, together in ((1_000_000, 16_384), (2, 16_384), (3, 4)):
+        monkeypatch.setattr(keypoints, "HELD", held)
+        monkeypatch.setattr(keypoints, "TOGETHER", together)
+        got = sorted(map(tuple, keypoints.verified(pairs, described, True).collect()))
+        assert sorted(set(got)) == want
+    monkeypatch.setattr(keypoints, "CLUSTER_BLOCK", 3)
+    assert votes.ready(spark)
+    whole = sorted(map(tuple, keypoints.near_duplicates(rows).collect()))
+    monkeypatch.setattr(votes, "ready", lambda spark: False)
+    assert whole == sorted(map(tuple, keypoints.near_duplicates(rows).collect())) and len(whole) == n
+    assert max(r[2] for r in whole) > 2
+
+
 def test_swept_lets_go_of_shuffle_files(spark):
     import gc
 
