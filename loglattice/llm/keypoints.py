@@ -486,11 +486,12 @@ def in_jvm(rows: DataFrame, clusters: bool, schema: str) -> DataFrame:
 def verified(pairs: DataFrame, described: DataFrame, jvm: bool = False) -> DataFrame:
     """The pairs a < b whose matching features agree on one transform. Images are dealt to blocks; pairs of two blocks
     meet the features of their images once, however many pairs an image has. Many images are verified in rounds, so that
-    not all copies of their features are on disk at once; every pair is in one round. Pairs are judged by NumPy or in the JVM."""
+    not all copies of their features are on disk at once; every pair is in one round. Pairs are judged by NumPy or in the JVM,
+    which gives of the linked pairs of two blocks only those that join images that others haven't joined."""
     spark, width = described.sparkSession, BITS // 8
     parts, images = int(spark.conf.get("spark.sql.shuffle.partitions")), described.count()
-    # enough pairs of blocks for all tasks, and small ones where there are many
-    n = max(-(-images // TOGETHER), min(math.isqrt(12 * parts), -(-images // FEW)), math.isqrt(2 * parts) + 1)
+    # enough pairs of blocks for all tasks, and small ones where there are many and Python holds them
+    n = max(-(-images // TOGETHER), 0 if jvm else min(math.isqrt(12 * parts), -(-images // FEW)), math.isqrt(2 * parts) + 1)
     rounds = -(-n // COPIES) if images > TOGETHER else 1
     tasks = min(n * (n + 1) // 2, (1 if rounds == 1 else 8) * parts)
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -542,7 +543,7 @@ def verified(pairs: DataFrame, described: DataFrame, jvm: bool = False) -> DataF
         own = (F.col("bi") + F.col("bj")) % rounds == number
         none = F.lit(None).cast("binary")
         # rows with features have a = b
-        features_of = held.select(F.explode("blocks").alias("at"), F.col("node").alias("a"), F.col("node").alias("b"), "bits", "places").select("at.bi", "at.bj", "a", "b", "bits", "places")
+        features_of = held.select(F.explode(F.filter("blocks", lambda at: (at["bi"] + at["bj"]) % rounds == number)).alias("at"), F.col("node").alias("a"), F.col("node").alias("b"), "bits", "places").select("at.bi", "at.bj", "a", "b", "bits", "places")
         rows = dealt.select("*", none.alias("bits"), none.alias("places")).unionByName(features_of).where(own)
         # a hash would deal several pairs of blocks to one task and none to others
         of_pair = (F.col("bj") * (F.col("bj") + 1) / 2 + F.col("bi")).cast("int") % tasks

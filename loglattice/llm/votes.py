@@ -29,8 +29,8 @@ import org.apache.spark.sql.RowFactory;
 
 /** Features of many images, one image after the other, and votes of pairs of images. */
 public final class Features {
-    /** Images that one image is compared with at once. */
-    static final int SOME = 16;
+    /** Images that one image is compared with at once, and its descriptors of which the closest is looked for first. */
+    static final int SOME = 16, ROWS = 4;
     final int match, consensus, turns, levels, wide, circle;
     final double place, spot, shift, factor;
     int images = 0, most = 0;
@@ -41,7 +41,11 @@ public final class Features {
     short[] angle = new short[1 << 17];
     byte[] level = new byte[1 << 17], voter = new byte[1 << 17];
     final double[] waves, ratios;
-    int[][] at = new int[0][], right4, bits4;
+    /** By difference of angles; those near the edge of a cell, which rounding decides, aren't taken from here. */
+    final short[] turned;
+    final int[] steps;
+    final int edge;
+    int[][] at = new int[0][], own4, differ;
     int[] own, least, of;
     final int[] begins = new int[SOME], found = new int[SOME];
     final int[] count;
@@ -70,6 +74,14 @@ public final class Features {
             waves[2 * i] = Math.cos(i * (2 * Math.PI / circle));
             waves[2 * i + 1] = Math.sin(i * (2 * Math.PI / circle));
         }
+        edge = circle / java.math.BigInteger.valueOf(circle).gcd(java.math.BigInteger.valueOf(2 * turns)).intValue();
+        turned = new short[2 * circle + 1];
+        for (int i = -circle; i <= circle; i++) turned[i + circle] = turned(0, i);
+        steps = new int[4 * levels];
+        for (int i = 0; i < 2 * levels; i++) {
+            steps[i] = i / wide;
+            steps[2 * levels + i] = cells + (2 * i + wide) / (2 * wide);
+        }
         ratios = new double[levels * levels];
         for (int i = 0; i < levels; i++) for (int k = 0; k < levels; k++) ratios[i * levels + k] = Math.pow(factor, k) / Math.pow(factor, i);
     }
@@ -129,8 +141,8 @@ public final class Features {
         if (at.length < SOME || at[0].length < most * most + 1) {
             at = new int[SOME][most * most + 1];
             own = new int[2 * most * most + 2];
-            right4 = new int[4][SOME * most];
-            bits4 = new int[4][SOME * most];
+            own4 = new int[4][SOME * most];
+            differ = new int[ROWS][SOME * most];
             least = new int[SOME * most];
             of = new int[SOME * most];
         }
@@ -149,19 +161,19 @@ public final class Features {
         int m = 0, from = starts[a], n = starts[a + 1] - from;
         for (int i = begin; i < end; i++) {
             int to = starts[right[i]], size = starts[right[i] + 1] - to;
-            for (int w = 0; w < 4; w++) System.arraycopy(bits[w], to, right4[w], m, size);
+            for (int w = 0; w < 4; w++) System.arraycopy(bits[w], to, own4[w], m, size);
             Arrays.fill(of, m, m + size, i - begin);
             begins[i - begin] = m;
             found[i - begin] = 0;
             m += size;
         }
-        for (int i = 0; i < n; i += 4) {
-            int rows = Math.min(4, n - i);
-            for (int k = 0; k < 4; k++) {
+        for (int i = 0; i < n; i += ROWS) {
+            int rows = Math.min(ROWS, n - i);
+            for (int k = 0; k < ROWS; k++) {
                 int x = from + i + Math.min(k, rows - 1);
-                differ(right4[0], right4[1], right4[2], right4[3], m, bits4[k], bits[0][x], bits[1][x], bits[2][x], bits[3][x]);
+                differ(own4[0], own4[1], own4[2], own4[3], m, differ[k], bits[0][x], bits[1][x], bits[2][x], bits[3][x]);
             }
-            least(bits4[0], bits4[1], bits4[2], bits4[3], m, least);
+            least(differ[0], differ[1], differ[2], differ[3], m, least);
             scan(i, rows, m);
         }
     }
@@ -172,7 +184,7 @@ public final class Features {
         for (int j = 0; j < m; j++) {
             if (least[j] > most) continue;
             int r = of[j];
-            for (int k = 0; k < rows; k++) if (bits4[k][j] <= most) at[r][found[r]++] = i + k << 16 | j - begins[r];
+            for (int k = 0; k < rows; k++) if (differ[k][j] <= most) at[r][found[r]++] = i + k << 16 | j - begins[r];
         }
     }
 
@@ -191,15 +203,10 @@ public final class Features {
         // a turn and scale with too few places can't have enough of them at one shift
         Arrays.fill(count, 0);
         Arrays.fill(seen, 0);
-        double unit = 2 * Math.PI / circle;
         for (int k = 0; k < found; k++) {
-            int i = from + (at[k] >>> 16), j = to + (at[k] & 0xFFFF);
-            double turn = (angle[j] * unit - angle[i] * unit) / (2 * Math.PI) * turns;
-            int step = level[j] - level[i] + levels;
-            int t = (int) Math.floor(turn), u = (int) Math.floor(turn + 0.5);
-            t = t < 0 ? t + turns : t >= turns ? t - turns : t;
-            u = u < 0 ? u + turns : u >= turns ? u - turns : u;
-            int c = t * (levels + 2) + step / wide, d = cells + u * (levels + 2) + (2 * step + wide) / (2 * wide);
+            int i = from + (at[k] >>> 16), j = to + (at[k] & 0xFFFF), x = angle[i], y = angle[j], step = level[j] - level[i] + levels;
+            int t = (y - x) % edge == 0 ? turned(x, y) : turned[y - x + circle];
+            int c = (t & 0xFF) + steps[step], d = (t >> 8) + steps[2 * levels + step];
             own[2 * k] = c;
             own[2 * k + 1] = d;
             int word = voter[i] >> 6 & 3;
@@ -239,6 +246,13 @@ public final class Features {
         return false;
     }
 
+    /** Cells of a turn in both grids, the second one's in the higher byte. */
+    private short turned(int x, int y) {
+        double unit = 2 * Math.PI / circle, turn = (y * unit - x * unit) / (2 * Math.PI) * turns;
+        int t = Math.floorMod((int) Math.floor(turn), turns), u = Math.floorMod((int) Math.floor(turn + 0.5), turns);
+        return (short) (u * (levels + 2) << 8 | t * (levels + 2));
+    }
+
     private boolean vote(int cell, int y, int x, int place, int mask) {
         long k = ((long) cell << 11 | (y + 512) & 2047) << 11 | (x + 512) & 2047;
         int s = (int) (k * 0x9E3779B97F4A7C15L >>> 40) & mask;
@@ -256,23 +270,40 @@ public final class Features {
         return ++places[s] >= consensus;
     }
 
-    /** Of each image its place in the order of features. */
-    static int[] ranks(final byte[][] bits, final byte[][] places) {
-        Integer[] order = new Integer[bits.length];
-        for (int i = 0; i < order.length; i++) order[i] = Integer.valueOf(i);
+    /** Of each image its place in the order of its bytes as they are stored: bits first, then places. */
+    int[] ranks() {
+        Integer[] order = new Integer[images];
+        for (int i = 0; i < images; i++) order[i] = Integer.valueOf(i);
         Arrays.sort(order, new java.util.Comparator() {
             public int compare(Object x, Object y) {
-                int a = ((Integer) x).intValue(), b = ((Integer) y).intValue(), c = Arrays.compareUnsigned(bits[a], bits[b]);
-                return c != 0 ? c : Arrays.compareUnsigned(places[a], places[b]);
+                return before(((Integer) x).intValue(), ((Integer) y).intValue());
             }
         });
-        int[] out = new int[order.length];
-        for (int i = 0; i < out.length; i++) out[order[i].intValue()] = i;
+        int[] out = new int[images];
+        for (int i = 0; i < images; i++) out[order[i].intValue()] = i;
         return out;
     }
+
+    int before(int a, int b) {
+        int x = starts[a], y = starts[b], n = starts[a + 1] - x, m = starts[b + 1] - y, some = Math.min(n, m), c = 0;
+        for (int k = 0; k < some; k++)
+            for (int w = 0; w < 4; w++) {
+                c = Integer.compareUnsigned(Integer.reverseBytes(bits[w][x + k]), Integer.reverseBytes(bits[w][y + k]));
+                if (c != 0) return c;
+            }
+        if (n != m) return n < m ? -1 : 1;
+        for (int k = 0; k < n && c == 0; k++) {
+            c = Character.reverseBytes(row[x + k]) - Character.reverseBytes(row[y + k]);
+            if (c == 0) c = Character.reverseBytes(column[x + k]) - Character.reverseBytes(column[y + k]);
+            if (c == 0) c = Character.reverseBytes((char) angle[x + k]) - Character.reverseBytes((char) angle[y + k]);
+            if (c == 0) c = (level[x + k] & 0xFF) - (level[y + k] & 0xFF);
+        }
+        return c;
+    }
 }
+
 /** Rows of a partition in order of their groups. Pairs: (bi, bj, a, b, bits, places), of each bi, bj first the features of its
- images (a = b), then its pairs; gives linked pairs. Clusters: (component, bi, bj, side, node, n, bits, places); gives rows of
+ images (a = b), then its pairs; gives linked pairs that join the same images as all linked pairs do. Clusters: (component, bi, bj, side, node, n, bits, places); gives rows of
  links.FOUND. */
 public final class Votes implements MapPartitionsFunction, java.io.Serializable {
     public final boolean clusters;
@@ -299,9 +330,8 @@ final class Judged implements Iterator {
     final ArrayDeque out = new ArrayDeque();
     Row ahead;
     int bi = -1, bj = -1;
-    final ArrayList bits = new ArrayList(), places = new ArrayList();
     long[] nodes = new long[1024], ordered, pairs = new long[1024];
-    int[] order, rank;
+    int[] order, rank, root;
     int images = 0, count = 0;
 
     Judged(Votes votes, Iterator rows) {
@@ -331,30 +361,24 @@ final class Judged implements Iterator {
     private void image(long node, byte[] b, byte[] p) {
         if (images == nodes.length) nodes = Arrays.copyOf(nodes, 2 * images);
         nodes[images++] = node;
-        bits.add(b);
-        places.add(p);
-    }
-
-    private void known() {
-        byte[][] b = (byte[][]) bits.toArray(new byte[images][]), p = (byte[][]) places.toArray(new byte[images][]);
-        features.clear();
-        for (int i = 0; i < images; i++) features.add(b[i], p[i]);
-        rank = Features.ranks(b, p);
-        bits.clear();
-        places.clear();
+        features.add(b, p);
     }
 
-    /** Some pairs of two blocks: at most as many as may be held, and none of the next two blocks. */
+    /** Some pairs of two blocks: at most as many as may be held, and none of the next two blocks. A pair whose images links have
+     joined already joins nothing and is left out. */
     private void pairs() {
         if (bi != ahead.getInt(0) || bj != ahead.getInt(1)) {
             bi = ahead.getInt(0);
             bj = ahead.getInt(1);
             images = 0;
+            features.clear();
             while (ahead != null && ahead.getInt(0) == bi && ahead.getInt(1) == bj && !ahead.isNullAt(4)) {
                 image(ahead.getLong(2), (byte[]) ahead.get(4), (byte[]) ahead.get(5));
                 step();
             }
-            known();
+            rank = features.ranks();
+            root = new int[images];
+            for (int i = 0; i < images; i++) root[i] = i;
             ordered = Arrays.copyOf(nodes, images);
             Arrays.sort(ordered);
             order = new int[images];
@@ -372,12 +396,14 @@ final class Judged implements Iterator {
         boolean[] hit = new boolean[images];
         for (int k = 0, n = 0; k < count; k++) {
             int a = (int) (pairs[k] >>> 32);
-            if (k == 0 || pairs[k] != pairs[k - 1]) right[n++] = (int) pairs[k];
+            if (top(root, a) != top(root, (int) pairs[k]) && (k == 0 || pairs[k] != pairs[k - 1])) right[n++] = (int) pairs[k];
             if (k + 1 < count && (int) (pairs[k + 1] >>> 32) == a) continue;
             features.agree(a, right, n, hit);
             for (int i = 0; i < n; i++) {
-                int b = right[i];
-                if (hit[i]) out.add(RowFactory.create(new Object[] {Long.valueOf(Math.min(nodes[a], nodes[b])), Long.valueOf(Math.max(nodes[a], nodes[b]))}));
+                int b = right[i], x = top(root, a), y = top(root, b);
+                if (!hit[i] || x == y) continue;
+                root[Math.max(x, y)] = Math.min(x, y);
+                out.add(RowFactory.create(new Object[] {Long.valueOf(Math.min(nodes[a], nodes[b])), Long.valueOf(Math.max(nodes[a], nodes[b]))}));
             }
             n = 0;
         }
@@ -389,6 +415,7 @@ final class Judged implements Iterator {
         bi = ahead.getInt(1);
         bj = ahead.getInt(2);
         images = 0;
+        features.clear();
         ArrayList sides = new ArrayList(), sizes = new ArrayList();
         while (ahead != null && ahead.getLong(0) == component && ahead.getInt(1) == bi && ahead.getInt(2) == bj) {
             sides.add(Integer.valueOf(ahead.getInt(3)));
@@ -396,8 +423,9 @@ final class Judged implements Iterator {
             image(ahead.getLong(4), (byte[]) ahead.get(6), (byte[]) ahead.get(7));
             step();
         }
-        known();
-        int[] byRank = new int[images], root = new int[images];
+        rank = features.ranks();
+        int[] byRank = new int[images];
+        root = new int[images];
         long[] links = new long[images];
         for (int i = 0; i < images; i++) {
             byRank[rank[i]] = i;
